@@ -119,7 +119,7 @@ def g11b(t):
 
 
 def _round(expr: str, places: int) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(28,10)), {places}) AS DOUBLE)"
+    return f"CAST(printf('%.{places}f', CAST({expr} AS DOUBLE)) AS DOUBLE)"
 
 
 @query("a21_catalogue_status", f"""WITH {_RESOLVED}
@@ -132,7 +132,7 @@ def a21(t):
 
 
 _HOLDINGS = """h AS (SELECT node_id, sha256(payload) AS c, arg_min(sigma, seq) AS sigma FROM puts GROUP BY 1, 2),
-per AS (SELECT node_id, region, node_type, online, count(c) AS items, coalesce(CAST(round(CAST(CAST(sum(CAST(sigma AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(c), 0) AS DECIMAL(28,10)), 2) AS DOUBLE), 0) AS avg_sigma
+per AS (SELECT node_id, region, node_type, online, count(c) AS items, coalesce(CAST(printf('%.2f', CAST(sum(CAST(sigma AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(c), 0)) AS DOUBLE), 0) AS avg_sigma
   FROM nodes LEFT JOIN h USING (node_id) GROUP BY ALL)"""
 
 

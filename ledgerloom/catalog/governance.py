@@ -397,7 +397,7 @@ WITH m AS (SELECT m.*, coalesce(min_sigma, 5.0) AS target, coalesce(customer_org
 SELECT pipeline_id, org AS customer_org, target AS sla_target, count(*) AS measurements, CAST(sum(CAST(sigma_level AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_sigma,
   min(sigma_level) AS min_sigma, max(sigma_level) AS max_sigma, CAST(sum(records_failed) AS BIGINT) AS total_defects, CAST(sum(records_processed) AS BIGINT) AS total_records,
   count(*) FILTER (WHERE breach) AS breaches, count(*) FILTER (WHERE breach) = 0 AS sla_met,
-  sha256(concat(pipeline_id, '|2024-01-05T00:00:00Z|2024-01-15T00:00:00Z|', CAST(CAST(CAST(CAST(sum(CAST(sigma_level AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS DECIMAL(20,8)) AS DECIMAL(14,2)) AS VARCHAR),
+  sha256(concat(pipeline_id, '|2024-01-05T00:00:00Z|2024-01-15T00:00:00Z|', printf('%.2f', CAST(sum(CAST(sigma_level AS DECIMAL(18,4))) AS DOUBLE) / count(*)),
     '|', CAST(sum(records_processed) AS BIGINT), '|', CAST(sum(records_failed) AS BIGINT))) AS proof
 FROM m GROUP BY pipeline_id, org, target""")
 def a13(t):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ledgerloom.functions.numbers import fixed
+
 # The order in which record fields enter their hash.
 LINEAGE_HASH_FIELDS = (
     "tx_id", "job_id", "timestamp", "input_dataset_ids", "input_hashes",
@@ -35,14 +37,6 @@ def rfc3339(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def four_decimals(value: Column) -> Column:
-    return value.cast("decimal(12,4)").cast("string")
-
-
-def two_decimals(value: Column) -> Column:
-    return value.cast("decimal(20,8)").cast("decimal(14,2)").cast("string")
-
-
 def piped(*parts: Column) -> Column:
     """Join with ``|``; ``concat_ws`` alone would skip nulls, so they become empty text."""
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
@@ -52,7 +46,7 @@ def _field(name: str) -> Column:
     if name in ARRAY_FIELDS:
         return F.array_join(F.col(name), ",")
     if name == "sigma_level":
-        return four_decimals(F.col(name))
+        return fixed(F.col(name), 4)
     return F.col(name)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import rfc3339
+from ledgerloom.functions.numbers import rounded
 
 # Widths of the printed report columns.
 REPORT_WIDTHS = {"ts": 20, "tx": 18, "action": 26, "dataset": 28, "result": 22}
@@ -66,7 +67,7 @@ def audit_stats(events: DataFrame, as_of: str | None = None, hours: int | None =
     counted = lines.groupBy("kind", "name").agg(
         F.sum("n").alias("events"), F.sum(F.when(F.col("result") == "BLOCKED", F.col("n")).otherwise(0)).alias("_blocked")
     )
-    share = F.round((F.col("_blocked") / F.col("events") * 100).cast("decimal(20,8)"), 1).cast("double")
+    share = rounded(F.col("_blocked") / F.col("events") * 100, 1)
     return counted.withColumn("blocked_pct", share).drop("_blocked")
 
 

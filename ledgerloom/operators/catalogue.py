@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import content_cid, sha256
+from ledgerloom.functions.numbers import rounded
 from ledgerloom.operators.ordered import id_chunk, running_sum
 from ledgerloom.session import cut_lineage
 
@@ -183,10 +184,6 @@ def move_records(plan: DataFrame, particles: DataFrame, nodes: DataFrame) -> Dat
     )
 
 
-def _rounded(value: Column, places: int) -> Column:
-    return F.round(value.cast("decimal(28,10)"), places).cast("double")
-
-
 def catalogue_status(particles: DataFrame, nodes: DataFrame, moves: DataFrame, needs: DataFrame) -> DataFrame:
     """One row of totals. Each table is counted on its own; the counts meet in a last small sum."""
     total_sigma = F.sum(F.col("sigma").cast("decimal(18,4)")).cast("double")
@@ -202,9 +199,9 @@ def catalogue_status(particles: DataFrame, nodes: DataFrame, moves: DataFrame, n
         union = union.unionByName(part, allowMissingColumns=True)
     one = union.agg(*[F.max(c).alias(c) for c in union.columns])
     return one.select(
-        "total_datasets", _rounded(F.coalesce("_bytes", F.lit(0)) / GIB, 4).alias("total_size_gb"),
+        "total_datasets", rounded(F.coalesce("_bytes", F.lit(0)) / GIB, 4).alias("total_size_gb"),
         "total_nodes", "online_nodes",
-        _rounded(F.coalesce("_sigma", F.lit(0.0)) / F.greatest("total_datasets", F.lit(1)), 2).alias("avg_sigma"),
+        rounded(F.coalesce("_sigma", F.lit(0.0)) / F.greatest("total_datasets", F.lit(1)), 2).alias("avg_sigma"),
         "total_movements", "active_needs",
     )
 
@@ -226,7 +223,7 @@ def node_status(nodes: DataFrame, holdings: DataFrame, heals: DataFrame | None =
         out = out.withColumn("heals_applied", F.lit(0))
     return out.select(
         "node_id", "region", "node_type", "online", F.coalesce("items", F.lit(0)).alias("items"),
-        F.coalesce(_rounded(F.col("_mean"), 2), F.lit(0.0)).alias("avg_sigma"),
+        F.coalesce(rounded(F.col("_mean"), 2), F.lit(0.0)).alias("avg_sigma"),
         F.coalesce("heals_applied", F.lit(0)).alias("heals_applied"),
     )
 
@@ -236,7 +233,7 @@ def network_status(per_node: DataFrame) -> DataFrame:
     mean = F.sum(F.col("avg_sigma").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))
     return per_node.agg(
         F.sum("items").alias("total_datasets"), F.count(F.lit(1)).alias("total_nodes"),
-        F.count_if("online").alias("online_nodes"), _rounded(mean, 2).alias("avg_sigma"),
+        F.count_if("online").alias("online_nodes"), rounded(mean, 2).alias("avg_sigma"),
     )
 
 

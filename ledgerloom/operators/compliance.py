@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import piped, sha256
+from ledgerloom.functions.numbers import fixed
 from ledgerloom.operators.ordered import first_k_per_key
 from ledgerloom.operators.rules import rule_array
 
@@ -142,7 +143,7 @@ def violation_report(checks: DataFrame) -> DataFrame:
         F.sum(F.size("fixed_rules")).alias("auto_fixes"),
     )
     rate = (1 - F.col("violations") / F.greatest(F.col("total_checks"), F.lit(1))) * 100
-    return counted.withColumn("compliance_rate", F.format_string("%.1f%%", rate))
+    return counted.withColumn("compliance_rate", F.concat(fixed(rate, 1), F.lit("%")))
 
 
 def framework_summary(rules: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.functions.numbers import fixed, rounded
 from ledgerloom.functions.text import normalize_path
 
 # Failure type, diagnosis, action, code.
@@ -124,8 +125,8 @@ def ops_status(active: DataFrame, intents: DataFrame, heals: DataFrame, latest_s
     mean = F.coalesce("_sum", F.lit(0.0)) / F.greatest("_n", F.lit(1))
     return one.select(
         "active_flows", "intents_processed", "heals_applied",
-        F.concat(F.bround(rate, 0).cast("int").cast("string"), F.lit("%")).alias("heal_success_rate"),
-        F.round(mean.cast("decimal(20,8)"), 2).cast("double").alias("avg_sigma"),
+        F.concat(fixed(rate, 0), F.lit("%")).alias("heal_success_rate"),
+        rounded(mean, 2).alias("avg_sigma"),
     )
 
 
@@ -133,7 +134,7 @@ def health_score(checks: DataFrame) -> DataFrame:
     """Share of checks that hold, with the two published bandings."""
     counted = checks.agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"))
     share = F.when(F.col("total") > 0, F.col("passed") / F.col("total") * 100).otherwise(0.0)
-    out = counted.withColumn("score", F.round(share.cast("decimal(20,8)"), 1).cast("double"))
+    out = counted.withColumn("score", rounded(share, 1))
     complete = F.col("passed") == F.col("total")
     return out.withColumns({
         "status": F.when(complete, "passed").otherwise("warning"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions.numbers import fixed
 from ledgerloom.functions.sigma import (
     payload_sigma_api, payload_sigma_edge, sigma_from_pass_rate,
 )
@@ -34,7 +35,7 @@ class NotNull:
     def verdict(self, found: Column, rows: Column) -> tuple[Column, Column, str]:
         share = F.when(rows > 0, found / rows * 100).otherwise(F.lit(0.0))
         allowed = 100 - self.threshold
-        return share <= allowed, F.format_string("%.2f%% nulls", share), f"<{allowed:.1f}%"
+        return share <= allowed, F.concat(fixed(share, 2), F.lit("% nulls")), f"<{allowed:.1f}%"
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ class Pattern:
 
     def verdict(self, found: Column, rows: Column) -> tuple[Column, Column, str]:
         share = F.when(rows > 0, found / rows * 100).otherwise(F.lit(0.0))
-        return share >= self.threshold, F.format_string("%.1f%% match", share), f">={self.threshold}%"
+        return share >= self.threshold, F.concat(fixed(share, 1), F.lit("% match")), f">={self.threshold}%"
 
 
 @dataclass(frozen=True)

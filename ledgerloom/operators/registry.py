@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import sha256
+from ledgerloom.functions.numbers import rounded
 from ledgerloom.functions.text import flow_spec, is_create_request
 from ledgerloom.operators.ordered import id_chunk, latest_per_key, numbered, running_sum
+from ledgerloom.session import cut_lineage
 
 
 def _has_law(law: str) -> Column:
@@ -50,7 +52,7 @@ def rank_flows(registry: DataFrame, by: str = "sigma") -> DataFrame:
 def overview(registry: DataFrame) -> DataFrame:
     def mean(column: str, places: int) -> Column:
         total = F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))
-        return F.coalesce(F.round(total.cast("decimal(20,8)"), places).cast("double"), F.lit(0.0))
+        return F.coalesce(rounded(total, places), F.lit(0.0))
 
     return registry.agg(
         F.count(F.lit(1)).alias("flows"), F.coalesce(F.sum("runs"), F.lit(0)).alias("total_runs"),
@@ -94,8 +96,10 @@ def unique_names(requests: DataFrame, taken: DataFrame, base: str, seq: str) ->
 
     Requests for one base are served in ``seq`` order. The r-th request gets the r-th free
     number: r plus the taken numbers that have fewer than r free ones below. Both counts are
-    chunked running sums, so a single popular base is spread over many tasks.
+    chunked running sums, so a single popular base is spread over many tasks. The requests,
+    slim by now, are written once because the sums read them several times.
     """
+    requests = cut_lineage(requests)
     ordered = numbered(requests, [base], id_chunk(F.col(seq)), [F.col(seq)], "_rank")
     whole = taken.select(F.col("name").alias("_base"), F.lit(1).cast("bigint").alias("_number"))
     suffix = "^(.+)_([1-9][0-9]*)$"
@@ -141,7 +145,7 @@ def build_flows(requests: DataFrame, registry: DataFrame, text: str = "text", se
     spec = flow_spec(F.col(text))
     asked = wanted.select(F.col(seq).alias("seq"), *[column.alias(name) for name, column in spec.items()])
     asked = asked.withColumn("base", F.concat_ws("_", "domain", "source", F.lit("pipeline")))
-    named = unique_names(asked, registry.select("name"), "base", "seq")
+    named = cut_lineage(unique_names(asked, registry.select("name"), "base", "seq"))
     return _numbered_ids(named, registry, "seq").select(
         "seq", "id", "name", F.lit(5.1).alias("sigma"), F.lit("healthy").alias("status"),
         F.array("law").alias("laws"), F.concat(F.lit("TX_"), F.left(sha256(F.concat_ws("|", "id", "name")), F.lit(12))).alias("tx"),

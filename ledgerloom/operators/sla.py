@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.hashing import measurement_hash, piped, sha256, two_decimals
+from ledgerloom.functions.hashing import measurement_hash, piped, sha256
+from ledgerloom.functions.numbers import fixed
 from ledgerloom.functions.sigma import severity, sigma_to_dpm
 from ledgerloom.operators.lineage import exact_mean
 from ledgerloom.operators.ordered import first_k_per_key, previous_value, time_chunk
@@ -59,7 +60,7 @@ def quality_certificate(measurements: DataFrame, sla: DataFrame, start: str, end
         F.count_if(~F.col("met")).alias("breaches"),
     )
     proof = piped(
-        F.col("pipeline_id"), F.lit(start), F.lit(end), two_decimals(F.col("avg_sigma")),
+        F.col("pipeline_id"), F.lit(start), F.lit(end), fixed(F.col("avg_sigma"), 2),
         F.col("total_records"), F.col("total_defects"),
     )
     return counted.withColumns({"sla_met": F.col("breaches") == 0, "proof": sha256(proof)})
