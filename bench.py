@@ -31,7 +31,7 @@ def main() -> None:
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    tables, times = Tables(spark, sf_dir), {}
+    tables, times = Tables(spark, sf_dir, min_partitions=int(cpus)), {}
     wanted = sys.argv[1:] or HEADLINE
     for name in wanted:
         taken = []

@@ -20,11 +20,11 @@ SALES_AS_OF = "1998-07-15"
 class Tables:
     """The driver's tables and the views over them, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, min_partitions: int = 1):
+        self.spark, self.sf_dir, self.min_partitions = spark, sf_dir, min_partitions
 
     def __call__(self, name: str) -> DataFrame:
-        df = load(self.spark, self.sf_dir, name)
+        df = load(self.spark, self.sf_dir, name, self.min_partitions)
         if name == "runs":
             logs = [
                 F.struct(

@@ -326,7 +326,7 @@ def failures(t: Tables):
         chain = chain.when(F.col("failed_step") == i, F.lit(kind))
     from ledgerloom.catalog.views import load
 
-    failed = load(t.spark, t.sf_dir, "runs").filter("status = 'failed'")
+    failed = load(t.spark, t.sf_dir, "runs", t.min_partitions).filter("status = 'failed'")
     return failed.select("run_id", "pipeline_id", chain.otherwise(F.lit("other")).alias("failure_type"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -374,14 +375,33 @@ ARRAYS = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def base_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int = 1) -> DataFrame:
+    """A driver table. Its schema is looked up once, so later reads start no footer job.
+
+    The tables are single files of one row group, which one task reads however many cores
+    there are. ``min_partitions`` spreads such a table before the work; tables that already
+    have that many partitions, as large ones do, pass unchanged.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    if min_partitions > 1 and df.rdd.getNumPartitions() < min_partitions:
+        df = df.repartition(min_partitions)
+    return df
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, min_partitions: int = 1) -> DataFrame:
     """One base table or one view over them, with list columns as arrays."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return base_table(spark, sf_dir, name, min_partitions)
     sql = VIEWS[name]
     for table in BASE_TABLES:
-        if re.search(rf"\b{table}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if re.search(rf"\b(FROM|JOIN) {table}\b", sql):
+            base_table(spark, sf_dir, table, min_partitions).createOrReplaceTempView(table)
     df = spark.sql(render(sql, "spark"))
     for text, array in ARRAYS.items():
         if text in df.columns:
