@@ -14,7 +14,7 @@ from ledgerloom.streaming import jobs as J
 
 def drops(df, path, parts, order):
     """Write the rows as several files in order and return a one-file-at-a-time reader."""
-    bounds = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.0)
+    bounds = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.0) if parts > 1 else []
     edges = [None, *bounds, None]
     for low, high in zip(edges, edges[1:]):
         part = df if low is None else df.filter(F.col(order) > low)
@@ -128,6 +128,7 @@ def test_liveness(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     schema = "node_id string, ts timestamp, items long, avg_sigma double"
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     batches = [
         [("a", 0, 1), ("b", 0, 2)], [("a", 30, 3)], [("a", 60, 4)], [("a", 150, 5)], [("a", 180, 5)], [("a", 200, 6), ("b", 210, 7)],
