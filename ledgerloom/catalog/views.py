@@ -17,6 +17,9 @@ BASE_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: tables that grow; the others are dimensions
+FACT_TABLES = ("customer", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
 #: call -> (Spark text, DuckDB text); {0}, {1} are the arguments.
 _CALLS = {
     "SHA256": ("sha2({0}, 256)", "sha256({0})"),
@@ -389,7 +392,7 @@ def base_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
     df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    if min_partitions > 1 and df.rdd.getNumPartitions() < min_partitions:
+    if name in FACT_TABLES and min_partitions > 1 and df.rdd.getNumPartitions() < min_partitions:
         df = df.repartition(min_partitions)
     return df
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.hashing import piped, sha256
 from ledgerloom.functions.numbers import fixed
 from ledgerloom.operators.ordered import first_k_per_key
-from ledgerloom.operators.rules import rule_array
+from ledgerloom.operators.rules import FIELDS, RULES
 
 REQUEST_COLUMNS = (
     "request_id", "dataset_id", "classification", "jurisdictions", "source_region", "target_region",
@@ -19,11 +19,6 @@ REQUEST_COLUMNS = (
 )
 
 
-def _applies(rule, law: Column, classification: Column) -> Column:
-    listed = (F.size(rule["applies_to"]) == 0) | F.array_contains(rule["applies_to"], classification)
-    return rule["active"] & (rule["law"] == law) & listed
-
-
 def _broken_test(rule, target: Column, consent: Column, signatures: Column) -> Column:
     """Name of the first test a request fails, null when it passes."""
     blocked = F.exists(
@@ -67,51 +62,111 @@ def evaluate_rules(applicable: DataFrame) -> DataFrame:
     })
 
 
+PASSED, FIXED, OPEN = 0, 1, 2
+
+
+def _outcome(rule: dict) -> Column:
+    """Outcome of one known rule for a request, null when it does not apply to the classification."""
+    target = F.col("target_region")
+    remedy = F.lit(FIXED if rule["auto_fix"] else OPEN)
+    chain = F
+    if rule["applies_to"]:
+        chain = chain.when(~F.col("classification").isin(*rule["applies_to"]), F.lit(None).cast("int"))
+    named = [region for region in rule["blocked_regions"] if region != "non-IN"]
+    if named:
+        chain = chain.when(target.isin(*named), remedy)
+    if "non-IN" in rule["blocked_regions"]:
+        chain = chain.when(~target.startswith("IN"), remedy)
+    if rule["rule_regions"]:
+        chain = chain.when(~target.isin(*rule["rule_regions"]), remedy)
+    if rule["needs_consent"]:
+        chain = chain.when(~F.col("has_consent"), remedy)
+    if rule["needs_signatures"]:
+        chain = chain.when(F.col("signature_count") < rule["min_signatures"], F.lit(OPEN))
+    return F.lit(PASSED) if chain is F else chain.otherwise(F.lit(PASSED))
+
+
 def decide(requests: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """One decision per request, without a shuffle.
 
-    Rules are a constant array, so each request is filtered, tested and summed up inside
-    its own row; the cost grows with requests only.
+    The rules are known when the plan is built, so each becomes a plain condition and a row
+    carries only a small number per tested rule (position and outcome); names and texts are
+    looked up for violations alone. For rule tables too large for that see ``decide_joined``.
     """
-    catalogue = rule_array(rules)
-    target, consent = F.col("target_region"), F.col("has_consent")
-
-    def tested(rule: Column) -> Column:
-        broken = _broken_test(rule, target, consent, F.col("signature_count"))
-        return F.struct(
-            rule["rule_id"].alias("rule_id"), rule["law"].alias("law"),
-            rule["law_section"].alias("law_section"), rule["description"].alias("description"),
-            rule["penalty"].alias("penalty"), broken.isNotNull().alias("violated"),
-            _fix(rule, broken).alias("fix"),
-        )
-
-    matching = F.flatten(F.transform(
-        "jurisdictions",
-        lambda law: F.filter(catalogue, lambda rule: _applies(rule, law, F.col("classification"))),
+    known = [dict(zip(FIELDS, rule)) for rule in sorted(RULES if rules is None else rules, key=lambda r: r[0])]
+    known = [rule for rule in known if rule["active"]]
+    by_law: dict[str, list[Column]] = {}
+    for position, rule in enumerate(known):
+        by_law.setdefault(rule["law"], []).append(_outcome(rule) + position * 3)
+    per_law = {law: F.array_compact(F.array(*outcomes)) for law, outcomes in by_law.items()}
+    out = requests.withColumns({f"_law{i}": results for i, results in enumerate(per_law.values())})
+
+    def of_law(asked: Column) -> Column:
+        chain = F
+        for i, law in enumerate(per_law):
+            chain = chain.when(asked == law, F.col(f"_law{i}"))
+        return chain.otherwise(F.array().cast("array<int>")) if per_law else F.array().cast("array<int>")
+
+    def texts(field: str) -> Column:
+        return F.array(*[F.lit(rule[field]) for rule in known]).cast("array<string>")
+
+    def named(code: Column, field: str) -> Column:
+        return F.get(texts(field), F.floor(code / 3).cast("int"))
+
+    out = out.withColumn("_tested", F.flatten(F.transform("jurisdictions", of_law)))
+    out = out.withColumn("_broken", F.filter("_tested", lambda code: code % 3 != PASSED))
+    out = out.withColumn("_open", F.filter("_broken", lambda code: code % 3 == OPEN))
+    fixes = F.transform(F.filter("_broken", lambda code: code % 3 == FIXED), lambda code: named(code, "auto_fix"))
+    causes = F.transform("_open", lambda code: F.concat(
+        named(code, "rule_id"), F.lit(" ("), named(code, "law_section"), F.lit(")")))
+    violations = F.transform("_broken", lambda code: F.struct(
+        F.concat(F.lit("V-"), named(code, "rule_id"), F.lit("-"), F.left("tx_id", F.lit(8))).alias("violation_id"),
+        *[named(code, field).alias(field) for field in ("rule_id", "law", "law_section", "description", "penalty")],
+        (code % 3 == FIXED).alias("auto_fixed"),
     ))
-    out = requests.withColumn("_tested", F.transform(matching, tested))
-    out = out.withColumn("_broken", F.filter("_tested", lambda v: v["violated"]))
-    out = out.withColumn("_open", F.filter("_broken", lambda v: v["fix"] == ""))
-    fixes = F.transform(F.filter("_broken", lambda v: v["fix"] != ""), lambda v: v["fix"])
-    causes = F.transform("_open", lambda v: F.concat(v["rule_id"], F.lit(" ("), v["law_section"], F.lit(")")))
+    return _verdict(out, causes, violations, fixes).drop("_tested", "_broken", "_open", *[f"_law{i}" for i in range(len(per_law))])
+
+
+def _verdict(df: DataFrame, causes: Column, violations: Column, fixes: Column) -> DataFrame:
+    """Decision columns from the arrays ``_tested``, ``_broken`` and ``_open``."""
     blocked, any_broken = F.size("_open") > 0, F.size("_broken") > 0
-    out = out.withColumns({
+    fixed = F.size("_broken") - F.size("_open")
+    return df.withColumns({
         "decision_id": F.concat(F.lit("DEC-"), F.left("tx_id", F.lit(12))),
         "decision": F.when(blocked, "BLOCKED").when(any_broken, "ALLOWED_WITH_FIX").otherwise("ALLOWED"),
         "reason": F.when(blocked, F.concat(F.lit("BLOCKED by: "), F.array_join(causes, ", ")))
-        .when(any_broken, F.format_string("Allowed after %d auto-fixes applied", F.size(fixes)))
+        .when(any_broken, F.format_string("Allowed after %d auto-fixes applied", fixed))
         .otherwise("All compliance rules satisfied"),
         "rules_evaluated": F.size("_tested"),
         "rules_passed": F.size("_tested") - F.size("_open"),
-        "violations": F.transform("_broken", lambda v: F.struct(
-            F.concat(F.lit("V-"), v["rule_id"], F.lit("-"), F.left("tx_id", F.lit(8))).alias("violation_id"),
-            v["rule_id"].alias("rule_id"), v["law"].alias("law"), v["law_section"].alias("law_section"),
-            v["description"].alias("description"), v["penalty"].alias("penalty"),
-            (v["fix"] != "").alias("auto_fixed"),
-        )),
-        "auto_fixes": fixes,
+        "violations": violations, "auto_fixes": fixes,
     })
-    return out.drop("_tested", "_broken", "_open")
+
+
+def decide_joined(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same decisions from a stored rule table of any size, by join and grouping.
+
+    A group is one request with the rules of its own jurisdictions, so no group is large.
+    """
+    tested = F.struct(
+        "law_position", "rule_id", "law", "law_section", "description", "penalty", "fix",
+        (~F.col("passed")).alias("violated"),
+    )
+    per_request = evaluate_rules(applicable_rules(requests, rules)).groupBy("request_id").agg(
+        F.array_sort(F.collect_list(tested)).alias("_tested")
+    )
+    none = F.array().cast(per_request.schema["_tested"].dataType)
+    out = requests.join(per_request, "request_id", "left").withColumn("_tested", F.coalesce("_tested", none))
+    out = out.withColumn("_broken", F.filter("_tested", lambda v: v["violated"]))
+    out = out.withColumn("_open", F.filter("_broken", lambda v: v["fix"] == ""))
+    fixes = F.transform(F.filter("_broken", lambda v: v["fix"] != ""), lambda v: v["fix"])
+    causes = F.transform("_open", lambda v: F.concat(v["rule_id"], F.lit(" ("), v["law_section"], F.lit(")")))
+    violations = F.transform("_broken", lambda v: F.struct(
+        F.concat(F.lit("V-"), v["rule_id"], F.lit("-"), F.left("tx_id", F.lit(8))).alias("violation_id"),
+        *[v[field].alias(field) for field in ("rule_id", "law", "law_section", "description", "penalty")],
+        (v["fix"] != "").alias("auto_fixed"),
+    ))
+    return _verdict(out, causes, violations, fixes).drop("_tested", "_broken", "_open")
 
 
 def compliance_report(decisions: DataFrame) -> DataFrame:

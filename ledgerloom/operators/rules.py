@@ -58,28 +58,14 @@ def rule_catalogue(spark: SparkSession, rules=None) -> DataFrame:
     return spark.createDataFrame(RULES if rules is None else rules, RULE_SCHEMA)
 
 
-def rules_from_table(df: DataFrame, max_rules: int = 1000) -> list[tuple]:
+def rules_from_table(df: DataFrame, max_rules: int = 200) -> list[tuple]:
     """Read a stored rule table for use inside expressions, refusing one that is too large."""
     rows = df.select(*FIELDS).limit(max_rules + 1).collect()
     if len(rows) > max_rules:
-        raise ValueError(f"rule table exceeds {max_rules} rows; use applicable_rules() instead")
+        raise ValueError(f"rule table exceeds {max_rules} rows; use decide_joined() instead")
     return sorted(tuple(row) for row in rows)
 
 
 def admin_changes(changes: DataFrame, setter: Column, admin_orgs: list[str]) -> DataFrame:
     """Rule changes an administering organisation made; others are refused."""
     return changes.filter(setter.isin(*admin_orgs))
-
-
-def rule_array(rules: list[tuple] | None = None) -> Column:
-    """The rules as one constant array of structs, in key order."""
-
-    def literal(name: str, value) -> Column:
-        if isinstance(value, list):
-            column = F.array(*[F.lit(v) for v in value]).cast("array<string>")
-        else:
-            column = F.lit(value)
-        return column.alias(name)
-
-    ordered = sorted(RULES if rules is None else rules, key=lambda rule: rule[0])
-    return F.array(*[F.struct(*[literal(n, v) for n, v in zip(FIELDS, rule)]) for rule in ordered])

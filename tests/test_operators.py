@@ -52,6 +52,18 @@ def test_decide_with_stored_rules(spark):
         R.rules_from_table(stored, max_rules=3)
 
 
+def test_decide_joined_agrees(tables):
+    requests = tables("transfer_requests")
+    columns = ["request_id", "decision_id", "decision", "reason", "rules_evaluated", "rules_passed", "violations", "auto_fixes"]
+    inline = C.decide(requests).select(*columns)
+    stored = C.decide_joined(requests, R.rule_catalogue(tables.spark)).select(*columns)
+    assert sorted(map(str, inline.collect())) == sorted(map(str, stored.collect()))
+
+
+def test_decide_without_rules(spark):
+    assert C.decide(request_row(spark), []).first().decision == "ALLOWED"
+
+
 def test_profiles_disagree(spark):
     health = request_row(spark, classification="HEALTH")
     assert C.decide_simulation(health).first().reason == "BLOCKED by: DPDP-001, DPDP-004"
