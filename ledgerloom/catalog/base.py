@@ -22,8 +22,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, min_partitions: int = 1):
         self.spark, self.sf_dir, self.min_partitions = spark, sf_dir, min_partitions
+        self._built: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def _build(self, name: str) -> DataFrame:
         df = load(self.spark, self.sf_dir, name, self.min_partitions)
         if name == "runs":
             logs = [

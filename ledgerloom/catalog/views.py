@@ -110,7 +110,7 @@ FROM (SELECT customer.*, n_name,
 SALES = """
 SELECT CAST(o_orderdate AS DATE) AS sale_date, r_name AS region,
   l_partkey AS product_id, p_name AS product_name, l_orderkey AS order_id,
-  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2))) AS DECIMAL(18,4)) AS revenue
+  CAST(CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * (100 - CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(18,4)) AS revenue
 FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey
 JOIN part ON l_partkey = p_partkey
@@ -379,6 +379,7 @@ ARRAYS = {
 
 
 _SCHEMAS: dict[str, StructType] = {}
+_PARTITIONS: dict[str, int] = {}
 
 
 def base_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int = 1) -> DataFrame:
@@ -392,8 +393,11 @@ def base_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
     df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    if name in FACT_TABLES and min_partitions > 1 and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
+    if min_partitions > 1 and name in FACT_TABLES:
+        if path not in _PARTITIONS:
+            _PARTITIONS[path] = df.rdd.getNumPartitions()
+        if _PARTITIONS[path] < min_partitions:
+            df = df.repartition(min_partitions)
     return df
 
 

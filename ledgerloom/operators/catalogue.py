@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import content_cid, sha256
-from ledgerloom.functions.numbers import rounded
+from ledgerloom.functions.numbers import exact_mean, exact_sum, rounded
 from ledgerloom.operators.ordered import id_chunk, running_sum
 from ledgerloom.session import cut_lineage
 
@@ -186,7 +186,7 @@ def move_records(plan: DataFrame, particles: DataFrame, nodes: DataFrame) -> Dat
 
 def catalogue_status(particles: DataFrame, nodes: DataFrame, moves: DataFrame, needs: DataFrame) -> DataFrame:
     """One row of totals. Each table is counted on its own; the counts meet in a last small sum."""
-    total_sigma = F.sum(F.col("sigma").cast("decimal(18,4)")).cast("double")
+    total_sigma = exact_sum(F.col("sigma"))
     parts = [
         particles.agg(
             F.count(F.lit(1)).alias("total_datasets"), F.sum("size_bytes").alias("_bytes"), total_sigma.alias("_sigma")),
@@ -213,7 +213,7 @@ def node_status(nodes: DataFrame, holdings: DataFrame, heals: DataFrame | None =
     """
     items = holdings.groupBy("node_id").agg(
         F.count(F.lit(1)).alias("items"),
-        (F.sum(F.col("sigma").cast("decimal(18,4)")).cast("double") / F.count("sigma")).alias("_mean"),
+        exact_mean(F.col("sigma")).alias("_mean"),
     )
     out = nodes.join(items, "node_id", "left")
     if heals is not None:
@@ -230,7 +230,7 @@ def node_status(nodes: DataFrame, holdings: DataFrame, heals: DataFrame | None =
 
 def network_status(per_node: DataFrame) -> DataFrame:
     """Totals over node rows: items, nodes online, mean of the nodes' sigma."""
-    mean = F.sum(F.col("avg_sigma").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))
+    mean = exact_mean(F.col("avg_sigma"))
     return per_node.agg(
         F.sum("items").alias("total_datasets"), F.count(F.lit(1)).alias("total_nodes"),
         F.count_if("online").alias("online_nodes"), rounded(mean, 2).alias("avg_sigma"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.hashing import lineage_hash, piped, sha256
+from ledgerloom.functions.numbers import exact_mean
 from ledgerloom.operators.ordered import first_k_per_key, latest_per_key, numbered, time_chunk
 from ledgerloom.session import cut_lineage
 
@@ -39,9 +40,12 @@ def lineage_chain(lineage: DataFrame, dataset_id: str) -> DataFrame:
     return lineage.filter(F.col("output_dataset_id") == dataset_id).orderBy(F.desc("timestamp"), F.desc("tx_id"))
 
 
-def lineage_chains(lineage: DataFrame) -> DataFrame:
-    """Every dataset's chain at once, each record with its position from the newest."""
-    chunk = time_chunk(F.col("ts"), 7 * 86400, newest_first=True)
+def lineage_chains(lineage: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+    """Every dataset's chain at once, each record with its position from the newest.
+
+    ``chunk_seconds`` is the stretch of one dataset's history that a single task sorts.
+    """
+    chunk = time_chunk(F.col("ts"), chunk_seconds, newest_first=True)
     return numbered(lineage, ["output_dataset_id"], chunk, [F.desc("ts"), F.desc("tx_id")], "position")
 
 
@@ -140,12 +144,6 @@ def impact(lineage: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFra
     return reach(steps, roots, max_depth)
 
 
-def exact_mean(value: Column, scale: int = 4) -> Column:
-    """Mean of numbers with few decimals that does not depend on the order of addition."""
-    total = F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
-    return total / F.count(value)
-
-
 def audit_report(lineage: DataFrame) -> DataFrame:
     """Counts, integrity, mean sigma, jurisdictions and proof per dataset.
 

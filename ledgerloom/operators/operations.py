@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions.numbers import fixed, rounded
+from ledgerloom.functions.numbers import exact_sum, fixed, rounded
 from ledgerloom.functions.text import normalize_path
 
 # Failure type, diagnosis, action, code.
@@ -115,7 +115,7 @@ def ops_status(active: DataFrame, intents: DataFrame, heals: DataFrame, latest_s
         intents.agg(F.count(F.lit(1)).alias("intents_processed")),
         heals.agg(F.count(F.lit(1)).alias("heals_applied"), F.count_if("success").alias("_healed")),
         latest_sigma.agg(
-            F.sum(F.col("sigma_level").cast("decimal(18,4)")).cast("double").alias("_sum"), F.count(F.lit(1)).alias("_n")),
+            exact_sum(F.col("sigma_level")).alias("_sum"), F.count(F.lit(1)).alias("_n")),
     ]
     union = parts[0]
     for part in parts[1:]:

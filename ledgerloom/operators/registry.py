@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import sha256
-from ledgerloom.functions.numbers import rounded
+from ledgerloom.functions.numbers import exact_mean, rounded
 from ledgerloom.functions.text import flow_spec, is_create_request
 from ledgerloom.operators.ordered import id_chunk, latest_per_key, numbered, running_sum
 from ledgerloom.session import cut_lineage
@@ -51,8 +51,7 @@ def rank_flows(registry: DataFrame, by: str = "sigma") -> DataFrame:
 
 def overview(registry: DataFrame) -> DataFrame:
     def mean(column: str, places: int) -> Column:
-        total = F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))
-        return F.coalesce(rounded(total, places), F.lit(0.0))
+        return F.coalesce(rounded(exact_mean(F.col(column)), places), F.lit(0.0))
 
     return registry.agg(
         F.count(F.lit(1)).alias("flows"), F.coalesce(F.sum("runs"), F.lit(0)).alias("total_runs"),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import measurement_hash, piped, sha256
-from ledgerloom.functions.numbers import fixed
+from ledgerloom.functions.numbers import exact_mean, fixed
 from ledgerloom.functions.sigma import severity, sigma_to_dpm
-from ledgerloom.operators.lineage import exact_mean
 from ledgerloom.operators.ordered import first_k_per_key, previous_value, time_chunk
 
 

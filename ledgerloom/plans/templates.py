@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.operators.lineage import exact_mean
+from ledgerloom.functions.numbers import exact_mean
 from ledgerloom.operators.sla import quality_rollup  # noqa: F401  (template "quality rollup")
 
 
