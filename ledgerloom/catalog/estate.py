@@ -79,7 +79,7 @@ plan AS (SELECT node_id, r, seq, content_hash, size_bytes, size_bytes <= free AS
 
 @query("g10_plan_placement", f"WITH RECURSIVE {_PLACED} SELECT node_id, seq, content_hash, size_bytes, placed FROM plan")
 def g10(t):
-    return K.plan_placement(moves(t), t("nodes"), particles(t), finish_below=100)
+    return K.plan_placement(moves(t), t("nodes"), particles(t))
 
 
 @query("e5_catalogue_run", f"""WITH RECURSIVE {_PLACED} SELECT content_hash, from_node, node_id AS to_node, region AS to_region, p.size_bytes

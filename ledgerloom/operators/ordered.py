@@ -16,8 +16,16 @@ CHUNK = "_chunk"
 
 
 def time_chunk(ts: Column, seconds: int = 3600, newest_first: bool = False) -> Column:
-    """Number of the time slice a timestamp falls in; falls instead of rises when asked."""
-    slice_no = F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000))
+    """Number of the time slice a timestamp falls in; falls instead of rises when asked.
+
+    Timestamps without a zone are counted by their wall clock, so a session zone with
+    daylight saving cannot reorder slices.
+    """
+    wall = F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    elapsed = F.when(F.typeof(ts) == "timestamp_ntz", wall).otherwise(
+        F.unix_seconds(ts.cast("timestamp"))
+    )
+    slice_no = F.floor(elapsed / seconds)
     return -slice_no if newest_first else slice_no
 
 

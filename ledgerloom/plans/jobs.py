@@ -31,7 +31,7 @@ class MaskingJob:
     region: str = "IN-TG"
     min_sigma: float = 4.5
     target_sigma: float = 5.5
-    output_files: int | None = 4
+    output_files: int | None = None
 
 
 @dataclass

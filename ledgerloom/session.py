@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed side even when that costs one more shuffle further up.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.compression.codec": "snappy",
     # Plans are built from thousands of small expressions; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -35,16 +35,20 @@ def preflight_input(spark: SparkSession, path: str) -> str:
 
 
 def write_curated(
-    df: DataFrame, base: str, run_id: str, n_files: int | None = 4, region_column: str = "run_region"
+    df: DataFrame, base: str, run_id: str, n_files: int | None = None, region_column: str = "run_region",
+    rebalance: bool = False,
 ) -> str:
     """Overwrite the run's folder, one subfolder per region; returns the folder.
 
-    ``n_files`` merges partitions without a shuffle and suits batches of a few files. ``None``
-    rebalances instead: AQE splits a region that holds most rows and merges small ones, while
-    the stages before keep all their tasks.
+    By default every task writes its rows as they are, which suits a run of one region: no
+    shuffle, all tasks busy. ``rebalance`` is for tables of many regions: rows meet by region
+    and AQE splits a region that holds most of them. ``n_files`` merges partitions to a few
+    files; it also limits the tasks that do the work before, so it is for small batches.
     """
     path = f"{base.rstrip('/')}/run_id={run_id}"
-    shaped = df.hint("rebalance", F.col(region_column)) if n_files is None else df.coalesce(n_files)
+    shaped = df.coalesce(n_files) if n_files else df
+    if rebalance and not n_files:
+        shaped = df.hint("rebalance", F.col(region_column))
     shaped.write.mode("overwrite").partitionBy(region_column).parquet(path)
     return path
 

@@ -97,6 +97,24 @@ def test_tx_id_equals_python(spark):
     assert spark.range(1).select(built).first()[0] == expected
 
 
+def test_rounding_equals_python(spark):
+    import random
+
+    from ledgerloom.functions.numbers import exact_sum, fixed, rounded
+
+    rng = random.Random(5)
+    numbers = [4.835, 5.315, 5.125, -56.25, 0.15, 2.675, 1.005, 0.0, 99.995, -0.04, 5.0, 1e9 + 0.125, 0.5, 1.5, 2.5]
+    numbers += [rng.randrange(10 ** 6) / 10 ** rng.randrange(1, 6) for _ in range(3000)] + [rng.uniform(0, 100) for _ in range(500)]
+    df = spark.createDataFrame([(n,) for n in numbers], "n double")
+    got = df.select("n", *[f(F.col("n"), p).alias(f"{f.__name__}{p}") for f in (rounded, fixed) for p in (0, 1, 2, 4)]).collect()
+    for row in got:
+        for places in (0, 1, 2, 4):
+            assert row[f"rounded{places}"] == round(row.n, places), (row.n, places)
+            assert row[f"fixed{places}"] == f"{row.n:.{places}f}", (row.n, places)
+    tenth = spark.createDataFrame([(0.1,)] * 10, "n double").repartition(4)
+    assert tenth.select(exact_sum(F.col("n"))).first()[0] == 1.0
+
+
 def test_dna_hash_equals_python(spark):
     record = {
         "dataset_id": "d1", "creator_id": "alice", "created_at": 1704067200.5, "classification": "PII",

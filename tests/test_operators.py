@@ -186,6 +186,7 @@ def test_trend_limits(series):
     assert len(hot) == 5 and [r.ts for r in hot] == sorted(r.ts for r in hot)
     plan = SL.sigma_trend(df, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "Partial" in SL.sigma_trend(df, 1000)._jdf.queryExecution().executedPlan().toString()
 
 
 def place_greedily(moves, free):
@@ -318,6 +319,45 @@ def test_questions(tables):
         assert found == route and (flows is None) == (route == "audit_chain_query") and events.count() <= 10
 
 
+def test_entities(tables):
+    from ledgerloom import schemas
+
+    made = {
+        "lineage": tables("lineage"), "transfer_requests": tables("transfer_requests"), "measurements": SL.log_measurements(tables("measurements")),
+        "decisions": C.decide(tables("transfer_requests")), "sla": tables("sla"), "sla_alerts": SL.sla_breaches(tables("measurements"), tables("sla")),
+        "particles": K.dedup_content(tables("puts")), "nodes": tables("nodes"), "registry": tables("registry"), "audit_events": tables("audit_events"),
+        "runs": tables("runs"), "rules": R.rule_catalogue(tables.spark), "role_permissions": O.role_permissions(tables.spark),
+    }
+    for entity, df in made.items():
+        out = schemas.conform(df, entity)
+        assert out.columns == schemas.schema_of(entity).names and out.limit(3).count() > 0
+    assert made["decisions"].filter(~schemas.is_allowed(F.col("decision"), "decision")).count() == 0
+    for entity in schemas._ENTITIES:
+        assert len(schemas.schema_of(entity)) > 1
+
+
+def test_skewed_join_is_split(spark):
+    """A left side with one key on most rows is split between tasks by AQE."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "32k")
+        needs = spark.range(60_000, numPartitions=8).selectExpr(
+            "id AS seq", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('c', id % 1000) END AS content_hash", "'IN' AS region", "concat('n', id % 20) AS node_id")
+        held = spark.range(1000).selectExpr("concat('c', id) AS content_hash", "5L AS size_bytes", "array('x-IN') AS home_nodes").unionByName(
+            spark.range(1).selectExpr("'hot' AS content_hash", "5L AS size_bytes", "array('x-US') AS home_nodes"))
+        out = K.resolve_needs(needs, held).select("seq", "status")
+        found = [r.status for r in out.collect()]
+        assert (found.count("NEAR"), found.count("MOVE")) == (40_000, 20_000)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+
+
 def test_plans(tables):
     """Small sides are broadcast by their size, and no Python runs in native operators."""
     def plan(df):

@@ -41,9 +41,11 @@ def test_mask_job(spark, people_csv, tmp_path):
     assert done.route == "quarantine" and done.record["exit_sigma"] == 2.0  # reported, not enforced
 
 
-def test_mask_job_rebalances(spark, people_csv, tmp_path):
-    done = mask_job(spark, job(people_csv, tmp_path, output_files=None))
+def test_output_layouts(spark, tables, people_csv, tmp_path):
+    done = mask_job(spark, job(people_csv, tmp_path, output_files=2))
     assert spark.read.parquet(done.record["output_path"]).count() == 150
+    path = files.write_curated(tables("people"), str(tmp_path / "many"), "r2", region_column="region", rebalance=True)
+    assert spark.read.parquet(path).filter("region = 'US'").count() == tables("people").filter("region = 'US'").count() > 0
 
 
 def test_mask_job_quarantines(spark, tmp_path):
