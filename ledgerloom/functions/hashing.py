@@ -110,9 +110,10 @@ def json_string(value: Column) -> Column:
 
 def json_float(value: Column) -> Column:
     """Shortest decimal text with at least one decimal, as used for numbers of everyday size."""
-    text = value.cast("string").cast("decimal(38,12)").cast("string")
-    trimmed = F.regexp_replace(text, "0+$", "")
-    return F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+    text = value.cast("string")
+    trimmed = F.regexp_replace(text.cast("decimal(38,12)").cast("string"), "0+$", "")
+    plain = F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+    return F.when(text.contains("E"), plain).otherwise(text)
 
 
 def json_list(values: Column) -> Column:

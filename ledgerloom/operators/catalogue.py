@@ -21,6 +21,14 @@ REGION_PREFERENCE = {
 GIB = 1024 ** 3
 
 
+def register_nodes(nodes: DataFrame) -> DataFrame:
+    """Catalogue rows of new nodes: nothing stored yet, online."""
+    return nodes.select(
+        "node_id", "region", "node_type", (F.col("capacity_gb") * GIB).cast("bigint").alias("capacity_bytes"),
+        F.lit(0).cast("bigint").alias("used_bytes"), F.lit(True).alias("online"),
+    )
+
+
 def dedup_content(puts: DataFrame) -> DataFrame:
     """One particle per content with the nodes that hold it, in order of arrival.
 

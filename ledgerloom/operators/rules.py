@@ -66,6 +66,6 @@ def rules_from_table(df: DataFrame, max_rules: int = 200) -> list[tuple]:
     return sorted(tuple(row) for row in rows)
 
 
-def admin_changes(changes: DataFrame, setter: Column, admin_orgs: list[str]) -> DataFrame:
-    """Rule changes an administering organisation made; others are refused."""
-    return changes.filter(setter.isin(*admin_orgs))
+def admin_changes(changes: DataFrame, setter: Column, admin_orgs: list[str], as_of: str) -> DataFrame:
+    """Rule changes an administering organisation made, stamped as enacted then; others are refused."""
+    return changes.filter(setter.isin(*admin_orgs)).withColumn("enacted_at", F.lit(as_of))

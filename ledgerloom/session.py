@@ -17,6 +17,8 @@ SETTINGS = {
     # Split a skewed side even when that costs one more shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.compression.codec": "snappy",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Plans are built from thousands of small expressions; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.operators.registry import insert_if_absent
+from ledgerloom.schemas import schema_of
+
 BUCKET = "key_bucket"
 
 
@@ -22,6 +25,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_records(spark: SparkSession, path: str, entity: str) -> DataFrame:
+    """JSON records of an entity. Unreadable lineage fails the read, other entities skip such rows."""
+    mode = "FAILFAST" if entity == "lineage" else "DROPMALFORMED"
+    return spark.read.schema(schema_of(entity)).option("mode", mode).json(path)
+
+
 def read_key(spark: SparkSession, path: str, key: str, value: str, buckets: int = 64) -> DataFrame:
     """All rows of one key; only its bucket folder is read."""
     bucket = F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int")
@@ -30,8 +39,6 @@ def read_key(spark: SparkSession, path: str, key: str, value: str, buckets: int
 
 def append_new(df: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
     """Append only rows whose key the ledger does not hold yet, so a repeated batch adds nothing."""
-    from ledgerloom.operators.registry import insert_if_absent
-
     spark = df.sparkSession
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     exists = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)

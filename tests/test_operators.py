@@ -220,6 +220,11 @@ def test_held_copies_are_not_charged(spark):
     assert [(r.seq, r.placed) for r in K.plan_placement(moves, nodes, held).collect()] == [(2, True)]
 
 
+def test_registered_node(spark):
+    row = K.register_nodes(spark.createDataFrame([("n", "IN", "edge", 2.0)], "node_id string, region string, node_type string, capacity_gb double")).first()
+    assert (row.capacity_bytes, row.used_bytes, row.online) == (2 * 1024 ** 3, 0, True)
+
+
 def test_nearest_node(spark):
     df = spark.createDataFrame([
         (["x-IN-MH", "y-IN-TG"], "IN-TG"), (["x-US", "y-IN-KA"], "IN-TG"), (["x-US"], "IN-TG"), (["b-EU-DE", "a-IN"], "EU-DE"), ([], "IN"), (None, "IN"),
@@ -282,8 +287,9 @@ def test_insert_upsert(spark):
     new = spark.createDataFrame([("a", 5, 1), ("b", 2, 1), ("b", 3, 2)], "k string, v int, version int")
     assert [(r.k, r.v) for r in reg.insert_if_absent(new, old, "k", "version").collect()] == [("b", 2)]
     assert {(r.k, r.v) for r in reg.upsert_latest(new, old, "k", "version").collect()} == {("a", 5), ("b", 3)}
-    changes = R.admin_changes(new.withColumn("org", F.lit("Admin")), F.col("org"), ["Admin", "Government"])
-    assert changes.count() == 3
+    asked = new.withColumn("org", F.when(F.col("v") > 2, "Admin").otherwise("Tenant"))
+    changes = R.admin_changes(asked, F.col("org"), ["Admin", "Government"], "2024-01-01T00:00:00Z").collect()
+    assert len(changes) == 2 and {r.enacted_at for r in changes} == {"2024-01-01T00:00:00Z"}
 
 
 def test_pages(spark):

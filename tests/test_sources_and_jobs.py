@@ -98,6 +98,14 @@ def test_ledger(spark, tmp_path):
     assert ledger.read_ledger(spark, once).count() == 50
 
 
+def test_unreadable_records(spark, tmp_path):
+    lines = ['{"pipeline_id": "p", "sigma_level": 5.0}', '{"pipeline_id": broken']
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(str(tmp_path / "m"))
+    assert [r.pipeline_id for r in ledger.read_records(spark, str(tmp_path / "m"), "measurements").collect()] == ["p"]
+    with pytest.raises(Exception, match="MALFORMED"):
+        ledger.read_records(spark, str(tmp_path / "m"), "lineage").collect()
+
+
 def test_external_options(spark):
     options = external.jdbc_options("jdbc:postgresql://db/x", "registry", "id", (0, 100), 4)
     assert options["numPartitions"] == "4" and options["dbtable"] == "registry"
