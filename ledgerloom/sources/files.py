@@ -18,17 +18,16 @@ def stream_raw_csv(spark: SparkSession, path: str, columns: list[str], files_per
 
 def preflight_input(spark: SparkSession, path: str) -> str:
     """``run`` when the folder holds files, ``skip`` when it does not or cannot be listed."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     try:
-        pattern = hadoop.Path(path)
-        found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-        for status in found or []:
+        filesystem = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in filesystem.globStatus(pattern) or []:
             if status.isFile():
                 return "run"
-            folder = status.getPath()
-            listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-            if any(not s.getPath().getName().startswith(("_", ".")) for s in listed):
-                return "run"
+            entries = filesystem.listStatusIterator(status.getPath())
+            while entries.hasNext():
+                if not entries.next().getPath().getName().startswith(("_", ".")):
+                    return "run"
     except Exception:
         return "skip"
     return "skip"
