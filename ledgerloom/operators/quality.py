@@ -21,6 +21,11 @@ EXIT_PATTERNS = (
 )
 
 
+def _share(found: Column, rows: Column) -> Column:
+    """Percentage of rows, 0 for an empty table."""
+    return F.when(rows > 0, found / rows * 100).otherwise(F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class NotNull:
     column: str
@@ -32,8 +37,10 @@ class NotNull:
     def measure(self) -> Column:
         return F.count_if(F.col(self.column).isNull())
 
-    def verdict(self, found: Column, rows: Column) -> tuple[Column, Column, str]:
-        share = F.when(rows > 0, found / rows * 100).otherwise(F.lit(0.0))
+    def score(self, found: Column, rows: Column) -> Column:
+        return _share(found, rows)
+
+    def verdict(self, share: Column, rows: Column) -> tuple[Column, Column, str]:
         allowed = 100 - self.threshold
         return share <= allowed, F.concat(fixed(share, 2), F.lit("% nulls")), f"<{allowed:.1f}%"
 
@@ -66,8 +73,10 @@ class Pattern:
     def measure(self) -> Column:
         return F.count_if(F.coalesce(F.col(self.column).rlike(self.regex), F.lit(False)))
 
-    def verdict(self, found: Column, rows: Column) -> tuple[Column, Column, str]:
-        share = F.when(rows > 0, found / rows * 100).otherwise(F.lit(0.0))
+    def score(self, found: Column, rows: Column) -> Column:
+        return _share(found, rows)
+
+    def verdict(self, share: Column, rows: Column) -> tuple[Column, Column, str]:
         return share >= self.threshold, F.concat(fixed(share, 1), F.lit("% match")), f">={self.threshold}%"
 
 
@@ -117,11 +126,14 @@ def run_suite(df: DataFrame, dataset: str, checks: Sequence[Check]) -> DataFrame
     """One row per check, with the totals and sigma of the suite on every row."""
     aggregates = [F.count(F.lit(1)).alias("total_rows")]
     aggregates += [check.measure().alias(f"m{i}") for i, check in enumerate(checks)]
-    measured = df.agg(*aggregates)
     rows = F.col("total_rows")
+    measured = df.agg(*aggregates).withColumns({
+        f"s{i}": check.score(F.col(f"m{i}"), rows) for i, check in enumerate(checks) if hasattr(check, "score")
+    })
     results = []
     for i, check in enumerate(checks):
-        passed, actual, expected = check.verdict(F.col(f"m{i}"), rows)
+        scored_as = f"s{i}" if hasattr(check, "score") else f"m{i}"
+        passed, actual, expected = check.verdict(F.col(scored_as), rows)
         results.append(F.struct(
             F.lit(i).alias("position"), F.lit(check.name()).alias("check"), passed.alias("passed"),
             actual.alias("actual"), F.lit(expected).alias("expected"),
