@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file lies; it is installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator works on, under its own names, so others cannot clash."""
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
