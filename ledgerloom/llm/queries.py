@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, packing, simhash
+from ledgerloom.llm import decontaminate, packing, secrets, simhash
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    counts = [span_count("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(secrets.digest_text("base"), 256).alias("base_sha256"),
+        secrets.digest_text("spans").alias("spans"),
+    )
+
+
+def span_count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
