@@ -59,12 +59,13 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 class Words:
     """Words of consecutive texts as arrays: hash of each word, and which words each text has."""
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool, hashed: bool = True):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool, hashed: bool = True, prepare=None):
         n = len(texts)
         buffers = texts.buffers()
         offsets = np.frombuffer(buffers[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
         raw = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
+        raw = raw if prepare is None else prepare(raw)
         inside = np.zeros(len(raw) + 2, bool)
         inside[1:-1] = is_word[raw]
         begin, end = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, packing, secrets, simhash
+from ledgerloom.llm import decontaminate, langid, packing, secrets, simhash
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+@query("op6_langid")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    chain = langid.train(langid.sample(docs.where(~held_out), "text", "lang", "doc_id", per_language=400, characters=4000))
+    found = langid.predict(docs, chain).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
