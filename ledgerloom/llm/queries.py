@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, langid, packing, secrets, simhash
+from ledgerloom.llm import decontaminate, langid, packing, pii, secrets, simhash
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = langid.train(langid.sample(docs.where(~held_out), "text", "lang", "doc_id", per_language=400, characters=4000))
     found = langid.predict(docs, chain).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [span_count("base", kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(secrets.digest_text("base"), 256).alias("base_sha256"),
+        secrets.digest_text("spans").alias("spans"),
+    )
