@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, langid, packing, pii, secrets, simhash
+from ledgerloom.llm import decontaminate, langid, packing, pii, secrets, simhash, substrings
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), *counts, F.sha2(secrets.digest_text("base"), 256).alias("base_sha256"),
         secrets.digest_text("spans").alias("spans"),
     )
+
+
+@query("op8_substrings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
