@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, langid, packing, pii, secrets, simhash, substrings
+from ledgerloom.llm import chat, decontaminate, langid, licenses, packing, pii, secrets, simhash, substrings
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,58 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substrings")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Two turns that hold control strings of common templates; part of what is asked, beside the table.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), near AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+    replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '#', '&num;') AS body,
+    replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '#', '&num;') AS head
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(body) + CASE WHEN before IS NULL OR before <> role THEN 5 + length(head) ELSE 6 END
+    + CASE WHEN after IS NULL OR after <> role THEN 8 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM near GROUP BY conv_id
+"""
+
+
+@query("op9_chat", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    hard = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HARD_TEXT).alias("text"))
+    made = chat.formatted(rows.unionByName(hard)).withColumn("turns", chat.turns_of(F.col("formatted")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    made = made.withColumns({"told": told, "trained": chat.trained_text("segments")})
+    return made.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2("told", 256).alias("turns_sha256"),
+        F.length("trained").cast("bigint").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    words = F.transform("places", lambda p: p["word"])
+    both = F.concat(
+        F.transform("places", lambda p: F.struct(p["label"].alias("label"))),
+        F.transform("detections", lambda d: F.struct(d["label"].alias("label"))),
+    )
+    scores = F.concat(F.transform("detections", lambda d: d["score"]), F.when(F.size("places") > 0, F.array(F.lit(0.6))).otherwise(F.array(F.lit(0.0))))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(words).cast("bigint").alias("first_word"), F.array_max(words).cast("bigint").alias("last_word"),
+        licenses.labels_of("places").alias("base_labels"), licenses.labels_of(both).alias("labels"), F.array_max(scores).alias("score"),
+    )

@@ -132,10 +132,11 @@ def candidates(part: pa.Array) -> np.ndarray:
 
 
 def sample_words(docs: DataFrame, text_col: str, rows: int) -> list[str]:
-    """Words of a bounded sample: the ``rows`` texts with the smallest hashes, 2000 characters of each."""
-    text = F.col("text")
-    texts = id_and_text(docs, text_col, text_col).where(text.isNotNull()).orderBy(F.xxhash64("text"), "text").limit(rows)
-    return sorted({w for r in texts.select(F.substring("text", 1, 2000).alias("t")).collect() for w in re.findall(r"[A-Za-z]+", r.t)})
+    """Words of a bounded sample: about ``rows`` different texts chosen by hash, 2000 characters of each."""
+    texts = id_and_text(docs, text_col, text_col).where(F.col("text").isNotNull())
+    share = min(1 << 30, rows * (1 << 30) // max(1, texts.count()) + 1)
+    taken = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select(F.substring("text", 1, 2000).alias("t"))
+    return sorted({w for r in taken.distinct().limit(2 * rows).collect() for w in re.findall(r"[A-Za-z]+", r.t)})
 
 
 def find(
