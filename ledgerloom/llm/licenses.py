@@ -134,6 +134,10 @@ def _places(words: str, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
 
+def _labelled(places: Column, label: str) -> Column:
+    return F.transform(places, lambda i: F.struct(F.lit(label).alias("label"), i.alias("word")))
+
+
 def _signature_table() -> Column:
     fields = lambda i, r: F.struct(
         F.lit(i).alias("number"), F.lit(r.label).alias("label"), F.lit(f" {r.keyword} ").alias("keyword"),
@@ -180,7 +184,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.select("id", "line", "n_words", "gate", words.alias("words"))
 
     places = F.flatten(F.array(*[
-        F.when(F.contains("line", F.lit(f" {phrase} ")), F.transform(_places("words", phrase), lambda i, label=label: F.struct(F.lit(label).alias("label"), i.alias("word"))))
+        F.when(F.contains("line", F.lit(f" {phrase} ")), _labelled(_places("words", phrase), label))
         .otherwise(F.array().cast("array<struct<label:string,word:int>>"))
         for phrase, label in PHRASES
     ]))
