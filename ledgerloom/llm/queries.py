@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, decontaminate, langid, licenses, packing, pii, secrets, simhash, substrings
+from ledgerloom.llm import chat, decontaminate, langid, licenses, packing, pii, secrets, simhash, substrings, weighted_sampling
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(words).cast("bigint").alias("first_word"), F.array_max(words).cast("bigint").alias("last_word"),
         licenses.labels_of("places").alias("base_labels"), licenses.labels_of(both).alias("labels"), F.array_max(scores).alias("score"),
     )
+
+
+@query("op4_weighted_sampling")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edited_and_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
