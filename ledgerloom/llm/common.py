@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.session import cut_lineage
+from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 
 #: Bytes of words that are hashed at once, and of texts that are turned into words at once.
 SLICE_BYTES = 1 << 20
@@ -43,6 +44,19 @@ def with_row(df: DataFrame, name: str = "row") -> DataFrame:
     return cut_lineage(df).withColumn(name, F.monotonically_increasing_id())
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, whose rows have a few fixed-size values and are counted here, as a broadcast side if ``rows`` or fewer."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
     """Runs of rows whose texts have about ``limit`` bytes together; one long text makes a run alone."""
     texts = batch.column(column)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerloom.llm.common import (
-    Words, gram_hashes, id_and_text, last_minimum, letter_bytes, text_slices, with_row,
+    Words, gram_hashes, id_and_text, last_minimum, letter_bytes, small, text_slices, with_row,
 )
 from ledgerloom.session import cut_lineage
 
@@ -99,6 +99,18 @@ def _sieve(item_marks: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def keep_clean(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", span: int = 10,
+) -> DataFrame:
+    """Rows of ``docs``, all columns, that ``contaminated`` finds clean."""
+    key = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("digest"))
+    found = contaminated(docs.select(key.alias("key"), docs[text_col].alias("text")), items, "key", "text", item_col, item_text_col, span)
+    hit = cut_lineage(found.where("contaminated").select(F.col("id.id").alias("_id"), F.col("id.digest").alias("_digest")).distinct())
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_digest"))
+    return docs.join(small(hit), same, "left_anti")
+
+
 def _matching(a: str, b: str, reach: int):
     """How many leading elements of two arrays are equal."""
     return F.aggregate(

@@ -274,6 +274,22 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, chain: Chain, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language: not ``und``, score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["text"])
+            for at, to, part in text_slices(plain, "text"):
+                langs, scores = predict_texts(part, shared.value)
+                keep = (np.array(langs, object) != UNKNOWN) & (scores >= least)
+                yield batch.slice(at, to - at).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_texts(texts: pa.Array, chain: Chain) -> tuple[list[str], np.ndarray]:
     feats = Features(texts)
     n, counts = len(texts), np.diff(feats.bounds)

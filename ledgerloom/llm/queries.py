@@ -59,13 +59,22 @@ def span_count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents whose labels no model sees."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def training_fold(docs: DataFrame) -> list[tuple[str, str]]:
+    """Labelled texts for the language model: about 400 of each language, 4000 characters of each."""
+    seen = docs.where(~F.coalesce(held_out(), F.lit(True)))
+    return langid.sample(seen, "text", "lang", "doc_id", per_language=400, characters=4000)
+
+
 @query("op6_langid")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    chain = langid.train(langid.sample(docs.where(~held_out), "text", "lang", "doc_id", per_language=400, characters=4000))
-    found = langid.predict(docs, chain).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    found = langid.predict(docs, langid.train(training_fold(docs))).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 @query("op5_pii")

@@ -139,17 +139,14 @@ def sample_words(docs: DataFrame, text_col: str, rows: int) -> list[str]:
     return sorted({w for r in taken.distinct().limit(2 * rows).collect() for w in re.findall(r"[A-Za-z]+", r.t)})
 
 
-def find(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_rows: int = 500,
-    least: float = 0.6, redact: bool = False,
-) -> DataFrame:
-    """Per row of ``docs``: ``(id, base, spans)`` and, with ``redact``, ``text`` with spans replaced.
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_rows: int = 500, least: float = 0.6) -> DataFrame:
+    """Per row of ``docs``: ``(id, base, spans)``.
 
     ``base`` and ``spans`` are arrays of ``(kind, start, end)`` in code points, by start, then
     kind. Base spans come from the fixed patterns; the models add spans of kind ``random`` for
     token runs whose log-likelihood ratio is ``least`` or more a character. Identifiers of the
     training sample are made from words of ``training_rows`` texts; everything else looks at
-    whole texts. Null texts are empty (and stay null when redacted); repeated rows stay.
+    whole texts. Null texts are empty; repeated rows stay; an empty table gives no rows.
     """
     models = train(sample_words(docs, text_col, training_rows))
     rows = id_and_text(docs, id_col, text_col)
@@ -159,22 +156,51 @@ def find(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            original = batch.column("text")
             for at, to, part in text_slices(batch, "text"):
-                base, spans, texts = [[] for _ in range(at, to)], [[] for _ in range(at, to)], None
-                for i in np.flatnonzero(candidates(part)).tolist():
-                    text = part[i].as_py()
-                    base[i] = base_spans(text)
-                    spans[i] = sorted(base[i] + random_spans(text, models, least, base[i]), key=_order)
+                base, spans = spans_of(part, models, least)
                 columns = [batch.column("id").slice(at, to - at), pa.array(_dicts(base), spans_type), pa.array(_dicts(spans), spans_type)]
-                if redact:
-                    texts = original.slice(at, to - at).to_pylist()
-                    texts = [redacted(t, s) if s else t for t, s in zip(texts, spans)]
-                    columns.append(pa.array(texts, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "base", "spans", "text"][: len(columns)])
-
-    schema = f"id {kind}, base {span}, spans {span}" + (", text string" if redact else "")
-    return rows.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays(columns, ["id", "base", "spans"])
+
+    return rows.mapInArrow(run, f"id {kind}, base {span}, spans {span}")
+
+
+def redact(
+    docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", training_rows: int = 500, least: float = 0.6
+) -> DataFrame:
+    """Rows of ``docs``, all columns, with the spans that ``find`` finds replaced by ``[secret]``.
+
+    ``length_col``, if there is one, is set to the new length where a text changes.
+    """
+    models = train(sample_words(docs, text_col, training_rows))
+    place = docs.columns.index(text_col)
+    length = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["text"])
+            for at, to, part in text_slices(plain, "text"):
+                rows, (_, spans) = batch.slice(at, to - at), spans_of(part, models, least)
+                if any(spans):
+                    columns = list(rows.columns)
+                    texts = [redacted(t, s) if s else t for t, s in zip(columns[place].to_pylist(), spans)]
+                    columns[place] = pa.array(texts, columns[place].type)
+                    if length is not None:
+                        sizes = [len(t) if s else n for t, s, n in zip(texts, spans, columns[length].to_pylist())]
+                        columns[length] = pa.array(sizes, columns[length].type)
+                    rows = pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+                yield rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def spans_of(part: pa.Array, models: MarkovPair, least: float) -> tuple[list[list[tuple]], list[list[tuple]]]:
+    """Base spans and all spans of each text of a slice."""
+    base, spans = [[] for _ in range(len(part))], [[] for _ in range(len(part))]
+    for i in np.flatnonzero(candidates(part)).tolist():
+        text = part[i].as_py()
+        base[i] = base_spans(text)
+        spans[i] = sorted(base[i] + random_spans(text, models, least, base[i]), key=_order)
+    return base, spans
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -10,11 +11,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.llm.common import id_and_text, with_row
+from ledgerloom.llm.common import id_and_text, mix
 from ledgerloom.llm.components import components
 from ledgerloom.session import cut_lineage
 
 BITS = 64
+#: Words of the longer fingerprint that the similarity of two texts is read from.
+LANES = 4
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER_TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
 _CHUNK = 1 << 16
@@ -36,8 +39,8 @@ def fingerprint(text: bytes, size: int = 3) -> int:
         to = min(count, at + _CHUNK)
         spans = zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist())
         hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, to - at)
-        set_in += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_in > count, bitorder="little").tobytes(), "little")
+        set_in += _set_bits(hashes)
+    return _majority(set_in, count)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -56,88 +59,100 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, digest bigint, fp bigint")
 
 
-def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, cell: int = 2048) -> DataFrame:
-    """``(a, b)``: links between distinct fingerprints that join whatever is within ``distance`` bits.
+def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int = 3, wide: int = 0, cell: int = 2048) -> DataFrame:
+    """``(a, b)``: links between nodes that join whatever is close.
 
-    ``blocks`` parts of a fingerprint leave at least ``blocks - distance`` equal in a close pair,
-    so every choice of that many parts is a key, and a close pair shares a key. A key with more
-    than ``cell`` fingerprints is cut into parts of about that size by hash, and every pair of
-    parts is compared in a task of its own. Within such a cell the links form a spanning forest:
-    a fingerprint is linked when it is first reached, so links never exceed the rows.
+    ``points`` has ``node``, its fingerprint ``fp`` and, with ``wide`` > 0, words ``s0`` ... of a longer
+    fingerprint. Close are ``distance`` bits or fewer of ``fp`` and ``wide`` or fewer of the longer one.
+    A fingerprint is split into ``blocks`` parts; every choice of ``kept`` parts is a key. Pairs that
+    differ in at most ``blocks - kept`` parts share a key, so with ``distance`` no more than that no
+    close pair is missed. A key with more than ``cell`` nodes is cut into parts of about that size
+    by hash, and every pair of parts is compared in a task of its own. Within such a cell the
+    links form a spanning forest: a node is linked when it is first reached, so links never exceed
+    the rows.
     """
-    kept = blocks - distance
+    lanes = [c for c in points.columns if c not in ("node", "fp")]
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     keys = []
     for i, chosen in enumerate(combinations(range(blocks), kept)):
         mask = sum(((1 << cuts[c + 1]) - (1 << cuts[c])) for c in chosen)
         mask = mask - (1 << BITS) if mask >> (BITS - 1) else mask
         keys.append(F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    keyed = points.select("fp", F.inline(F.array(*keys)))
+    keyed = points.select("node", "fp", F.inline(F.array(*keys)))
     busy = keyed.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
     parts = busy.select("which", "key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = keyed.join(parts, ["which", "key"]).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = placed.withColumn("other", other).select(
-        "which", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
+        "which", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp"
     )
+    if lanes:
+        cells = cells.join(points.select("node", *lanes), "node")
     by = ["which", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, by):
-            a, b = spanning_links(group, distance)
+        for nodes, bits in _runs(batches, by, ["fp", *lanes]):
+            a, b = spanning_links(bits, distance, wide)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
     return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a forest that joins what chains of pairs within ``distance`` bits join."""
-    left, a, b = fps, [], []
+def spanning_links(bits: np.ndarray, distance: int, wide: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links of a forest that joins what chains of close pairs join.
+
+    The first column of ``bits`` is the fingerprint, the others are the words of the longer one.
+    """
+    left, a, b = np.arange(len(bits)), [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+            near = np.bitwise_count(bits[left, 0] ^ bits[x, 0]) <= distance
+            if bits.shape[1] > 1:
+                near[near] = np.bitwise_count(bits[left[near], 1:] ^ bits[x, 1:]).sum(1) <= wide
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), x))
                 b.append(found)
                 front.extend(found)
                 left = left[~near]
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[np.ndarray]:
-    """Fingerprints of each cell; cells come in order, and one may go on in the next batch."""
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str], bits: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and fingerprints of each cell; cells come in order, and one may go on in the next batch."""
     rest, rest_key = [], None
+
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([n for n, _ in rest]), np.concatenate([x for _, x in rest])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
-        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        nodes = batch.column("node").to_numpy(zero_copy_only=False)
+        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in bits], 1)
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        edges = [0, *new.tolist(), len(fps)]
+        edges = [0, *new.tolist(), len(nodes)]
         for s, e in zip(edges, edges[1:]):
             key = tuple(c[s] for c in cols)
             if key != rest_key:
-                if sum(map(len, rest)) > 1:
-                    yield np.concatenate(rest)
+                if sum(len(n) for n, _ in rest) > 1:
+                    yield whole()
                 rest, rest_key = [], key
-            rest.append(fps[s:e].copy())
-    if sum(map(len, rest)) > 1:
-        yield np.concatenate(rest)
+            rest.append((nodes[s:e].copy(), values[s:e]))
+    if sum(len(n) for n, _ in rest) > 1:
+        yield whole()
 
 
-def clusters(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """``(fp, root)`` for every distinct fingerprint; equal roots: reachable over close links."""
-    points = prints.select("fp").distinct()
-    found = components(close_links(points, distance), "a", "b")
-    return points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root")
-    )
+def clusters(points: DataFrame, **how) -> DataFrame:
+    """``(node, root)`` for every node; equal roots: reachable over close links."""
+    found = components(close_links(points, **how), "a", "b")
+    return points.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(
@@ -151,29 +166,84 @@ def near_duplicates(
     null. Repeated rows stay. Other columns are not looked at; an empty table gives no rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, size))
-    roots = cut_lineage(clusters(prints, distance))
+    points = prints.select(F.col("fp").alias("node"), "fp").distinct()
+    roots = cut_lineage(clusters(points, distance=distance, blocks=2 * distance, kept=distance)).withColumnRenamed("node", "fp")
     firsts = prints.groupBy("fp").agg(F.min("id").alias("id")).join(roots, "fp")
     smallest = firsts.groupBy("root").agg(F.min("id").alias("component_id"))
     by_print = roots.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3) -> DataFrame:
-    """Rows of ``docs``, all columns, with one row left of each component of ``near_duplicates``.
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, digest, node, fp, s0 ... )``: a fingerprint of the set of words and a longer one of the shingles."""
+    rows = id_and_text(docs, id_col, text_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["fp", *(f"s{i}" for i in range(LANES))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([sketch(x.as_py() or b"", size) for x in batch.column("text").cast(pa.binary())], np.uint64)
+            found = found.reshape(-1, len(names)).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], ["id", "digest", *names])
+
+    rows = rows.select("id", F.xxhash64("text").alias("digest"), "text")
+    made = rows.mapInArrow(run, f"id {kind}, digest bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return made.withColumn("node", F.xxhash64(*names))
+
+
+def sketch(text: bytes, size: int) -> list[int]:
+    """SimHash of the different words of a text, then of its shingles with ``LANES`` hashes; no words: zeros."""
+    words = text.translate(_LOWER_TABLE).split()
+    if not words:
+        return [0] * (LANES + 1)
+    single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in sorted(set(words))), np.uint64)
+    out, single_first = np.zeros((LANES, BITS), np.int64), _set_bits(single)
+    count = max(1, len(words) - size + 1)
+    for at in range(0, count, _CHUNK):
+        to = min(count, at + _CHUNK)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(at, to)), np.uint64)
+        for lane in range(LANES):
+            out[lane] += _set_bits(hashes if lane == 0 else mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))))
+    return [_majority(single_first, len(single)), *(_majority(x, count) for x in out)]
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(set_in: np.ndarray, count: int) -> int:
+    return int.from_bytes(np.packbits(2 * set_in > count, bitorder="little").tobytes(), "little")
+
+
+def expected_distance(similarity: float, bits: int, deviations: float = 1.6) -> int:
+    """Differing bits of two shingle sets of a Jaccard similarity, with some deviations of room."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8,
+    word_distance: int = 10, blocks: int = 9, kept: int = 3,
+) -> DataFrame:
+    """Rows of ``docs``, all columns, with one row left of each group of near duplicates.
 
-    The row with the smallest id stays, nulls last, ties by a hash of the text; of wholly equal
-    rows any one.
+    Texts are near duplicates where the SimHash of their different words differs in
+    ``word_distance`` bits or fewer and that of their ``size``-word shingles, over ``LANES`` times 64
+    bits, in no more than texts of ``similarity`` do (``expected_distance``); groups are chains of such
+    pairs. The row with the smallest id stays, nulls last, ties by a hash of the text; of wholly
+    equal rows any one. Null and empty texts form one group. An empty table stays empty.
     """
-    prints = with_row(fingerprints(docs, id_col, text_col, size))
-    roots = clusters(prints, distance)
+    prints = cut_lineage(sketches(docs, id_col, text_col, size))
+    points = prints.drop("id", "digest").distinct()
+    wide = expected_distance(similarity, LANES * BITS)
+    roots = clusters(points, distance=word_distance, blocks=blocks, kept=kept, wide=wide)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    first = prints.groupBy("fp").agg(F.min(order).alias("o")).join(roots, "fp").groupBy("root").agg(F.min("o").alias("o"))
-    kept = cut_lineage(first.select(F.col("o.id").alias("_kept_id"), F.col("o.digest").alias("_kept_digest")))
+    first = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node").groupBy("root").agg(F.min("o").alias("o"))
+    keep = cut_lineage(first.select(F.col("o.id").alias("_kept_id"), F.col("o.digest").alias("_kept_digest")))
     digest = F.xxhash64(docs[text_col].cast("string"))
-    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (digest == kept["_kept_digest"])
-    columns = docs.columns
-    marked = docs.join(kept, same).dropDuplicates(["_kept_id", "_kept_digest"])
-    return marked.select(*columns)
+    same = docs[id_col].eqNullSafe(keep["_kept_id"]) & (digest == keep["_kept_digest"])
+    return docs.join(keep, same).dropDuplicates(["_kept_id", "_kept_digest"]).select(*[docs[c] for c in docs.columns])
 
 
 def hexadecimal(value: Column) -> Column:

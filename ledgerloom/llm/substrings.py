@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import Words, gram_hashes, id_and_text, last_minimum, shingle_bytes, span_hashes, text_slices
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.llm.common import Words, gram_hashes, id_and_text, last_minimum, saved, shingle_bytes, span_hashes, text_slices
 
 #: Words of the grams that choose a window's anchor.
 GRAM = 6
@@ -214,21 +212,13 @@ def _judged(contents: DataFrame, span: int) -> DataFrame:
     return ordered.mapInArrow(run, "content bigint, spans array<struct<a:int,b:int>>")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def repeated_spans(texts: DataFrame, span: int) -> DataFrame:
     """``(who, digest, spans)`` for texts ``(who, digest, text)`` with a window that stands elsewhere too."""
     regions = _regions(texts, span)
     kinds = regions.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     busy = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     busy = kinds.join(busy, "anchor").select("anchor", "content", "n", "kinds")
-    members = _saved(regions.drop("anchor").join(busy, "content"))
+    members = saved(regions.drop("anchor").join(busy, "content"))
 
     cold = members.where(F.col("kinds") <= SHARD)
     place = F.struct("who", "digest", "first", "windows", "anchor", "n")
