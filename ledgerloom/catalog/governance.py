@@ -14,17 +14,18 @@ _RULE_ROWS = ",\n".join(
         r[0], r[1], r[2], ",".join(r[4]), ",".join(r[5]), ",".join(r[6]), r[7], r[8], r[9], r[10])
     for r in R.RULES
 )
-_RULES = f"""rules(rule_id, law, section, applies_to, blocked, allowed, needs_consent, needs_signatures, min_signatures, auto_fix) AS (VALUES
+_CLOSED = "asked AS (SELECT * REPLACE (coalesce(has_consent, false) AS has_consent, coalesce(signature_count, 0) AS signature_count, coalesce(target_region, '') AS target_region) FROM transfer_requests)"
+_RULES = f"""{_CLOSED}, rules(rule_id, law, section, applies_to, blocked, allowed, needs_consent, needs_signatures, min_signatures, auto_fix) AS (VALUES
 {_RULE_ROWS})"""
 _EVALUATED = _RULES + """,
-listed AS (SELECT q.*, u.law AS asked, u.pos AS law_position FROM transfer_requests q,
+listed AS (SELECT q.*, u.law AS asked_law, u.pos AS law_position FROM asked q,
   (SELECT seq AS s, unnest(NAMES(laws_text)) AS law, generate_subscripts(NAMES(laws_text), 1) - 1 AS pos FROM transfer_requests) u WHERE u.s = q.seq),
 evaluated AS (SELECT listed.*, rule_id, law, section, auto_fix,
   CASE WHEN blocked = 'non-IN' AND NOT starts_with(target_region, 'IN') THEN 'blocked_region'
        WHEN allowed <> '' AND NOT list_contains(NAMES(allowed), target_region) THEN 'not_allowed_region'
        WHEN needs_consent AND NOT has_consent THEN 'consent'
        WHEN needs_signatures AND signature_count < min_signatures THEN 'signatures' END AS failed_test
-  FROM listed JOIN rules ON law = asked AND list_contains(NAMES(applies_to), classification))"""
+  FROM listed JOIN rules ON law = asked_law AND (applies_to = '' OR list_contains(NAMES(applies_to), classification)))"""
 _DECIDED = _EVALUATED + """,
 summed AS (SELECT seq, count(*) AS n, count(failed_test) AS broken,
   count(*) FILTER (WHERE failed_test IS NOT NULL AND (auto_fix = '' OR failed_test = 'signatures')) AS open,
@@ -38,7 +39,7 @@ decided AS (SELECT q.*, concat('DEC-', left(tx_id, 12)) AS decision_id,
   CASE WHEN coalesce(open, 0) > 0 THEN concat('BLOCKED by: ', causes) WHEN coalesce(broken, 0) > 0
     THEN concat('Allowed after ', broken - open, ' auto-fixes applied') ELSE 'All compliance rules satisfied' END AS reason,
   coalesce(n, 0) AS rules_evaluated, coalesce(n - open, 0) AS rules_passed, coalesce(violations, '') AS violations, coalesce(fixes, '') AS auto_fixes
-  FROM transfer_requests q LEFT JOIN summed USING (seq))"""
+  FROM asked q LEFT JOIN summed USING (seq))"""
 
 
 def decisions(t: Tables):
@@ -77,6 +78,20 @@ def a8(t):
         joined("auto_fixes").alias("auto_fixes"))
 
 
+#: One more rule as a table may store it: lists missing, so it applies to all and no region.
+_OPEN_RULE = ("OTHER-001", "OTHER", "Sec 1", "Signed twice", None, None, None, None, True, 2, None, "none", True, None)
+_DECIDED_STORED = _DECIDED.replace(_RULE_ROWS, _RULE_ROWS + ",\n('OTHER-001', 'OTHER', 'Sec 1', '', '', '', false, true, 2, '')")
+
+
+@query("a8_decide_joined", f"WITH {_DECIDED_STORED} SELECT request_id, decision, reason, rules_evaluated, rules_passed, violations, auto_fixes FROM decided")
+def a8_joined(t):
+    stored = R.rule_catalogue(t.spark, [*R.RULES, _OPEN_RULE])
+    return C.decide_joined(t("transfer_requests"), stored).select(
+        "request_id", "decision", "reason", big("rules_evaluated").alias("rules_evaluated"),
+        big("rules_passed").alias("rules_passed"), joined(F.transform("violations", lambda v: v["violation_id"])).alias("violations"),
+        joined("auto_fixes").alias("auto_fixes"))
+
+
 @query("a9_compliance_report", f"""WITH {_DECIDED}
 SELECT dataset_id, count(*) AS total, count(*) FILTER (WHERE decision = 'ALLOWED') AS allowed, count(*) FILTER (WHERE decision = 'BLOCKED') AS blocked,
   count(*) FILTER (WHERE decision = 'ALLOWED_WITH_FIX') AS auto_fixed,
@@ -102,8 +117,8 @@ _ADEQUATE = "(starts_with(target_region, 'EU-') OR target_region IN ('UK','CH','
 
 
 @query("c3_profile_simulation", f"""
-WITH b AS (SELECT *, contains(laws_text, 'DPDP_2023') AND classification <> 'PUBLIC' AS d, contains(laws_text, 'GDPR') AND classification IN ('PII', 'HEALTH') AS g,
-  contains(laws_text, 'HIPAA') AND classification = 'HEALTH' AS h FROM transfer_requests),
+WITH {_CLOSED}, b AS (SELECT *, contains(laws_text, 'DPDP_2023') AND classification <> 'PUBLIC' AS d, contains(laws_text, 'GDPR') AND classification IN ('PII', 'HEALTH') AS g,
+  contains(laws_text, 'HIPAA') AND classification = 'HEALTH' AS h FROM asked),
 v AS (SELECT *, d AND target_region NOT IN {_IN_SET} AND NOT has_consent AS v1, d AND target_region <> source_region AND signature_count < 3 AS v4,
   g AND NOT {_ADEQUATE} AS vg FROM b)
 SELECT request_id, CASE WHEN v1 OR v4 OR vg THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision,
@@ -118,12 +133,12 @@ def c3(t):
         joined("auto_fixes").alias("auto_fixes"))
 
 
-@query("c4_profile_fallback", """
-WITH v AS (SELECT *, contains(laws_text, 'DPDP_2023') AS d, contains(laws_text, 'GDPR') AS g,
+@query("c4_profile_fallback", f"""
+WITH {_CLOSED}, v AS (SELECT *, contains(laws_text, 'DPDP_2023') AS d, contains(laws_text, 'GDPR') AS g,
   contains(laws_text, 'DPDP_2023') AND NOT starts_with(target_region, 'IN') AND NOT has_consent AS v1,
   contains(laws_text, 'DPDP_2023') AND starts_with(target_region, 'IN') AND NOT (has_consent OR signature_count >= 3) AS v2,
   contains(laws_text, 'GDPR') AND target_region NOT IN ('DE','FR','IT','ES','NL','BE','SE','AT','DK','FI','PL','PT','IE','GB','UK','CH','NO','IS','LI','JP','CA','NZ','AR','IL','UY','KR') AS vg
-  FROM transfer_requests)
+  FROM asked)
 SELECT request_id, CASE WHEN v1 OR v2 OR vg THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision,
   CASE WHEN v1 OR v2 OR vg THEN concat_ws('; ', CASE WHEN v1 THEN 'DPDP-001: Indian personal data must not leave India without explicit consent' END,
     CASE WHEN v2 THEN 'DPDP-002: Within-India transfer requires consent or multisig approval' END,
@@ -147,11 +162,11 @@ def expression_checks(t: Tables):
     return C.decide_expressions(t("transfer_requests").withColumn("laws", F.transform("jurisdictions", full)))
 
 
-_EXPRESSIONS = """
-facts AS (SELECT *, target_region = 'IN' OR has_consent AS h1, coalesce(fabric_tx_id, '') <> '' AS h3,
+_EXPRESSIONS = f"""
+{_CLOSED}, facts AS (SELECT *, target_region = 'IN' OR has_consent AS h1, coalesce(fabric_tx_id, '') <> '' AS h3,
   target_region IN ('DE','FR','IT','ES','NL','BE','SE','AT','DK','FI','PL','PT','GR','CZ','RO','HU','SK','BG','HR','LT','LV','EE','SI','MT','CY','LU','IE','UK','CH','NO','IS','LI','JP','CA','NZ','AR','IL','UY','KR','GB') AS h4,
   coalesce(is_erasable, false) AS h5, coalesce(field_count, 0) <= coalesce(justified_field_count, 0) AS h6,
-  coalesce(encrypted_at_rest, true) AND coalesce(encrypted_in_transit, true) AS h7, coalesce(clearance_level, 999) >= coalesce(required_clearance, 0) AS h8 FROM transfer_requests),
+  coalesce(encrypted_at_rest, true) AND coalesce(encrypted_in_transit, true) AS h7, coalesce(clearance_level, 999) >= coalesce(required_clearance, 0) AS h8 FROM asked),
 laws AS (SELECT seq AS s, unnest(NAMES(laws_text)) AS law, generate_subscripts(NAMES(laws_text), 1) AS pos FROM transfer_requests),
 broken AS (SELECT seq, pos, r.* FROM facts JOIN laws ON seq = s, LATERAL (SELECT * FROM (VALUES
     ('DPDP-001', law = 'DPDP_2023' AND NOT h1, 'Personal data of Indian citizens must not leave India without explicit consent', 'request_consent() if can_request else block_transfer()'),
@@ -216,9 +231,9 @@ _POLICY = """FROM dataset_uses u JOIN datasets d USING (dataset_id)"""
 
 
 @query("c6_can_cross_border", f"""
-SELECT u.seq, NOT list_contains(NAMES(blocked_text), target_region) AND list_contains(NAMES(allowed_text), target_region) AS allowed,
-  CASE WHEN list_contains(NAMES(blocked_text), target_region) THEN concat('BLOCKED: ', target_region, ' is explicitly blocked by border policy')
-    WHEN NOT list_contains(NAMES(allowed_text), target_region) THEN
+SELECT u.seq, NOT list_contains(NAMES(coalesce(blocked_text, '')), target_region) AND list_contains(NAMES(coalesce(allowed_text, '')), target_region) AS allowed,
+  CASE WHEN list_contains(NAMES(coalesce(blocked_text, '')), target_region) THEN concat('BLOCKED: ', target_region, ' is explicitly blocked by border policy')
+    WHEN NOT list_contains(NAMES(coalesce(allowed_text, '')), target_region) THEN
       CASE WHEN starts_with(laws_text, 'IN_') AND NOT starts_with(target_region, 'IN') THEN 'BLOCKED: DPDP 2023 — data cannot leave India without explicit approval'
            WHEN starts_with(laws_text, 'EU_') AND target_region NOT IN ('DE','FR','IT','ES','PL','NL','BE','SE','AT','DK') THEN 'BLOCKED: GDPR — data cannot leave EU without adequacy decision'
            WHEN contains(laws_text, ',IN_') AND NOT starts_with(target_region, 'IN') THEN 'BLOCKED: DPDP 2023 — data cannot leave India without explicit approval'
@@ -230,9 +245,9 @@ def c6(t):
     return dna.can_cross_border(joined_uses).select("seq", "allowed", "note")
 
 
-_ACCESS = f"""SELECT u.seq, u.dataset_id, owner_id = user_id OR (contains(purpose, consent_purpose) AND NOT coalesce(u.ts > consent_expires, false)) AS allowed,
+_ACCESS = f"""SELECT u.seq, u.dataset_id, coalesce(owner_id = user_id, false) OR (coalesce(contains(purpose, consent_purpose), false) AND NOT coalesce(u.ts > consent_expires, false)) AS allowed,
   CASE WHEN owner_id = user_id THEN 'ALLOWED: owner access'
-    WHEN NOT contains(purpose, consent_purpose) THEN concat('BLOCKED: purpose ''', purpose, ''' does not match consent ''', consent_purpose, '''')
+    WHEN NOT coalesce(contains(purpose, consent_purpose), false) THEN concat('BLOCKED: purpose ''', purpose, ''' does not match consent ''', coalesce(consent_purpose, ''), '''')
     WHEN u.ts > consent_expires THEN 'BLOCKED: consent has expired' ELSE 'ALLOWED: valid consent' END AS note {_POLICY}"""
 
 
@@ -242,7 +257,10 @@ def c7(t):
     return dna.can_access(joined_uses, F.col("ts")).select("seq", "allowed", "note")
 
 
-@query("c13_consent_violations", f"SELECT seq, dataset_id, note FROM ({_ACCESS}) WHERE NOT allowed")
+_ACCESS_ALL = _ACCESS.replace("JOIN datasets", "LEFT JOIN datasets")
+
+
+@query("c13_consent_violations", f"SELECT seq, dataset_id, note FROM ({_ACCESS_ALL}) WHERE NOT allowed")
 def c13(t):
     return dna.consent_violations(t("datasets").drop("seq"), t("dataset_uses")).select("seq", "dataset_id", "note")
 
@@ -264,9 +282,9 @@ _HASH = """sha256(concat_ws('|', tx_id, job_id, timestamp, inputs_text, hashes_t
   pipeline_version, CAST(CAST(sigma_level AS DECIMAL(12,4)) AS VARCHAR), classification, laws_text, owner_org, operator_msp, node_id, region, ipfs_cid))"""
 
 
-@query("x8_lineage_hash", f"SELECT tx_id, {_HASH} AS recomputed, {_HASH} = genome_hash AS intact FROM lineage")
+@query("x8_lineage_hash", f"SELECT tx_id, {_HASH} AS recomputed, {_HASH} IS NOT DISTINCT FROM genome_hash AS intact FROM lineage")
 def x8(t):
-    return t("lineage").select("tx_id", H.lineage_hash().alias("recomputed"), (H.lineage_hash() == F.col("genome_hash")).alias("intact"))
+    return t("lineage").select("tx_id", H.lineage_hash().alias("recomputed"), H.lineage_hash().eqNullSafe(F.col("genome_hash")).alias("intact"))
 
 
 @query("g1_lineage_chains", """SELECT output_dataset_id, tx_id, row_number() OVER (PARTITION BY output_dataset_id ORDER BY ts DESC, tx_id DESC) AS position FROM lineage""")
@@ -290,7 +308,7 @@ def p15(t):
     return L.period(t("lineage"), "1996-01-01T00:00:00Z", "1997-06-30T23:59:59Z").select("tx_id")
 
 
-_VERDICT = f"""checked AS (SELECT *, {_HASH} <> genome_hash AS bad FROM lineage),
+_VERDICT = f"""checked AS (SELECT *, {_HASH} IS DISTINCT FROM genome_hash AS bad FROM lineage),
 verdict AS (SELECT output_dataset_id AS dataset_id, count(*) AS records, count(*) FILTER (WHERE bad) AS tampered,
   arg_max(tx_id, concat(timestamp, tx_id)) FILTER (WHERE bad) AS first_bad, arg_max(output_hash, concat(timestamp, tx_id)) AS latest_hash FROM checked GROUP BY 1)"""
 
@@ -345,7 +363,7 @@ def g14(t):
     return L.impact(lineage, roots, 4).groupBy("root").agg((F.count(F.lit(1)) - 1).alias("affected"))
 
 
-@query("a11_lineage_audit_report", f"""WITH c AS (SELECT *, {_HASH} = genome_hash AS ok FROM lineage),
+@query("a11_lineage_audit_report", f"""WITH c AS (SELECT *, {_HASH} IS NOT DISTINCT FROM genome_hash AS ok FROM lineage),
 j AS (SELECT output_dataset_id AS d, string_agg(DISTINCT law, ',' ORDER BY law) AS jurisdictions FROM (SELECT output_dataset_id, unnest(NAMES(laws_text)) AS law FROM lineage) GROUP BY 1)
 SELECT output_dataset_id AS dataset_id, count(*) AS total_records, bool_and(ok) AS integrity_ok,
   CAST(sum(CAST(sigma_level AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_sigma, any_value(jurisdictions) AS jurisdictions,

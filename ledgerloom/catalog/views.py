@@ -193,11 +193,11 @@ SELECT o_orderkey AS seq, concat('R-', CAST(o_orderkey AS STRING)) AS request_id
        WHEN o_orderkey % 17 = 0 THEN 'OTHER' WHEN o_orderstatus = 'P' THEN 'DPDP_2023'
        WHEN o_orderstatus = 'F' THEN 'GDPR' ELSE 'DPDP_2023,GDPR' END AS laws_text,
   'IN-TG' AS source_region,
-  CASE o_orderkey % 9 WHEN 0 THEN 'IN-TG' WHEN 1 THEN 'IN-MH' WHEN 2 THEN 'IN' WHEN 3 THEN 'US' WHEN 4 THEN 'SG'
-       WHEN 5 THEN 'EU-DE' WHEN 6 THEN 'UK' WHEN 7 THEN 'IN-GJ' ELSE 'DE' END AS target_region,
+  CASE WHEN o_orderkey % 31 = 5 THEN NULL ELSE CASE o_orderkey % 9 WHEN 0 THEN 'IN-TG' WHEN 1 THEN 'IN-MH' WHEN 2 THEN 'IN' WHEN 3 THEN 'US' WHEN 4 THEN 'SG'
+       WHEN 5 THEN 'EU-DE' WHEN 6 THEN 'UK' WHEN 7 THEN 'IN-GJ' ELSE 'DE' END END AS target_region,
   CASE o_custkey % 3 WHEN 0 THEN 'analytics' WHEN 1 THEN 'medical_treatment' ELSE 'research' END AS purpose,
-  IDIV(o_orderkey, 9) % 2 = 0 AS has_consent,
-  CAST(IDIV(o_orderkey, 18) % 5 AS INT) AS signature_count,
+  CASE WHEN o_orderkey % 23 = 3 THEN NULL ELSE IDIV(o_orderkey, 9) % 2 = 0 END AS has_consent,
+  CASE WHEN o_orderkey % 29 = 4 THEN NULL ELSE CAST(IDIV(o_orderkey, 18) % 5 AS INT) END AS signature_count,
   PLUS_SECONDS(o_orderdate, o_orderkey % 86400) AS ts,
   SHA256(concat('decision-', CAST(o_orderkey AS STRING))) AS tx_id,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN '' ELSE concat('TX_', CAST(o_orderkey AS STRING)) END AS fabric_tx_id,
@@ -213,7 +213,7 @@ FROM orders
 """
 
 LINEAGE = """
-SELECT r.*, CASE WHEN seq % 997 = 0 THEN SHA256(concat('tampered-', tx_id)) ELSE SHA256(concat_ws('|',
+SELECT r.*, CASE WHEN seq % 997 = 0 THEN SHA256(concat('tampered-', tx_id)) WHEN seq % 499 = 7 THEN NULL ELSE SHA256(concat_ws('|',
     tx_id, job_id, timestamp, inputs_text, hashes_text, output_dataset_id, output_hash, transformation_type,
     pipeline_id, pipeline_version, CAST(CAST(sigma_level AS DECIMAL(12,4)) AS STRING), classification, laws_text,
     owner_org, operator_msp, node_id, region, ipfs_cid)) END AS genome_hash
@@ -297,13 +297,13 @@ FROM (
 DATASETS = """
 SELECT c_custkey AS seq, concat('ds-', CAST(c_custkey AS STRING)) AS dataset_id, concat('owner-', CAST(c_custkey % 100 AS STRING)) AS owner_id,
   CASE c_custkey % 4 WHEN 0 THEN 'IN_DPDP_2023' WHEN 1 THEN 'EU_GDPR_2018' WHEN 2 THEN 'EU_GDPR_2018,IN_DPDP_2023' ELSE 'GLOBAL_OPEN' END AS laws_text,
-  CASE c_custkey % 3 WHEN 0 THEN 'IN,IN-TG' WHEN 1 THEN 'DE,FR' ELSE 'IN' END AS allowed_text,
-  CASE WHEN c_custkey % 5 = 0 THEN 'CN,US' ELSE 'CN' END AS blocked_text,
+  CASE WHEN c_custkey % 41 = 3 THEN NULL WHEN c_custkey % 3 = 0 THEN 'IN,IN-TG' WHEN c_custkey % 3 = 1 THEN 'DE,FR' ELSE 'IN' END AS allowed_text,
+  CASE WHEN c_custkey % 43 = 2 THEN NULL WHEN c_custkey % 5 = 0 THEN 'CN,US' ELSE 'CN' END AS blocked_text,
   c_custkey % 4 IN (0, 2) AS requires_multisig, 3 AS multisig_count,
-  CASE c_custkey % 3 WHEN 0 THEN 'analytics' WHEN 1 THEN 'medical' ELSE 'research' END AS consent_purpose,
+  CASE WHEN c_custkey % 37 = 1 THEN NULL WHEN c_custkey % 3 = 0 THEN 'analytics' WHEN c_custkey % 3 = 1 THEN 'medical' ELSE 'research' END AS consent_purpose,
   CASE WHEN c_custkey % 6 = 0 THEN NTZ('1998-06-01 00:00:00') WHEN c_custkey % 6 = 1 THEN NTZ('2030-01-01 00:00:00') ELSE NULL END AS consent_expires,
   CASE WHEN c_custkey % 8 = 0 THEN 12 ELSE 5 END AS n_tags
-FROM customer
+FROM customer WHERE c_custkey % 47 <> 5
 """
 
 DATASET_USES = """

@@ -74,7 +74,8 @@ def sign(payload: Column, key: Column) -> Column:
 
 
 def verify(payload: Column, key: Column, signature: Column) -> Column:
-    return sign(payload, key) == signature
+    """False, not unknown, where anything is missing."""
+    return F.coalesce(sign(payload, key) == signature, F.lit(False))
 
 
 def json_string(value: Column) -> Column:

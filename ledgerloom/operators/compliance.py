@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.hashing import piped, sha256
 from ledgerloom.functions.numbers import fixed
 from ledgerloom.operators.ordered import first_k_per_key
-from ledgerloom.operators.rules import FIELDS, RULES
+from ledgerloom.operators.rules import FIELDS, RULE_LISTS, RULES, closed_rules
 
 REQUEST_COLUMNS = (
     "request_id", "dataset_id", "classification", "jurisdictions", "source_region", "target_region",
@@ -19,6 +19,18 @@ REQUEST_COLUMNS = (
 )
 
 
+#: What a missing field of a request stands for: nothing was granted, nothing was named.
+MISSING = {"has_consent": False, "signature_count": 0, "classification": "", "source_region": "", "target_region": "", "allow_auto_fix": False}
+
+
+def closed_requests(requests: DataFrame) -> DataFrame:
+    """Requests whose missing fields count as not given, so no profile lets an unknown pass."""
+    filled = {name: F.coalesce(name, F.lit(value)) for name, value in MISSING.items() if name in requests.columns}
+    lists = [name for name in ("jurisdictions", "laws") if name in requests.columns]
+    filled |= {name: F.coalesce(name, F.array().cast("array<string>")) for name in lists}
+    return requests.withColumns(filled)
+
+
 def _broken_test(rule, target: Column, consent: Column, signatures: Column) -> Column:
     """Name of the first test a request fails, null when it passes."""
     blocked = F.exists(
@@ -45,8 +57,9 @@ def applicable_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
     A jurisdiction listed twice counts twice. The join key is the law; Spark broadcasts the
     rule table when its size allows.
     """
-    listed = requests.select(*requests.columns, F.posexplode("jurisdictions").alias("law_position", "law"))
-    kept = rules.filter("active")
+    closed = closed_requests(requests)
+    listed = closed.select(*closed.columns, F.posexplode("jurisdictions").alias("law_position", "law"))
+    kept = closed_rules(rules).filter("active")
     joined = listed.join(kept, "law")
     return joined.filter(
         (F.size("applies_to") == 0) | F.expr("array_contains(applies_to, classification)")
@@ -93,7 +106,9 @@ def decide(requests: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     carries only a small number per tested rule (position and outcome); names and texts are
     looked up for violations alone. For rule tables too large for that see ``decide_joined``.
     """
+    requests = closed_requests(requests)
     known = [dict(zip(FIELDS, rule)) for rule in sorted(RULES if rules is None else rules, key=lambda r: r[0])]
+    known = [rule | {name: rule[name] or [] for name in RULE_LISTS} | {"auto_fix": rule["auto_fix"] or ""} for rule in known]
     known = [rule for rule in known if rule["active"]]
     by_law: dict[str, list[Column]] = {}
     for position, rule in enumerate(known):
@@ -148,6 +163,7 @@ def decide_joined(requests: DataFrame, rules: DataFrame) -> DataFrame:
 
     A group is one request with the rules of its own jurisdictions, so no group is large.
     """
+    requests = closed_requests(requests)
     tested = F.struct(
         "law_position", "rule_id", "law", "law_section", "description", "penalty", "fix",
         (~F.col("passed")).alias("violated"),
@@ -271,6 +287,7 @@ def _named(*rules: tuple[Column, str]) -> Column:
 
 def decide_simulation(requests: DataFrame) -> DataFrame:
     """Consent lets data leave India with a note; signatures count only when they are missing."""
+    requests = closed_requests(requests)
     region = F.col("target_region")
     dpdp = _listed("DPDP_2023") & F.col("classification").isin("PII", "HEALTH", "FINANCIAL", "BIOMETRIC")
     gdpr = _listed("GDPR") & F.col("classification").isin("PII", "HEALTH")
@@ -294,6 +311,7 @@ def decide_simulation(requests: DataFrame) -> DataFrame:
 
 def decide_fallback(requests: DataFrame) -> DataFrame:
     """The service's own check when no ledger answers; classification plays no part."""
+    requests = closed_requests(requests)
     region = F.col("target_region")
     inside = region.startswith("IN")
     approved = F.col("has_consent") | (F.col("signature_count") >= 3)
@@ -337,12 +355,19 @@ EXPRESSION_RULES = {
 }
 
 
-def _expression_holds() -> dict[str, Column]:
-    """Whether each rule holds; what the request leaves open takes the rule's default."""
+def _expression_holds(columns: list[str]) -> dict[str, Column]:
+    """Whether each rule holds; what the request leaves open takes the rule's default.
+
+    The purpose counts as consented to unless the request lists ``allowed_purposes``.
+    """
     yes, zero = F.lit(True), F.lit(0)
+    purpose = yes
+    if "allowed_purposes" in columns:
+        listed = F.coalesce(F.array_contains("allowed_purposes", F.coalesce("purpose", F.lit(""))), F.lit(False))
+        purpose = F.col("allowed_purposes").isNull() | listed
     return {
         "DPDP-001": (F.col("target_region") == "IN") | F.col("has_consent"),
-        "DPDP-002": yes,  # the requested purpose always counts as consented to
+        "DPDP-002": purpose,
         "DPDP-003": F.coalesce("fabric_tx_id", F.lit("")) != "",
         "GDPR-001": F.col("target_region").isin(*EXPRESSION_ADEQUATE),
         "GDPR-002": F.coalesce("is_erasable", F.lit(False)),
@@ -358,7 +383,8 @@ def decide_expressions(requests: DataFrame) -> DataFrame:
     Laws are checked in the order listed. With ``allow_auto_fix`` a request goes through
     only if every rule it breaks has a remedy.
     """
-    holds = _expression_holds()
+    requests = closed_requests(requests)
+    holds = _expression_holds(requests.columns)
 
     def rules_of(law: Column) -> Column:
         parts = []

@@ -14,8 +14,13 @@ EU_COUNTRIES = ("DE", "FR", "IT", "ES", "PL", "NL", "BE", "SE", "AT", "DK")
 
 
 def can_cross_border(df: DataFrame, target: str = "target_region") -> DataFrame:
-    """Add ``allowed`` and ``note``; the first jurisdiction that objects names the reason."""
-    region = F.col(target)
+    """Add ``allowed`` and ``note``; the first jurisdiction that objects names the reason.
+
+    Missing lists are empty and a missing region is on none, so what is unknown is refused.
+    """
+    region = F.coalesce(target, F.lit(""))
+    empty = F.array().cast("array<string>")
+    blocked, allowed, laws = (F.coalesce(c, empty) for c in ("blocked_regions", "allowed_regions", "jurisdictions"))
 
     def objection(law: Column) -> Column:
         return F.when(
@@ -26,31 +31,36 @@ def can_cross_border(df: DataFrame, target: str = "target_region") -> DataFrame:
             "BLOCKED: GDPR — data cannot leave EU without adequacy decision",
         )
 
-    objections = F.array_compact(F.transform("jurisdictions", objection))
-    refused = F.array_contains("blocked_regions", region)
-    listed = F.array_contains("allowed_regions", region)
+    objections = F.array_compact(F.transform(laws, objection))
+    refused = F.array_contains(blocked, region)
+    listed = F.array_contains(allowed, region)
     note = (
         F.when(refused, F.concat(F.lit("BLOCKED: "), region, F.lit(" is explicitly blocked by border policy")))
         .when(~listed, F.coalesce(
             F.get(objections, F.lit(0)),
             F.concat(F.lit("BLOCKED: "), region, F.lit(" not in allowed regions")),
         ))
-        .when(F.col("requires_multisig"), F.format_string(
-            "ALLOWED: %s — requires %d signatures", region, F.col("multisig_count")))
+        .when(F.coalesce("requires_multisig", F.lit(False)), F.format_string(
+            "ALLOWED: %s — requires %d signatures", region, F.coalesce("multisig_count", F.lit(0))))
         .otherwise(F.concat(F.lit("ALLOWED: "), region, F.lit(" — compliant with all jurisdictions")))
     )
     return df.withColumns({"note": note, "allowed": ~refused & listed})
 
 
 def can_access(df: DataFrame, as_of: Column) -> DataFrame:
-    """Owners always may; others need a purpose that contains the consented one, still valid."""
-    owner = F.col("owner_id") == F.col("user_id")
-    fits = F.col("purpose").contains(F.col("consent_purpose"))
+    """Owners always may; others need a purpose that contains the consented one, still valid.
+
+    Without a known owner, purpose or consent nobody may.
+    """
+    no = F.lit(False)
+    owner = F.coalesce(F.col("owner_id") == F.col("user_id"), no)
+    fits = F.coalesce(F.col("purpose").contains(F.col("consent_purpose")), no)
+    asked, given = (F.coalesce(c, F.lit("")) for c in ("purpose", "consent_purpose"))
     expired = F.coalesce(as_of > F.col("consent_expires"), F.lit(False))
     note = (
         F.when(owner, "ALLOWED: owner access")
         .when(~fits, F.concat(
-            F.lit("BLOCKED: purpose '"), "purpose", F.lit("' does not match consent '"), "consent_purpose", F.lit("'")))
+            F.lit("BLOCKED: purpose '"), asked, F.lit("' does not match consent '"), given, F.lit("'")))
         .when(expired, "BLOCKED: consent has expired")
         .otherwise("ALLOWED: valid consent")
     )
@@ -58,9 +68,9 @@ def can_access(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def consent_violations(datasets: DataFrame, uses: DataFrame) -> DataFrame:
-    """Uses of a dataset its consent did not cover at that time."""
+    """Uses of a dataset its consent did not cover at that time, those without any policy included."""
     policy = datasets.select("dataset_id", "owner_id", "consent_purpose", "consent_expires")
-    return can_access(uses.join(policy, "dataset_id"), F.col("ts")).filter(~F.col("allowed"))
+    return can_access(uses.join(policy, "dataset_id", "left"), F.col("ts")).filter(~F.col("allowed"))
 
 
 def dna_from_ingest(df: DataFrame, version_tag: str = "v3") -> DataFrame:
@@ -96,4 +106,4 @@ def dna_from_ingest(df: DataFrame, version_tag: str = "v3") -> DataFrame:
 
 
 def verify_dna(df: DataFrame) -> DataFrame:
-    return df.withColumn("integrity_ok", F.col("genome_hash") == dna_hash())
+    return df.withColumn("integrity_ok", F.col("genome_hash").eqNullSafe(dna_hash()))

@@ -55,12 +55,12 @@ def latest_metadata(lineage: DataFrame) -> DataFrame:
 
 
 def verify_integrity(lineage: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """Recompute every hash; one verdict per dataset.
+    """Recompute every hash; one verdict per dataset. A record without a hash counts as tampered with.
 
     ``expected`` may name the output hash a dataset's newest record must carry, and datasets
     that have no records at all, which fail.
     """
-    checked = lineage.withColumn("_bad", F.col("genome_hash") != lineage_hash())
+    checked = lineage.withColumn("_bad", ~F.col("genome_hash").eqNullSafe(lineage_hash()))
     newest = F.struct("ts", "tx_id")
     verdict = checked.groupBy(F.col("output_dataset_id").alias("dataset_id")).agg(
         F.count(F.lit(1)).alias("records"),
@@ -153,7 +153,7 @@ def audit_report(lineage: DataFrame) -> DataFrame:
     oldest_first = F.struct("ts", "tx_id")
     report = lineage.groupBy(F.col("output_dataset_id").alias("dataset_id")).agg(
         F.count(F.lit(1)).alias("total_records"),
-        F.bool_and(F.col("genome_hash") == lineage_hash()).alias("integrity_ok"),
+        F.bool_and(F.col("genome_hash").eqNullSafe(lineage_hash())).alias("integrity_ok"),
         exact_mean(F.col("sigma_level")).alias("avg_sigma"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("jurisdictions")))).alias("jurisdictions"),
         F.max_by("tx_id", oldest_first).alias("newest_tx"),

@@ -58,12 +58,15 @@ def rule_catalogue(spark: SparkSession, rules=None) -> DataFrame:
     return spark.createDataFrame(RULES if rules is None else rules, RULE_SCHEMA)
 
 
-def rules_from_table(df: DataFrame, max_rules: int = 200) -> list[tuple]:
-    """Read a stored rule table for use inside expressions, refusing one that is too large."""
-    rows = df.select(*FIELDS).limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"rule table exceeds {max_rules} rows; use decide_joined() instead")
-    return sorted(tuple(row) for row in rows)
+RULE_LISTS = ("applies_to", "blocked_regions", "rule_regions")
+
+
+def closed_rules(rules: DataFrame) -> DataFrame:
+    """Stored rules with missing lists as empty ones (applies to all), missing flags as false."""
+    filled = {name: F.coalesce(name, F.array().cast("array<string>")) for name in RULE_LISTS}
+    filled |= {name: F.coalesce(name, F.lit(False)) for name in ("needs_consent", "needs_signatures", "active")}
+    filled |= {"min_signatures": F.coalesce("min_signatures", F.lit(0)), "auto_fix": F.coalesce("auto_fix", F.lit(""))}
+    return rules.withColumns(filled)
 
 
 def admin_changes(changes: DataFrame, setter: Column, admin_orgs: list[str], as_of: str) -> DataFrame:

@@ -46,10 +46,50 @@ def test_decide(spark, change, decision, reason, evaluated, passed):
 
 def test_decide_with_stored_rules(spark):
     stored = R.rule_catalogue(spark).withColumn("active", F.col("rule_id") != "DPDP-002")
-    row = C.decide(request_row(spark, classification="HEALTH"), R.rules_from_table(stored)).first()
+    row = C.decide_joined(request_row(spark, classification="HEALTH"), stored).first()
     assert row.decision == "ALLOWED_WITH_FIX"
-    with pytest.raises(ValueError):
-        R.rules_from_table(stored, max_rules=3)
+
+
+@pytest.mark.parametrize("missing,as_given", [
+    ({"has_consent": None}, {"has_consent": False}), ({"signature_count": None}, {"signature_count": 0}),
+    ({"target_region": None}, {"target_region": ""}), ({"classification": None}, {"classification": ""}),
+    ({"jurisdictions": None}, {"jurisdictions": []}),
+])
+def test_missing_fields_count_as_not_given(spark, missing, as_given):
+    for profile in (C.decide, C.decide_simulation, C.decide_fallback, lambda r: C.decide_joined(r, R.rule_catalogue(spark))):
+        wanted, found = (profile(request_row(spark, **change)).first() for change in (as_given, missing))
+        assert (found.decision, found.reason) == (wanted.decision, wanted.reason)
+
+
+def test_stored_rule_without_lists_applies_to_all(spark):
+    rule = ("X-1", "DPDP_2023", "Sec", "d", None, None, None, None, True, 9, None, "p", True, None)
+    row = C.decide_joined(request_row(spark, signature_count=3), R.rule_catalogue(spark, [rule])).first()
+    assert (row.decision, row.reason) == ("BLOCKED", "BLOCKED by: X-1 (Sec)")
+
+
+def test_purposes_a_request_lists(spark):
+    asked = request_row(spark, target_region="IN", has_consent=True, fabric_tx_id="TX").withColumn("purpose", F.lit("ads"))
+    listed = asked.withColumn("allowed_purposes", F.array(F.lit("care")))
+    assert C.decide_expressions(asked).first().decision == "ALLOWED"
+    assert C.decide_expressions(listed).first().violated_rules == ["DPDP-002"]
+
+
+def test_records_and_policies_with_gaps(spark, tables):
+    lineage = tables("lineage").filter("output_dataset_id = 'ds-0'")
+    gone = L.verify_integrity(lineage.withColumn("genome_hash", F.lit(None).cast("string"))).first()
+    assert not gone.verified and gone.message.startswith("TAMPERING")
+    assert L.audit_report(lineage.withColumn("genome_hash", F.lit(None).cast("string"))).first().integrity_ok is False
+    policy = spark.sql(
+        "SELECT 'd' AS dataset_id, 'IN' AS target_region, CAST(NULL AS ARRAY<STRING>) AS jurisdictions, CAST(NULL AS ARRAY<STRING>) AS allowed_regions, "
+        "CAST(NULL AS ARRAY<STRING>) AS blocked_regions, CAST(NULL AS BOOLEAN) AS requires_multisig, CAST(NULL AS INT) AS multisig_count, "
+        "CAST(NULL AS STRING) AS owner_id, 'u' AS user_id, 'care' AS purpose, CAST(NULL AS STRING) AS consent_purpose, CAST(NULL AS TIMESTAMP_NTZ) AS consent_expires"
+    )
+    border = dna.can_cross_border(policy).first()
+    assert (border.allowed, border.note) == (False, "BLOCKED: IN not in allowed regions")
+    access = dna.can_access(policy, F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")).first()
+    assert (access.allowed, access.note) == (False, "BLOCKED: purpose 'care' does not match consent ''")
+    uses = policy.select(F.lit("other").alias("dataset_id"), "user_id", "purpose", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"))
+    assert dna.consent_violations(policy, uses).count() == 1
 
 
 def test_decide_joined_agrees(tables):
