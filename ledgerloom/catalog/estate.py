@@ -326,7 +326,7 @@ def failures(t: Tables):
         chain = chain.when(F.col("failed_step") == i, F.lit(kind))
     from ledgerloom.catalog.views import load
 
-    failed = load(t.spark, t.sf_dir, "runs", t.min_partitions).filter("status = 'failed'")
+    failed = load(t.spark, t.sf_dir, "runs").filter("status = 'failed'")
     return failed.select("run_id", "pipeline_id", chain.otherwise(F.lit("other")).alias("failure_type"))
 
 
@@ -457,12 +457,12 @@ _LAST_MONTH = "sale_date >= DATE '1998-06-01' AND sale_date < DATE '1998-07-01'"
 
 @query("q1_top_regions", f"SELECT region, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM sales WHERE {_LAST_MONTH} GROUP BY region ORDER BY 2 DESC, 1 LIMIT 100")
 def q1(t):
-    return templates.top_regions(t("sales"), SALES_AS_OF)
+    return templates.top_regions(t("sales_region"), SALES_AS_OF)
 
 
 @query("q1_top_regions_this_month", "SELECT region, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM sales WHERE sale_date >= DATE '1998-07-01' GROUP BY region ORDER BY 2 DESC, 1 LIMIT 3")
 def q1b(t):
-    return templates.top_regions(t("sales"), SALES_AS_OF, "this month", 3)
+    return templates.top_regions(t("sales_region"), SALES_AS_OF, "this month", 3)
 
 
 _MEAN = "CAST(sum(CAST(sigma_level AS DECIMAL(18,4))) AS DOUBLE) / count(*)"
@@ -475,7 +475,7 @@ def q2(t):
 
 @query("q3_daily_revenue", "SELECT CAST(sale_date AS VARCHAR) AS day, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales WHERE sale_date >= DATE '1998-06-15' GROUP BY 1 ORDER BY 1 DESC LIMIT 100")
 def q3(t):
-    return templates.daily_revenue(t("sales"), SALES_AS_OF).withColumn("day", F.col("day").cast("string"))
+    return templates.daily_revenue(t("sales_day"), SALES_AS_OF).withColumn("day", F.col("day").cast("string"))
 
 
 @query("q4_scan", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 100")
@@ -486,12 +486,12 @@ def q4(t):
 
 @query("q5_region_sales_last_month", f"SELECT region, CAST(sum(revenue) AS DOUBLE) AS total_revenue, count(*) AS orders FROM sales WHERE {_LAST_MONTH} GROUP BY region ORDER BY 2 DESC, 1 LIMIT 20")
 def q5(t):
-    return templates.region_sales_last_month(t("sales"), SALES_AS_OF)
+    return templates.region_sales_last_month(t("sales_region"), SALES_AS_OF)
 
 
 @query("q6_top_products", "SELECT product_id, product_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10")
 def q6(t):
-    return templates.top_products(t("sales"))
+    return templates.top_products(t("sales_part"), t("sale_products"))
 
 
 @query("q7_quality_rollup", f"SELECT pipeline_id, {_MEAN} AS avg_sigma, count(*) AS runs, CAST(sum(records_failed) AS BIGINT) AS total_defects FROM measurements GROUP BY 1")
@@ -501,12 +501,12 @@ def q7(t):
 
 @query("q8_top5_regions_30_days", "SELECT region, CAST(sum(revenue) AS DOUBLE) AS total FROM sales WHERE sale_date >= DATE '1998-06-15' GROUP BY region ORDER BY 2 DESC, 1 LIMIT 5")
 def q8(t):
-    return templates.top_regions_30_days(t("sales"), SALES_AS_OF)
+    return templates.top_regions_30_days(t("sales_region"), SALES_AS_OF)
 
 
 @query("q9_region_sales_since_last_month", "SELECT region, CAST(sum(revenue) AS DOUBLE) AS total FROM sales WHERE sale_date >= DATE '1998-06-01' GROUP BY region")
 def q9(t):
-    return templates.region_sales_since_last_month(t("sales"), SALES_AS_OF)
+    return templates.region_sales_since_last_month(t("sales_region"), SALES_AS_OF)
 
 
 @query("q10_answer", f"SELECT region, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM sales WHERE {_LAST_MONTH} GROUP BY region ORDER BY 2 DESC, 1 LIMIT 100")

@@ -342,25 +342,28 @@ def j4(t):
 _EDGES = "edges AS (SELECT DISTINCT output_dataset_id AS child, unnest(NAMES(inputs_text)) AS parent FROM lineage WHERE inputs_text <> '')"
 
 
+def flow_datasets(lineage):
+    """What one flow wrote; asking for every dataset would give roots times reachable vertices."""
+    return lineage.filter("pipeline_id = 'pl-003'").select(F.col("output_dataset_id").alias("root")).distinct()
+
+
 @query("g13_lineage_graph", f"""WITH RECURSIVE {_EDGES},
-walk(root, dataset_id, depth) AS (SELECT DISTINCT output_dataset_id, output_dataset_id, 0 FROM lineage
+walk(root, dataset_id, depth) AS (SELECT DISTINCT output_dataset_id, output_dataset_id, 0 FROM lineage WHERE pipeline_id = 'pl-003'
   UNION SELECT root, parent, depth + 1 FROM walk JOIN edges ON child = dataset_id WHERE depth + 1 < 10),
 n AS (SELECT output_dataset_id AS dataset_id, count(*) AS records FROM lineage GROUP BY 1)
 SELECT root, dataset_id, min(depth) AS depth, coalesce(any_value(records), 0) AS records FROM walk LEFT JOIN n USING (dataset_id) GROUP BY root, dataset_id""")
 def g13(t):
     lineage = t("lineage")
-    roots = lineage.select(F.col("output_dataset_id").alias("root")).distinct()
-    return L.lineage_graph(lineage, roots).select("root", "dataset_id", "depth", big("records").alias("records"))
+    return L.lineage_graph(lineage, flow_datasets(lineage)).select("root", "dataset_id", "depth", big("records").alias("records"))
 
 
 @query("g14_impact", f"""WITH RECURSIVE {_EDGES},
-walk(root, dataset_id, depth) AS (SELECT DISTINCT output_dataset_id, output_dataset_id, 0 FROM lineage
-  UNION SELECT root, child, depth + 1 FROM walk JOIN edges ON parent = dataset_id WHERE depth + 1 < 4)
+walk(root, dataset_id, depth) AS (SELECT DISTINCT output_dataset_id, output_dataset_id, 0 FROM lineage WHERE pipeline_id = 'pl-003'
+  UNION SELECT root, child, depth + 1 FROM walk JOIN edges ON parent = dataset_id WHERE depth + 1 < 10)
 SELECT root, count(DISTINCT dataset_id) - 1 AS affected FROM walk GROUP BY root""")
 def g14(t):
     lineage = t("lineage")
-    roots = lineage.select(F.col("output_dataset_id").alias("root")).distinct()
-    return L.impact(lineage, roots, 4).groupBy("root").agg((F.count(F.lit(1)) - 1).alias("affected"))
+    return L.impact(lineage, flow_datasets(lineage)).groupBy("root").agg((F.count(F.lit(1)) - 1).alias("affected"))
 
 
 @query("a11_lineage_audit_report", f"""WITH c AS (SELECT *, {_HASH} IS NOT DISTINCT FROM genome_hash AS ok FROM lineage),

@@ -65,15 +65,17 @@ def quality_certificate(measurements: DataFrame, sla: DataFrame, start: str, end
     return counted.withColumns({"sla_met": F.col("breaches") == 0, "proof": sha256(proof)})
 
 
-def trend_limit(limit: int) -> int:
-    return 30 if limit <= 0 or limit > 1000 else limit
+def trend_limit(limit: int, service_limit: bool = False) -> int:
+    """Points to show, 30 if none are asked for; the service shows 30 beyond 1000 as well."""
+    return 30 if limit <= 0 or (service_limit and limit > 1000) else limit
 
 
-def sigma_trend(measurements: DataFrame, limit: int = 30) -> DataFrame:
+def sigma_trend(measurements: DataFrame, limit: int = 30, service_limit: bool = False) -> DataFrame:
     """The last ``limit`` points of every flow, oldest first."""
     newest = [F.desc("ts"), F.desc("run_id")]
     kept = first_k_per_key(
-        measurements.select("pipeline_id", "ts", "sigma_level", "run_id"), ["pipeline_id"], newest, trend_limit(limit)
+        measurements.select("pipeline_id", "ts", "sigma_level", "run_id"), ["pipeline_id"], newest,
+        trend_limit(limit, service_limit)
     )
     return kept.drop("position").orderBy("pipeline_id", "ts", "run_id")
 

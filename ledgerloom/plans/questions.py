@@ -68,22 +68,23 @@ def answer(
     return "scan", templates.scan(table, order, limit)
 
 
-def ask(question: str, registry: DataFrame, events: DataFrame) -> tuple[str, DataFrame | None, DataFrame]:
+def ask(question: str, registry: DataFrame, events: DataFrame, newest: int | None = None) -> tuple[str, DataFrame | None, DataFrame]:
     """Route a question; returns the route, matching flows (none for audit questions) and events.
 
-    As in the dashboard, only the newest 20 events are looked at.
+    Events are filtered first, then the newest are shown. With ``newest`` only so many of the
+    newest events are looked at, as the dashboard does with 20.
     """
     (route,) = _facts(registry.sparkSession, question, T.route_question(F.col("q")))
-    newest = audit.recent(events, 20)
-    flows, shown = registry, audit.recent(newest, 5)
+    seen = events if newest is None else audit.recent(events, newest)
+    flows, shown = registry, audit.recent(seen, 5)
     if route == "risk_pipeline_search":
         flows = reg.risky_flows(registry)
     elif route == "dpdp_compliance_query":
-        flows, shown = reg.law_flows(registry, "DPDP"), audit.law_events(newest, "DPDP")
+        flows, shown = reg.law_flows(registry, "DPDP"), audit.law_events(seen, "DPDP")
     elif route == "gdpr_compliance_query":
-        flows, shown = reg.law_flows(registry, "GDPR"), audit.law_events(newest, "GDPR")
+        flows, shown = reg.law_flows(registry, "GDPR"), audit.law_events(seen, "GDPR")
     elif route == "audit_chain_query":
-        flows, shown = None, audit.recent(newest, 10)
+        flows, shown = None, audit.recent(seen, 10)
     elif route == "quality_score_query":
         flows = reg.rank_flows(registry, "sigma")
     elif route == "pipeline_run_query":

@@ -58,9 +58,12 @@ def region_sales_last_month(sales: DataFrame, as_of: str) -> DataFrame:
     return grouped.orderBy(F.desc("total_revenue"), "region").limit(20)
 
 
-def top_products(sales: DataFrame, limit: int = 10) -> DataFrame:
-    grouped = sales.groupBy("product_id", "product_name").agg(_revenue().alias("revenue"))
-    return grouped.orderBy(F.desc("revenue"), "product_id").limit(limit)
+def top_products(sales: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
+    """Products by revenue; names are joined to the few rows that are shown."""
+    grouped = sales.groupBy("product_id").agg(_revenue().alias("revenue"))
+    top = grouped.orderBy(F.desc("revenue"), "product_id").limit(limit)
+    named = top.join(products, "product_id").select("product_id", "product_name", "revenue")
+    return named.orderBy(F.desc("revenue"), "product_id")
 
 
 def top_regions_30_days(sales: DataFrame, as_of: str) -> DataFrame:

@@ -74,7 +74,7 @@ def parse_payloads(df: DataFrame, fmt: str, schema: str) -> DataFrame:
     if fmt == "json":
         return df.withColumn("row", F.from_json("payload", schema)).select("*", "row.*").drop("row")
     if fmt == "csv":
-        lines = df.withColumn("_line", F.explode(F.slice(F.split("payload", "\r?\n"), 2, 2_000_000_000)))
+        lines = df.withColumn("_line", F.explode(F.filter(F.split("payload", "\r?\n"), lambda _, i: i > 0)))
         filled = lines.filter(F.col("_line") != "")
         return filled.withColumn("row", F.from_csv("_line", F.lit(schema))).select("*", "row.*").drop("row", "_line")
     raise ValueError(f"{fmt} payloads are files; use read_files")

@@ -221,7 +221,7 @@ def test_order_and_partitioning_do_not_matter(series):
 
 def test_trend_limits(series):
     _, df = series
-    assert SL.trend_limit(0) == SL.trend_limit(1001) == 30 and SL.trend_limit(1000) == 1000
+    assert SL.trend_limit(0) == SL.trend_limit(1001, service_limit=True) == 30 and SL.trend_limit(1001) == 1001
     hot = SL.sigma_trend(df, 5).filter("pipeline_id = 'hot'").collect()
     assert len(hot) == 5 and [r.ts for r in hot] == sorted(r.ts for r in hot)
     plan = SL.sigma_trend(df, 5)._jdf.queryExecution().executedPlan().toString()
@@ -416,3 +416,22 @@ def test_plans(tables):
     assert "o_totalprice" not in scanned
     events = tables("events").filter("event_type = 'view'").select("event_id")
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)]" in plan(events)
+
+
+def test_sales_templates_scan_only_what_they_need(tables):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    from ledgerloom.plans import templates
+
+    assert "p_name" not in plan(templates.top_regions(tables("sales_region"), "1998-07-15"))
+    daily = plan(templates.daily_revenue(tables("sales_day"), "1998-07-15"))
+    assert "p_name" not in daily and "c_custkey" not in daily
+    top = plan(templates.top_products(tables("sales_part"), tables("sale_products")))
+    assert top.index("Join") < top.index("GlobalLimit")  # the limit stands below the join
+
+
+def test_ask_filters_before_it_limits(spark):
+    rows = [(datetime(2024, 1, 1) + timedelta(minutes=i), f"t{i:03}", "d", "DPDP" if i == 0 else "GDPR") for i in range(60)]
+    events = spark.createDataFrame(rows, "ts timestamp_ntz, tx string, dataset string, law string")
+    registry = spark.sql("SELECT 'p' AS id, array('DPDP_2023') AS laws, 'healthy' AS status, 5.5D AS sigma, 1 AS runs")
+    assert questions.ask("show dpdp compliance", registry, events)[2].count() == 1
+    assert questions.ask("show dpdp compliance", registry, events, newest=20)[2].count() == 0
