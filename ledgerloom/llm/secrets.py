@@ -20,6 +20,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Runs of these characters are candidates of the models.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Words of letters alone: pieces of longer tokens are no ordinary words.
+_PLAIN_WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?![A-Za-z0-9+/_=-])")
 _TOKEN_BYTES = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
 _KEYS = (b"passw", b"secret", b"token", b"api")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -94,6 +96,8 @@ def random_spans(text: str, models: MarkovPair, least: float, base: list[tuple[s
         core = m[0].strip("-=_/+")
         if len(core) < 16 or any(s < m.end() and m.start() < e for _, s, e in base):
             continue
+        if not any(c.isdigit() for c in core):  # letters alone: words of languages the sample may lack
+            continue
         if models.score(core) >= least * len(core):
             at = m.start() + m[0].index(core)
             found.append(("random", at, at + len(core)))
@@ -136,7 +140,7 @@ def sample_words(docs: DataFrame, text_col: str, rows: int) -> list[str]:
     texts = id_and_text(docs, text_col, text_col).where(F.col("text").isNotNull())
     share = min(1 << 30, rows * (1 << 30) // max(1, texts.count()) + 1)
     taken = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select(F.substring("text", 1, 2000).alias("t"))
-    return sorted({w for r in taken.distinct().limit(2 * rows).collect() for w in re.findall(r"[A-Za-z]+", r.t)})
+    return sorted({w for r in taken.distinct().limit(2 * rows).collect() for w in _PLAIN_WORD.findall(r.t)})
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_rows: int = 500, least: float = 0.6) -> DataFrame:
