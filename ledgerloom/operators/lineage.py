@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.hashing import lineage_hash, piped, sha256
@@ -181,6 +183,15 @@ def newest_lineage(lineage: DataFrame, k: int = 10) -> DataFrame:
     return first_k_per_key(lineage, ["output_dataset_id"], [F.desc("ts"), F.desc("tx_id")], k)
 
 
-def period(df: DataFrame, start: str, end: str, column: str = "timestamp") -> DataFrame:
-    """Rows between two times, both included; the filter reaches the scan."""
-    return df.filter(F.col(column).between(start, end))
+def period(df: DataFrame, start: str, end: str, column: str = "timestamp", typed: str = "ts") -> DataFrame:
+    """Rows between two times given as text to the second, both included.
+
+    Where the table has the time as a timestamp too, its range goes along, which the scan can use.
+    """
+    inside = df.filter(F.col(column).between(start, end))
+    if typed not in df.columns:
+        return inside
+    first, last = (datetime.strptime(t, "%Y-%m-%dT%H:%M:%SZ") for t in (start, end))
+    kind = dict(df.dtypes)[typed]
+    low, high = (F.lit(str(t)).cast(kind) for t in (first, last + timedelta(seconds=1)))
+    return inside.filter((F.col(typed) >= low) & (F.col(typed) < high))

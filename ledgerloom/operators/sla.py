@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.hashing import measurement_hash, piped, sha256
 from ledgerloom.functions.numbers import exact_mean, fixed
 from ledgerloom.functions.sigma import severity, sigma_to_dpm
+from ledgerloom.operators.lineage import period
 from ledgerloom.operators.ordered import first_k_per_key, previous_value, time_chunk
 
 
@@ -51,7 +52,7 @@ def with_sla(measurements: DataFrame, sla: DataFrame) -> DataFrame:
 
 def quality_certificate(measurements: DataFrame, sla: DataFrame, start: str, end: str) -> DataFrame:
     """One certificate per flow with measurements in the period; a breach is below the minimum."""
-    inside = measurements.filter(F.col("timestamp").between(start, end))
+    inside = period(measurements, start, end)
     counted = with_sla(inside, sla).groupBy("pipeline_id", "customer_org", "sla_target").agg(
         F.count(F.lit(1)).alias("measurements"), exact_mean(F.col("sigma_level")).alias("avg_sigma"),
         F.min("sigma_level").alias("min_sigma"), F.max("sigma_level").alias("max_sigma"),

@@ -19,16 +19,17 @@ def split_valid(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_ingest(df: DataFrame) -> DataFrame:
+    """Ingest requests; a missing format means csv and missing tags mean none."""
     size = F.length("payload")
     return _mark(df, {
         "dataset_name": F.length("dataset_name").between(3, 128) & ~F.col("dataset_name").rlike("[^a-z0-9_]"),
         "payload": size.between(1, 10_000_000),
-        "format": F.col("format").isin(*FORMATS),
+        "format": F.coalesce("format", F.lit("csv")).isin(*FORMATS),
         "jurisdictions": F.size("jurisdictions") >= 1,
         "allowed_regions": (F.size("allowed_regions") >= 1)
         & F.forall("allowed_regions", lambda r: F.length(r).between(1, 16)),
         "purpose": F.length("purpose").between(3, 128),
-        "tags": F.size("tags") <= 20,
+        "tags": F.coalesce(F.size(F.coalesce("tags", F.array().cast("array<string>"))), F.lit(0)) <= 20,
     })
 
 

@@ -129,3 +129,33 @@ def test_catalogue_job(tables):
     out = catalogue_job(tables("puts"), asked(tables), tables("nodes"))
     status = out["status"].first()
     assert status.total_datasets == out["particles"].count() and status.total_movements == out["moves"].count()
+
+
+def test_records_do_not_depend_on_the_columns_asked_for(spark, tmp_path):
+    lines = ['{"pipeline_id": "p", "sigma_level": 5.0}', '{"pipeline_id": "q", "sigma_level": broken}']
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(str(tmp_path / "m"))
+    found = ledger.read_records(spark, str(tmp_path / "m"), "measurements")
+    assert found.count() == found.select("pipeline_id").count() == len(found.collect()) == 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        ledger.read_records(spark, str(tmp_path / "m"), "lineage").count()
+
+
+def test_period_reaches_the_scan(spark, tmp_path):
+    from ledgerloom.operators.lineage import period
+
+    rows = spark.range(100).selectExpr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) AS ts", "id AS tx_id")
+    rows.selectExpr("*", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS timestamp").write.parquet(str(tmp_path / "t"))
+    found = period(spark.read.parquet(str(tmp_path / "t")), "2024-01-01T05:00:00Z", "2024-01-01T07:00:00Z")
+    assert sorted(r.tx_id for r in found.collect()) == [5, 6, 7]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 2024-01-01 05:00:00)" in plan and "< 2024-01-01 07:00:01)" in plan
+
+
+def test_ingest_defaults(spark):
+    from ledgerloom.operators.validation import validate_ingest
+
+    row = spark.sql(
+        "SELECT 'abc' AS dataset_name, 'a,b' AS payload, CAST(NULL AS STRING) AS format, array('GDPR') AS jurisdictions, array('EU') AS allowed_regions, "
+        "'care' AS purpose, CAST(NULL AS ARRAY<STRING>) AS tags"
+    )
+    assert validate_ingest(row).first().failed_rules == []
