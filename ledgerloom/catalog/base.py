@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.catalog.views import load, with_views
 from ledgerloom.operators.operations import RUN_STEPS
+from ledgerloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,6 +30,12 @@ class Tables:
             self._built[name] = self._build(name)
         return self._built[name]
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A slim table that several parts of a plan start from, written once to the checkpoint folder."""
+        if f"kept {name}" not in self._built:
+            self._built[f"kept {name}"] = cut_lineage(build())
+        return self._built[f"kept {name}"]
+
     def _build(self, name: str) -> DataFrame:
         df = load(self.spark, self.sf_dir, name)
         if name == "runs":

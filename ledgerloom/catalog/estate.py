@@ -26,12 +26,17 @@ resolved AS (SELECT l.*, coalesce(hit, home_list[1]) AS nearest, CASE WHEN homes
   FROM looked l LEFT JOIN ranked USING (seq))"""
 
 
+def held(t: Tables):
+    """The puts, hashed once for all that a query builds from them."""
+    return t.kept("held", lambda: K.hashed(t("puts")))
+
+
 def particles(t: Tables):
-    return K.dedup_content(t("puts"))
+    return t.kept("particles", lambda: K.dedup_content(held(t)))
 
 
 def asked(t: Tables):
-    items = t("puts").select(F.col("seq").alias("item"), sha256(F.col("payload")).alias("_hash"))
+    items = held(t).select(F.col("seq").alias("item"), F.col("content_hash").alias("_hash"))
     return t("needs").join(items, "item", "left").withColumn(
         "content_hash", F.coalesce("_hash", F.concat(F.lit("absent-"), F.col("item").cast("string")))).drop("_hash")
 
@@ -103,7 +108,7 @@ cold AS (SELECT content_hash, size_bytes, NAMES(homes) AS h FROM particles LEFT
 
 
 def evictions(t: Tables):
-    items = t("puts").select(F.col("seq").alias("item"), sha256(F.col("payload")).alias("content_hash"))
+    items = held(t).select(F.col("seq").alias("item"), "content_hash")
     stats = K.access_stats(t("accesses").join(items, "item"), "content_hash")
     return K.eviction_candidates(particles(t), stats, "2000-01-01 00:00:00")
 

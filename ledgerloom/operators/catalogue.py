@@ -29,16 +29,22 @@ def register_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
+def hashed(puts: DataFrame) -> DataFrame:
+    """Puts with hash and size in place of their payload: all that the catalogue looks at."""
+    return puts.select(
+        sha256(F.col("payload")).alias("content_hash"), F.octet_length("payload").cast("bigint").alias("size_bytes"),
+        "node_id", "seq", "sigma",
+    )
+
+
 def dedup_content(puts: DataFrame) -> DataFrame:
     """One particle per content with the nodes that hold it, in order of arrival.
 
-    Payloads are reduced to hash and size before anything moves, and copies are counted per
-    node first, so a content put a billion times reaches its group as one row per node.
+    ``puts`` may have been ``hashed`` before. Payloads are reduced to hash and size before
+    anything moves, and copies are counted per node first, so a content put a billion times
+    reaches its group as one row per node.
     """
-    slim = puts.select(
-        sha256(F.col("payload")).alias("content_hash"), F.octet_length("payload").cast("bigint").alias("size_bytes"),
-        "node_id", "seq", "sigma",
-    )
+    slim = puts if "content_hash" in puts.columns else hashed(puts)
     per_node = slim.groupBy("content_hash", "node_id").agg(
         F.min("seq").alias("seq"), F.min_by("sigma", "seq").alias("sigma"), F.min("size_bytes").alias("size_bytes"),
         F.count(F.lit(1)).alias("puts"),

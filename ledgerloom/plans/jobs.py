@@ -15,6 +15,7 @@ from ledgerloom.operators.dna import dna_from_ingest
 from ledgerloom.operators.masking import mask_pii, stamp_run
 from ledgerloom.operators.sla import log_measurements, sla_breaches
 from ledgerloom.operators.validation import split_valid, validate_ingest, validate_measurement
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources import files
 
 
@@ -143,7 +144,7 @@ def quality_job(measurements: DataFrame, sla: DataFrame) -> tuple[DataFrame, Dat
 
 def catalogue_job(puts: DataFrame, needs: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
     """Deduplicate content, resolve needs and place what has to move."""
-    particles = K.dedup_content(puts)
+    particles = cut_lineage(K.dedup_content(puts))  # five outputs start from it
     resolved = K.resolve_needs(needs, particles)
     plan = K.plan_placement(resolved.filter("status = 'MOVE'"), nodes, particles)
     moved = K.move_records(plan, particles, nodes)
