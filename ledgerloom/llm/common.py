@@ -60,6 +60,8 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
     """Runs of rows whose texts have about ``limit`` bytes together; one long text makes a run alone."""
     texts = batch.column(column)
+    if texts.type != pa.string():
+        texts = texts.cast(pa.string())
     if texts.null_count:
         texts = texts.fill_null("")
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
