@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import Words, gram_hashes, id_and_text, last_minimum, saved, shingle_bytes, span_hashes, text_slices
+from ledgerloom.session import cut_lineage
 
 #: Words of the grams that choose a window's anchor.
 GRAM = 6
@@ -133,22 +134,22 @@ def _regions(texts: DataFrame, span: int) -> DataFrame:
 
 
 def _contents(wanted: DataFrame, span: int) -> DataFrame:
-    """Words, as hashes, of the regions that each text is to show."""
+    """The regions that each text is to show, as they stand there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, part in text_slices(batch, "text"):
-                words, out = Words(part, shingle_bytes(), lower=False), []
+                words, out = Words(part, shingle_bytes(), lower=False, hashed=False), []
                 for i, shown in enumerate(batch.column("shown").slice(at, to - at).to_pylist()):
-                    own = words.hashes[words.bounds[i] : words.bounds[i + 1]]
                     for x in shown:
-                        run_ = own[x["first"] : x["first"] + x["windows"] + span - 1]
-                        out.append((x["anchor"], x["content"], x["n"], run_.tobytes()))
+                        s = words.bounds[i] + x["first"]
+                        passage = words.raw[words.starts[s] : words.ends[s + x["windows"] + span - 2]]
+                        out.append((x["anchor"], x["content"], x["n"], passage.tobytes()))
                 cols = list(zip(*out)) or [()] * 4
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "content", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "content", "n", "passage"])
 
-    return wanted.select("text", "shown").mapInArrow(run, "anchor bigint, content bigint, n bigint, words binary")
+    return wanted.select("text", "shown").mapInArrow(run, "anchor bigint, content bigint, n bigint, passage binary")
 
 
 def _windows(wanted: DataFrame, span: int) -> DataFrame:
@@ -177,8 +178,8 @@ def _judged(contents: DataFrame, span: int) -> DataFrame:
 
     def judge(group: dict[int, tuple[int, bytes]]) -> list[tuple[int, list[dict]]]:
         automaton, strings = SuffixAutomaton(), {}
-        for content, (n, words) in group.items():
-            strings[content] = np.frombuffer(words, np.int64).tolist()
+        for content, (n, passage) in group.items():
+            strings[content] = passage.split()
             automaton.add(strings[content], n)
         automaton.count()
         found = []
@@ -197,11 +198,11 @@ def _judged(contents: DataFrame, span: int) -> DataFrame:
         group, anchor = {}, None
         for batch in batches:
             out = []
-            for a, content, n, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "words"))):
+            for a, content, n, passage in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "passage"))):
                 if a != anchor:
                     out += judge(group)
                     group, anchor = {}, a
-                group[content] = (n, words)
+                group[content] = (n, passage)
             yield _batch(out)
         yield _batch(judge(group))
 
@@ -215,24 +216,22 @@ def _judged(contents: DataFrame, span: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, span: int) -> DataFrame:
     """``(who, digest, spans)`` for texts ``(who, digest, text)`` with a window that stands elsewhere too."""
     regions = _regions(texts, span)
-    kinds = regions.groupBy("anchor", "content").agg(F.count("*").alias("n"))
-    busy = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    busy = kinds.join(busy, "anchor").select("anchor", "content", "n", "kinds")
-    members = saved(regions.drop("anchor").join(busy, "content"))
-
-    cold = members.where(F.col("kinds") <= SHARD)
-    place = F.struct("who", "digest", "first", "windows", "anchor", "n")
-    shown = cold.groupBy("content").agg(F.min(place).alias("p")).select("content", "p.*")
+    busy = regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    members = saved(regions.join(busy, "anchor"))
+
+    place = F.struct("who", "digest", "first", "windows")
+    kinds = members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("p"))
+    hot = cut_lineage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD).select("anchor"))
+    shown = kinds.join(hot, "anchor", "left_anti").select("p.*", "anchor", "content", "n")
     shown = shown.groupBy("who", "digest").agg(F.collect_list(F.struct("first", "windows", "anchor", "content", "n")).alias("shown"))
     judged = _judged(_contents(texts.join(shown, ["who", "digest"]), span), span)
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
-    found = cold.join(judged, "content").select("who", "digest", F.inline(moved).alias("a", "b"))
+    found = members.join(judged, "content").select("who", "digest", F.inline(moved).alias("a", "b"))
 
     # An anchor with very many different regions would make a large automaton. Its windows are
     # told apart by their own contents instead: a shard for each, and its count of places.
-    hot = members.where(F.col("kinds") > SHARD)
     if not hot.isEmpty():
-        all_shown = hot.groupBy("who", "digest").agg(F.collect_set(F.struct("first", "windows")).alias("shown"))
+        all_shown = members.join(hot, "anchor", "left_semi").groupBy("who", "digest").agg(F.collect_set(F.struct("first", "windows")).alias("shown"))
         windows = _windows(texts.join(all_shown, ["who", "digest"]), span)
         twice = windows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
         hit = windows.join(twice, "content").select("who", "digest", F.col("first").alias("a"), (F.col("first") + span).alias("b"))
