@@ -36,6 +36,11 @@ def _put(df: DataFrame, base: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_folder(base, batch_id))
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = True):
     """Start a query on its checkpoint; by default it works off what is there and ends."""
     writer = writer.option("checkpointLocation", checkpoint)
@@ -46,15 +51,49 @@ def ingest_gate(payloads: DataFrame, accepted: str, quarantined: str, gate: str
     """Score and hash each payload, keep the good ones, keep only hash and score of the others."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        scored = gate_payloads(batch, gate)
-        _put(scored.filter("accepted"), accepted, batch_id)
-        _put(scored.filter("NOT accepted").drop("payload"), quarantined, batch_id)
+        scored = gate_payloads(batch, gate).persist()
+        try:
+            _put(scored.filter("accepted"), accepted, batch_id)
+            _put(scored.filter("NOT accepted").drop("payload"), quarantined, batch_id)
+        finally:
+            scored.unpersist()
 
     return payloads.writeStream.foreachBatch(split)
 
 
+def _earlier(spark: SparkSession, base: str, batch_id: int, like: DataFrame) -> DataFrame:
+    """What batches before this one stored; a replay sees the same."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    if batch_id == 0 or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return like.limit(0)
+    return spark.read.parquet(base).filter(F.col("batch_id") < batch_id)
+
+
+def catalogue_step(spark: SparkSession, catalogue: str, keys: tuple[str, ...] = ("content_hash",), ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """Store the first arrival of each key that the catalogue does not hold yet, however late a copy comes.
+
+    With ``keys`` of content and node, a later copy on another node adds that node.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        hashed = batch.withColumn("content_hash", sha256(F.col("payload"))).drop("payload")
+        rest = [c for c in hashed.columns if c not in keys]
+        firsts = hashed.groupBy(*keys).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_row")).select(*keys, "_row.*")
+        known = _earlier(spark, catalogue, batch_id, firsts).select(*keys)
+        _put(firsts.join(known, list(keys), "left_anti"), catalogue, batch_id)
+
+    return step
+
+
+def catalogue_firsts(puts: DataFrame, catalogue: str, keys: tuple[str, ...] = ("content_hash",)) -> DataStreamWriter:
+    return puts.writeStream.foreachBatch(catalogue_step(puts.sparkSession, catalogue, keys))
+
+
 def first_copies(puts: DataFrame, ts: str = "ts") -> DataFrame:
-    """The first arrival of each content; copies within the watermark are dropped."""
+    """The first arrival of each content within the watermark, without a catalogue.
+
+    A copy later than the watermark passes again; ``catalogue_firsts`` decides by the catalogue.
+    """
     hashed = puts.withColumn("content_hash", sha256(F.col("payload"))).drop("payload")
     return hashed.withWatermark(ts, WATERMARK).dropDuplicatesWithinWatermark(["content_hash"])
 
@@ -69,13 +108,13 @@ def sigma_monitor_step(spark: SparkSession, out: str, state: str) -> Callable[[D
     """Judge a batch against the last sigma of every flow, then store the new last sigmas.
 
     The state is a table with one row per flow and batch number. Batch n reads the table of
-    batch n-1, so a replay of n starts from the same state. Rows of a busy flow are compared
-    in time slices, not in one task.
+    batch n-1, so a replay of n starts from the same state; older tables are removed. Rows of a
+    busy flow are compared in time slices, not in one task.
     """
     kept = ["pipeline_id", "ts", "run_id", "sigma_level"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*kept)
+        rows = batch.select(*kept).persist()
         before = (
             spark.read.parquet(batch_folder(state, batch_id - 1)) if batch_id > 0
             else spark.createDataFrame([], rows.schema)
@@ -93,6 +132,8 @@ def sigma_monitor_step(spark: SparkSession, out: str, state: str) -> Callable[[D
         current = latest_per_key(rows, ["pipeline_id"], ["ts", "run_id"])
         untouched = before.join(current.select("pipeline_id"), "pipeline_id", "left_anti")
         _put(current.unionByName(untouched), state, batch_id)
+        rows.unpersist()
+        _remove(spark, batch_folder(state, batch_id - 2))
 
     return step
 

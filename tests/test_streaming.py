@@ -151,3 +151,28 @@ def test_mask_stream(spark, tables, tmp_path):
     finish(writer, str(tmp_path / "ck"))
     got = spark.read.parquet(out)
     assert rows(got.select("person_id", "email_masked", "phone_masked")) == rows(mask_pii(people).select("person_id", "email_masked", "phone_masked"))
+
+
+def test_catalogue_decides_about_late_copies(spark, tmp_path):
+    base, t0 = str(tmp_path / "catalogue"), datetime(2024, 1, 1)
+    schema = "seq long, node_id string, payload string, ts timestamp"
+    step = J.catalogue_step(spark, base)
+    step(spark.createDataFrame([(1, "n1", "a", t0), (2, "n1", "a", t0 + timedelta(minutes=1)), (3, "n2", "b", t0)], schema), 0)
+    late = spark.createDataFrame([(4, "n2", "a", t0 + timedelta(hours=3)), (5, "n1", "c", t0 + timedelta(hours=3))], schema)
+    for _ in range(2):  # the second time a replay
+        step(late, 1)
+    assert sorted(r.seq for r in spark.read.parquet(base).collect()) == [1, 3, 5]
+    holders = str(tmp_path / "holders")
+    step = J.catalogue_step(spark, holders, ("content_hash", "node_id"))
+    step(spark.createDataFrame([(1, "n1", "a", t0)], schema), 0)
+    step(late, 1)
+    assert sorted(r.seq for r in spark.read.parquet(holders).collect()) == [1, 4, 5]
+
+
+def test_old_states_go(spark, tmp_path):
+    out, state, t0 = str(tmp_path / "out"), str(tmp_path / "state"), datetime(2024, 1, 1)
+    step = J.sigma_monitor_step(spark, out, state)
+    for i in range(5):
+        step(spark.createDataFrame([("p", t0 + timedelta(hours=i), f"r{i}", 5.0)], "pipeline_id string, ts timestamp_ntz, run_id string, sigma_level double"), i)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.is_dir()) == ["batch_id=3", "batch_id=4"]
+    assert spark.read.parquet(out).count() == 5
