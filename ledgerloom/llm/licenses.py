@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.llm.common import id_and_text, lower_ascii
+from ledgerloom.llm.common import id_and_text
 
 #: Phrases and labels of the base.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -98,8 +98,12 @@ NOTICES = (
 #: Notices that name no license of their own; the others go before each name.
 UNNOTICED = ("proprietary", "public-domain")
 
-#: A text without any of these holds no keyword's rule; each is looked for once a text.
-GATES = ("licen", " cc ", " cc0 ", "gpl", " bsd ", " apache ", " mit ", "reserved", "confidential", "public domain", "wtfpl", "creative commons", "cddl", "0bsd")
+#: A text without any of these holds neither a base phrase nor a rule's name; each is looked for once a text.
+GATES = (
+    "licen", "cc", "gpl", "bsd", "apache", "attribution", "reserved", "confidential", "public", "wtfpl", "creative", "cddl",
+)
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
 
 @dataclass(frozen=True)
@@ -172,14 +176,15 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     contains it that has the higher priority, or the same and more characters, or the same span
     and an earlier rule. Null and empty texts have no words; repeated rows stay; no shuffle.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    plain = F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    rows = rows.select("id", F.concat(F.lit(" "), F.btrim(plain, F.lit(" ")), F.lit(" ")).alias("line"))
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    rows = id_and_text(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    # Letters beyond ASCII may change case here as well; none of them becomes a letter of a phrase or rule.
+    rows = rows.select("id", "text", F.lower("text").alias("low"))
     gate = F.lit(False)
     for key in GATES:
-        gate = gate | F.contains("line", F.lit(key))
-    rows = rows.select("id", "line", F.when(F.col("line") == "  ", 0).otherwise(spaces - 1).cast("bigint").alias("n_words"), gate.alias("gate"))
+        gate = gate | F.contains("low", F.lit(key))
+    rows = rows.select("id", "low", F.regexp_count("text", F.lit(_WORD)).cast("bigint").alias("n_words"), gate.alias("gate"))
+    line = F.concat(F.lit(" "), F.btrim(F.regexp_replace("low", _BETWEEN, " "), F.lit(" ")), F.lit(" "))
+    rows = rows.select("id", "n_words", "gate", F.when(F.col("gate"), line).alias("line"))
     words = F.when(F.col("gate"), F.split(F.btrim("line", F.lit(" ")), " "))
     rows = rows.select("id", "line", "n_words", "gate", words.alias("words"))
 
