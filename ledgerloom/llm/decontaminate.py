@@ -131,6 +131,8 @@ def contaminated(
     no words and hit nothing; null item ids hit but are not listed. Repeated rows and items count
     once each. Tables may be empty; other columns are not looked at.
     """
+    if span <= GRAM:
+        raise ValueError(f"a window needs more than {GRAM} words")
     reach = span - GRAM
     item_marks = cut_lineage(_marks(id_and_text(items, item_col, item_text_col), span, [], None))
     sizes = item_marks.where(f"n_words between 1 and {span - 1}").select("n_words").distinct()
@@ -138,7 +140,7 @@ def contaminated(
     rows = with_row(_marks(id_and_text(docs, id_col, text_col), span, short, _sieve(item_marks)))
 
     hits = rows.select("row", F.explode("marks").alias("m")).select("row", "m.*")
-    whole = F.col("m.size") != GRAM if span <= GRAM else (F.col("n_words") < span)
+    whole = F.col("n_words") < span
     wanted = item_marks.select(F.col("id").cast("string").alias("item"), whole.alias("whole"), F.explode("marks").alias("m")).select(
         "item", "whole", F.col("m.size").alias("size"), F.col("m.hash").alias("hash"),
         F.col("m.before").alias("t_before"), F.col("m.after").alias("t_after"),
