@@ -8,7 +8,7 @@ from ledgerloom.llm.common import id_and_text
 from ledgerloom.session import cut_lineage
 
 #: Samples of a fingerprint: LANES are columns of one aggregation, ROUNDS its rows for each term.
-LANES, ROUNDS = 8, 8
+LANES, ROUNDS = 8, 5
 SAMPLES = LANES * ROUNDS
 #: Hexadecimal digits of a sample.
 DIGITS = 4
@@ -26,7 +26,7 @@ def _sample(term: Column, log_weight: Column, number: Column) -> Column:
 
     ``r`` and ``c`` are gamma(2, 1) variables and ``beta`` is uniform, all drawn by hashing the term
     and the sample's number. With ``t = floor(ln w / r + beta)`` the rank is
-    ``ln a = ln c - r (t - beta + 1)``; the name is a hash of the term and ``t``. Equal terms of
+    ``ln a = ln c - r (t - beta + 1)``; the name mixes the hash of the term with ``t``. Equal terms of
     two texts have equal names and ranks unless ``t`` tells their weights apart, so the chance of
     a common least name is the generalised Jaccard similarity of the weights.
     """
@@ -36,7 +36,8 @@ def _sample(term: Column, log_weight: Column, number: Column) -> Column:
     log_c = F.ln(-F.ln(_uniform(h, 32) * _uniform(h, 48)))
     t = F.floor(log_weight / r + beta)
     rank = F.floor((log_c - r * (t - beta + 1.0) + 100.0) * 16777216.0)
-    return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)))
+    name = h.bitwiseXOR(F.shiftrightunsigned(h, 21)).bitwiseXOR(F.shiftrightunsigned(h, 43)).bitwiseXOR(t)
+    return F.shiftleft(rank, 32).bitwiseOR(name.bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -105,15 +106,17 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = texts.select("id", *key, F.length("text").alias("n_chars")).distinct()
     pairs = cut_lineage(following(slim)).select(*key, "n_chars", "next_who", "next_digest")
 
-    nth = texts.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("id")))
-    once = nth.where("nth = 1").select(F.col("who").alias("next_who"), F.col("digest").alias("next_digest"), F.col("text").alias("next_text"))
+    # the first of equal rows has none before it; both joins below ask for the same columns of
+    # the texts, so Spark deals them out once
+    marked = texts.withColumn("lone", F.lag(F.lit(1)).over(W.partitionBy(*key).orderBy("id")).isNull())
+    once = marked.where("lone").select(F.col("who").alias("next_who"), F.col("digest").alias("next_digest"), F.col("text").alias("next_text"))
     heads = pairs.join(once, ["next_who", "next_digest"]).select(
         *key, "n_chars", "next_who", "next_digest", F.expr("left(next_text, n_chars div 3)").alias("head")
     )
-    whole = nth.join(heads, key)
+    whole = marked.join(heads, key)
     edited = F.expr("concat(left(text, n_chars - n_chars div 3), head)")
-    whole = whole.select(*key, "id", "nth", "n_chars", "next_who", "next_digest", "text", edited.alias("edited"))
-    both = whole.where("nth = 1").select(
+    whole = whole.select(*key, "id", "lone", "n_chars", "next_who", "next_digest", "text", edited.alias("edited"))
+    both = whole.where("lone").select(
         *key, F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))))
     )
     prints = fingerprints(both, [*key, "kind"], "body").groupBy(*key).agg(
