@@ -149,7 +149,7 @@ def _contents(wanted: DataFrame, span: int) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["anchor", "content", "n", "passage"])
 
-    return wanted.select("text", "shown").mapInArrow(run, "anchor bigint, content bigint, n bigint, passage binary")
+    return wanted.select("id", "text", "shown").mapInArrow(run, "anchor bigint, content bigint, n bigint, passage binary")
 
 
 def _windows(wanted: DataFrame, span: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _windows(wanted: DataFrame, span: int) -> DataFrame:
                     content = span_hashes(words.hashes, s, s + span).view(np.int64)
                     yield pa.RecordBatch.from_arrays([*key, pa.array(first.astype(np.int32)), pa.array(content)], ["who", "digest", "first", "content"])
 
-    return wanted.select("who", "digest", "text", "shown").mapInArrow(run, f"{_KEY}, first int, content bigint")
+    return wanted.select("id", "who", "digest", "text", "shown").mapInArrow(run, f"{_KEY}, first int, content bigint")
 
 
 def _judged(contents: DataFrame, span: int) -> DataFrame:
@@ -214,9 +214,14 @@ def _judged(contents: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, span: int) -> DataFrame:
-    """``(who, digest, spans)`` for texts ``(who, digest, text)`` with a window that stands elsewhere too."""
+    """``(who, digest, spans)`` for texts ``(who, digest, id, text)`` with a window that stands elsewhere too.
+
+    Texts are dealt out by their key once: every join with them asks for the same columns, so
+    Spark reuses the exchange.
+    """
     regions = _regions(texts, span)
-    busy = regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, so that the join can split an anchor that very many regions share
+    busy = saved(regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     members = saved(regions.join(busy, "anchor"))
 
     place = F.struct("who", "digest", "first", "windows")
