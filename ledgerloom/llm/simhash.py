@@ -71,25 +71,20 @@ def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int
     links form a spanning forest: a node is linked when it is first reached, so links never exceed
     the rows.
     """
-    lanes = [c for c in points.columns if c not in ("node", "fp")]
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    keys = []
-    for i, chosen in enumerate(combinations(range(blocks), kept)):
-        mask = sum(((1 << cuts[c + 1]) - (1 << cuts[c])) for c in chosen)
-        mask = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-        keys.append(F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    keyed = points.select("node", "fp", F.inline(F.array(*keys)))
-    busy = keyed.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = busy.select("which", "key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    keys = [_key(i, chosen, cuts) for i, chosen in enumerate(combinations(range(blocks), kept))]
+    keyed = points.select("node", F.explode(F.array(*keys)).alias("key"))
+    busy = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = busy.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = keyed.join(parts, ["which", "key"]).withColumn("own", own)
+    placed = keyed.join(parts, "key").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = placed.withColumn("other", other).select(
-        "which", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"
     )
-    if lanes:
-        cells = cells.join(points.select("node", *lanes), "node")
-    by = ["which", "key", "i", "j"]
+    lanes = [c for c in points.columns if c not in ("node", "fp")]
+    cells = cells.join(points, "node")
+    by = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, bits in _runs(batches, by, ["fp", *lanes]):
@@ -100,6 +95,16 @@ def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int
     return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _key(number: int, chosen: tuple[int, ...], cuts: list[int]) -> Column:
+    """The bits of the chosen parts side by side, below the number of the choice."""
+    key, at = F.lit(0).cast("bigint"), 0
+    for part in chosen:
+        size = cuts[part + 1] - cuts[part]
+        bits = F.shiftrightunsigned("fp", cuts[part]).bitwiseAND(F.lit((1 << size) - 1))
+        key, at = key.bitwiseOR(F.shiftleft(bits, at)), at + size
+    return key.bitwiseOR(F.lit(number << at))
+
+
 def spanning_links(bits: np.ndarray, distance: int, wide: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of links of a forest that joins what chains of close pairs join.
 
@@ -240,10 +245,10 @@ def keep_first(
     roots = clusters(points, distance=word_distance, blocks=blocks, kept=kept, wide=wide)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     first = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node").groupBy("root").agg(F.min("o").alias("o"))
-    keep = cut_lineage(first.select(F.col("o.id").alias("_kept_id"), F.col("o.digest").alias("_kept_digest")))
-    digest = F.xxhash64(docs[text_col].cast("string"))
-    same = docs[id_col].eqNullSafe(keep["_kept_id"]) & (digest == keep["_kept_digest"])
-    return docs.join(keep, same).dropDuplicates(["_kept_id", "_kept_digest"]).select(*[docs[c] for c in docs.columns])
+    keep = cut_lineage(first.select(F.xxhash64("o.id").alias("_who"), F.col("o.digest").alias("_digest")))
+    # keys without nulls, so that the rows of one key lie together for what follows the join
+    named = docs.withColumns({"_who": F.xxhash64(docs[id_col]), "_digest": F.xxhash64(docs[text_col].cast("string"))})
+    return named.join(keep, ["_who", "_digest"]).dropDuplicates(["_who", "_digest"]).select(*docs.columns)
 
 
 def hexadecimal(value: Column) -> Column:
