@@ -1,3 +1,5 @@
+"""Fixtures of the tests of training-data operators; the test modules import them."""
+
 import os
 
 import pytest

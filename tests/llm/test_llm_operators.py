@@ -17,6 +17,7 @@ from ledgerloom.llm import (
 )
 from ledgerloom.llm.common import Words, gram_hashes, last_minimum, shingle_bytes, tokenizer_path
 from ledgerloom.llm.components import components
+from llm_fixtures import documents, workers_find_the_package  # noqa: F401
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")

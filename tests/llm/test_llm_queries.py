@@ -9,6 +9,7 @@ import pytest
 from conftest import SF_DIR
 import corpus_pipeline
 from ledgerloom.llm.queries import CHECKS, QUERIES
+from llm_fixtures import workers_find_the_package  # noqa: F401
 
 COLUMNS = {
     "op1_simhash": "doc_id fingerprint component_id", "op2_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
