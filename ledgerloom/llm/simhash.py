@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash: blocks that close pairs must share, then the Hamming distance."""
+"""Near duplicates: by SimHash with blocks that close pairs must share, and by exact similarity of shingle sets."""
 
 from __future__ import annotations
 
@@ -16,8 +16,9 @@ from ledgerloom.llm.components import components
 from ledgerloom.session import cut_lineage
 
 BITS = 64
-#: Words of the longer fingerprint that the similarity of two texts is read from.
-LANES = 4
+#: Least hashes of a signature: sets that agree in one whole band are compared.
+BANDS, ROWS = 32, 4
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER_TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
 _CHUNK = 1 << 16
@@ -59,11 +60,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, digest bigint, fp bigint")
 
 
-def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int = 3, wide: int = 0, cell: int = 2048) -> DataFrame:
+def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int = 3, cell: int = 2048) -> DataFrame:
     """``(a, b)``: links between nodes that join whatever is close.
 
-    ``points`` has ``node``, its fingerprint ``fp`` and, with ``wide`` > 0, words ``s0`` ... of a longer
-    fingerprint. Close are ``distance`` bits or fewer of ``fp`` and ``wide`` or fewer of the longer one.
+    ``points`` has ``node`` and its fingerprint ``fp``. Close are ``distance`` bits or fewer.
     A fingerprint is split into ``blocks`` parts; every choice of ``kept`` parts is a key. Pairs that
     differ in at most ``blocks - kept`` parts share a key, so with ``distance`` no more than that no
     close pair is missed. A key with more than ``cell`` nodes is cut into parts of about that size
@@ -76,19 +76,12 @@ def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int
     keyed = points.select("node", F.explode(F.array(*keys)).alias("key"))
     busy = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = busy.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = keyed.join(parts, "key").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = placed.withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"
-    )
-    lanes = [c for c in points.columns if c not in ("node", "fp")]
-    cells = cells.join(points, "node")
+    cells = _paired(keyed.join(parts, "key")).join(points, "node")
     by = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, bits in _runs(batches, by, ["fp", *lanes]):
-            a, b = spanning_links(bits, distance, wide)
+        for nodes, bits in _runs(batches, by, ["fp"]):
+            a, b = spanning_links(bits[:, 0], distance)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
@@ -105,27 +98,9 @@ def _key(number: int, chosen: tuple[int, ...], cuts: list[int]) -> Column:
     return key.bitwiseOR(F.lit(number << at))
 
 
-def spanning_links(bits: np.ndarray, distance: int, wide: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of links of a forest that joins what chains of close pairs join.
-
-    The first column of ``bits`` is the fingerprint, the others are the words of the longer one.
-    """
-    left, a, b = np.arange(len(bits)), [], []
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            near = np.bitwise_count(bits[left, 0] ^ bits[x, 0]) <= distance
-            if bits.shape[1] > 1:
-                near[near] = np.bitwise_count(bits[left[near], 1:] ^ bits[x, 1:]).sum(1) <= wide
-            if near.any():
-                found = left[near]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                front.extend(found)
-                left = left[~near]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+def spanning_links(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links of a forest that joins what chains of close pairs join."""
+    return forest(len(bits), lambda x, rows: np.bitwise_count(bits[rows] ^ bits[x]) <= distance)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: list[str], bits: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,75 +154,135 @@ def near_duplicates(
     return prints.join(by_print, "fp").select("id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, digest, node, fp, s0 ... )``: a fingerprint of the set of words and a longer one of the shingles."""
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(set_in: np.ndarray, count: int) -> int:
+    return int.from_bytes(np.packbits(2 * set_in > count, bitorder="little").tobytes(), "little")
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Sorted different hashes of the lower-cased word shingles; fewer words than ``size`` are one shingle."""
+    words = text.translate(_LOWER_TABLE).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    count = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(count)), np.uint64, count))
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set under each of ``BANDS`` times ``ROWS`` hash functions; an empty set: all ones."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), _CHUNK // 32):
+        np.minimum(least, mix(hashes[at : at + _CHUNK // 32, None] ^ _SEEDS).min(0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A hash of each band of a signature."""
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, digest, node, n, keys, s0 ... )``: a hash and the size of the shingle set, its bands, a byte of every least hash."""
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["fp", *(f"s{i}" for i in range(LANES))]
+    names = [f"s{i}" for i in range(BANDS * ROWS // 8)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([sketch(x.as_py() or b"", size) for x in batch.column("text").cast(pa.binary())], np.uint64)
-            found = found.reshape(-1, len(names)).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], ["id", "digest", *names])
+            count = batch.num_rows
+            node, n = np.zeros(count, np.uint64), np.zeros(count, np.int64)
+            keys, low = np.zeros((count, BANDS), np.uint64), np.zeros((count, BANDS * ROWS), np.uint8)
+            for i, x in enumerate(batch.column("text").cast(pa.binary())):
+                hashes = shingles(x.as_py() or b"", size)
+                least = least_hashes(hashes)
+                node[i], n[i], keys[i], low[i] = xxhash.xxh64_intdigest(hashes.tobytes(), 42), len(hashes), band_keys(least), least.astype(np.uint8)
+            words = low.view(np.int64)
+            listed = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * BANDS, pa.array(keys.view(np.int64).ravel()))
+            columns = [pa.array(node.view(np.int64)), pa.array(n), listed, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], ["id", "digest", "node", "n", "keys", *names])
 
     rows = rows.select("id", F.xxhash64("text").alias("digest"), "text")
-    made = rows.mapInArrow(run, f"id {kind}, digest bigint, " + ", ".join(f"{n} bigint" for n in names))
-    return made.withColumn("node", F.xxhash64(*names))
+    return rows.mapInArrow(run, f"id {kind}, digest bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def sketch(text: bytes, size: int) -> list[int]:
-    """SimHash of the different words of a text, then of its shingles with ``LANES`` hashes; no words: zeros."""
-    words = text.translate(_LOWER_TABLE).split()
-    if not words:
-        return [0] * (LANES + 1)
-    single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in sorted(set(words))), np.uint64)
-    out, single_first = np.zeros((LANES, BITS), np.int64), _set_bits(single)
-    count = max(1, len(words) - size + 1)
-    for at in range(0, count, _CHUNK):
-        to = min(count, at + _CHUNK)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(at, to)), np.uint64)
-        for lane in range(LANES):
-            out[lane] += _set_bits(hashes if lane == 0 else mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))))
-    return [_majority(single_first, len(single)), *(_majority(x, count) for x in out)]
+def least_agreement(similarity: float, deviations: float = 5.5) -> int:
+    """Bytes of a signature that sets of a similarity have in common at least, with some deviations of room."""
+    total = BANDS * ROWS
+    return math.floor(total * similarity - deviations * math.sqrt(total * similarity * (1 - similarity)))
 
 
-def _set_bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+def forest(count: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest over rows 0 ... that joins what chains of near rows join; ``near(x, rows)`` tells which are near."""
+    left, a, b = np.arange(count), [], []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            hit = near(x, left)
+            if hit.any():
+                a.append(np.full(hit.sum(), x))
+                b.append(left[hit])
+                front.extend(left[hit])
+                left = left[~hit]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _majority(set_in: np.ndarray, count: int) -> int:
-    return int.from_bytes(np.packbits(2 * set_in > count, bitorder="little").tobytes(), "little")
+def agreeing(words: np.ndarray, least: int):
+    """``near`` of ``forest``: signatures that have ``least`` bytes or more in common."""
+    low = np.ascontiguousarray(words).view(np.uint8)
+    return lambda x, rows: (low[rows] == low[x]).sum(1) >= least
 
 
-def expected_distance(similarity: float, bits: int, deviations: float = 1.6) -> int:
-    """Differing bits of two shingle sets of a Jaccard similarity, with some deviations of room."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+def band_links(points: DataFrame, least: int, cell: int = 2048) -> DataFrame:
+    """``(a, b)``: forests of agreeing signatures within each band; cells as in ``close_links``."""
+    lanes = [c for c in points.columns if c not in ("node", "n", "keys")]
+    by = ["key", "i", "j"]
+    keyed = points.select("node", F.explode("keys").alias("key"))
+    busy = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = busy.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    cells = _paired(keyed.join(parts, "key")).join(points.select("node", *lanes), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, bits in _runs(batches, by, lanes):
+            a, b = forest(len(nodes), agreeing(bits, least))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _paired(placed: DataFrame) -> DataFrame:
+    """Rows with ``node`` and ``parts``, once for each pair ``(i, j)`` that the part of the row is in."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "parts")
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8,
-    word_distance: int = 10, blocks: int = 9, kept: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """Rows of ``docs``, all columns, with one row left of each group of near duplicates.
 
-    Texts are near duplicates where the SimHash of their different words differs in
-    ``word_distance`` bits or fewer and that of their ``size``-word shingles, over ``LANES`` times 64
-    bits, in no more than texts of ``similarity`` do (``expected_distance``); groups are chains of such
-    pairs. The row with the smallest id stays, nulls last, ties by a hash of the text; of wholly
-    equal rows any one. Null and empty texts form one group. An empty table stays empty.
+    Texts are near duplicates where their signatures of least hashes of ``size``-word shingles share a band
+    and have ``least_agreement`` of all; a pair at similarity 0.8 fails that with a chance below one
+    in a million. Groups are chains of such pairs.
+    The row with the smallest id stays, nulls last, ties by a hash of the text; of wholly equal rows
+    any one. Null and empty texts form one group. An empty table stays empty.
     """
-    prints = cut_lineage(sketches(docs, id_col, text_col, size))
-    points = prints.drop("id", "digest").distinct()
-    wide = expected_distance(similarity, LANES * BITS)
-    roots = clusters(points, distance=word_distance, blocks=blocks, kept=kept, wide=wide)
+    prints = cut_lineage(signatures(docs, id_col, text_col, size))
+    points = prints.drop("id", "digest").dropDuplicates(["node"])
+    least = least_agreement(similarity)
+    roots = components(band_links(points, least), "a", "b")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    first = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node").groupBy("root").agg(F.min("o").alias("o"))
-    keep = cut_lineage(first.select(F.xxhash64("o.id").alias("_who"), F.col("o.digest").alias("_digest")))
     # keys without nulls, so that the rows of one key lie together for what follows the join
     named = docs.withColumns({"_who": F.xxhash64(docs[id_col]), "_digest": F.xxhash64(docs[text_col].cast("string"))})
+    nodes = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node", "left")
+    first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
+    keep = cut_lineage(first.select(F.xxhash64("o.id").alias("_who"), F.col("o.digest").alias("_digest")))
     return named.join(keep, ["_who", "_digest"]).dropDuplicates(["_who", "_digest"]).select(*docs.columns)
 
 

@@ -156,6 +156,59 @@ def test_near_duplicates_leave_one(documents, corpus):
     assert simhash.keep_first(documents([])).count() == 0
 
 
+def shingle_similarity(a, b, size=5):
+    """Jaccard similarity of the word shingles of two texts, written out."""
+    sets = []
+    for text in (a, b):
+        words = text.translate(LOWER).split()
+        sets.append({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(text, kind, share, seed):
+    """Text with a share of its words appended as new ones, cut off, replaced in one block, or scattered."""
+    words, draw = text.split(), random.Random(seed)
+    n = max(1, round(share * len(words)))
+    new = [f"x{draw.randrange(10**6)}" for _ in range(n)]
+    if kind == "appended":
+        return " ".join(words + new)
+    if kind == "truncated":
+        return " ".join(words[:-n])
+    if kind == "block":
+        at = draw.randrange(len(words) - n)
+        return " ".join(words[:at] + new + words[at + n :])
+    for i, w in zip(draw.sample(range(len(words)), n), new):
+        words[i] = w
+    return " ".join(words)
+
+
+EDITS = {"appended": (0.05, 0.24), "truncated": (0.05, 0.19), "block": (0.02, 0.1), "scattered": (0.005, 0.02)}
+
+
+def edit_pairs(bounds, count=60):
+    """Pairs of a text and its edit, of 12 to 200 words, by kind, whose similarity lies within bounds."""
+    out, seed = [], 0
+    for kind, (low, high) in EDITS.items():
+        made = 0
+        while made < count:
+            seed += 1
+            draw = random.Random(seed)
+            words = draw.choice((12, 30, 60, 200))
+            text = " ".join(f"v{draw.randrange(10**6)}" for _ in range(words))
+            other = edited(text, kind, draw.uniform(low, 3 * high), seed)
+            if bounds[0] <= shingle_similarity(text, other) < bounds[1]:
+                out.append((kind, text, other))
+                made += 1
+    return out
+
+
+def test_near_copies_of_every_kind_are_found(documents):
+    pairs = edit_pairs((0.8, 1.0))
+    kept = {r.doc_id for r in simhash.keep_first(documents([(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)])).collect()}
+    missed = collections.Counter(p[0] for i, p in enumerate(pairs) if 2 * i + 1 in kept)
+    assert not missed and kept == set(range(0, 2 * len(pairs), 2))
+
+
 # ---- 2 decontamination ------------------------------------------------------------------
 
 
