@@ -237,6 +237,21 @@ def agreeing(words: np.ndarray, least: int):
     return lambda x, rows: (low[rows] == low[x]).sum(1) >= least
 
 
+def similar(sets: list[np.ndarray], words: np.ndarray, least: int, similarity: float):
+    """``near`` of ``forest``: agreeing signatures whose sets have the exact Jaccard similarity or more."""
+    agree, sizes = agreeing(words, least), np.array([len(x) for x in sets])
+
+    def near(x: int, rows: np.ndarray) -> np.ndarray:
+        hit = agree(x, rows) & (np.minimum(sizes[rows], sizes[x]) >= similarity * np.maximum(sizes[rows], sizes[x]))
+        for i in np.flatnonzero(hit).tolist():
+            other = sets[rows[i]]
+            common = len(np.intersect1d(sets[x], other, assume_unique=True))
+            hit[i] = bool(common) and common / (len(sets[x]) + len(other) - common) >= similarity
+        return hit
+
+    return near
+
+
 def band_links(points: DataFrame, least: int, cell: int = 2048) -> DataFrame:
     """``(a, b)``: forests of agreeing signatures within each band; cells as in ``close_links``."""
     lanes = [c for c in points.columns if c not in ("node", "n", "keys")]
@@ -262,24 +277,77 @@ def _paired(placed: DataFrame) -> DataFrame:
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "parts")
 
 
+def exact_links(texts: DataFrame, least: int, similarity: float, size: int, cell: int = 2048, weight: int = 1 << 21) -> DataFrame:
+    """``(a, b)``: within each ``root``, forests of the pairs whose shingle sets have the similarity, counted exactly.
+
+    ``texts`` has ``node, n, root, text`` and the signature. A group of more than ``cell`` rows or ``weight``
+    shingles is cut into parts, and every pair of parts is compared in a task of its own.
+    """
+    lanes = [c for c in texts.columns if c not in ("node", "n", "root", "text")]
+    by = ["root", "i", "j"]
+    groups = texts.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    parts = groups.select("root", F.ceil(F.greatest(F.col("rows") / cell, F.col("all") / weight)).cast("int").alias("parts"))
+    cells = _paired(texts.join(parts, "root")).select(*by, "node", "text", *lanes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches, by):
+            nodes = rows.column("node").to_numpy()
+            words = np.stack([rows.column(c).to_numpy() for c in lanes], 1)
+            sets = [shingles(x.as_py() or b"", size) for x in rows.column("text").cast(pa.binary())]
+            a, b = forest(len(nodes), similar(sets, words, least, similarity))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each cell; cells come in order, and one may go on in the next batch."""
+    rest, rest_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in by]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        edges = [0, *new.tolist(), batch.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            key = tuple(c[s] for c in cols)
+            if key != rest_key:
+                if rest:
+                    yield pa.Table.from_batches(rest)
+                rest, rest_key = [], key
+            rest.append(batch.slice(s, e - s))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """Rows of ``docs``, all columns, with one row left of each group of near duplicates.
 
-    Texts are near duplicates where their signatures of least hashes of ``size``-word shingles share a band
-    and have ``least_agreement`` of all; a pair at similarity 0.8 fails that with a chance below one
-    in a million. Groups are chains of such pairs.
+    Texts are near duplicates where the sets of their lower-cased ``size``-word shingles have a Jaccard
+    similarity of ``similarity`` or more, counted on the sets themselves; groups are chains of such pairs.
+    Pairs are looked for among sets that share one of ``BANDS`` bands of ``ROWS`` least hashes and have
+    ``least_agreement`` of all; a pair at similarity 0.8 fails that with a chance below one in a million.
     The row with the smallest id stays, nulls last, ties by a hash of the text; of wholly equal rows
     any one. Null and empty texts form one group. An empty table stays empty.
     """
     prints = cut_lineage(signatures(docs, id_col, text_col, size))
     points = prints.drop("id", "digest").dropDuplicates(["node"])
     least = least_agreement(similarity)
-    roots = components(band_links(points, least), "a", "b")
+    loose = cut_lineage(components(band_links(points, least), "a", "b"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     # keys without nulls, so that the rows of one key lie together for what follows the join
     named = docs.withColumns({"_who": F.xxhash64(docs[id_col]), "_digest": F.xxhash64(docs[text_col].cast("string"))})
+    lanes = [c for c in points.columns if c not in ("node", "n", "keys")]
+    shown = prints.join(loose, "node").groupBy("node", "root").agg(
+        F.min(F.struct(F.xxhash64("id").alias("w"), F.col("digest").alias("d"))).alias("o"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in lanes]
+    )
+    shown = shown.select("node", "root", "n", *lanes, F.col("o.w").alias("_who"), F.col("o.d").alias("_digest"))
+    texts = named.select("_who", "_digest", F.col(text_col).cast("string").alias("text")).join(shown, ["_who", "_digest"])
+    texts = cut_lineage(texts.drop("_who", "_digest").dropDuplicates(["node"]))
+    roots = components(exact_links(texts, least, similarity, size), "a", "b")
     nodes = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node", "left")
     first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
     keep = cut_lineage(first.select(F.xxhash64("o.id").alias("_who"), F.col("o.digest").alias("_digest")))

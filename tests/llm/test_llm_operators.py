@@ -209,6 +209,27 @@ def test_near_copies_of_every_kind_are_found(documents):
     assert not missed and kept == set(range(0, 2 * len(pairs), 2))
 
 
+def test_documents_below_the_similarity_stay(documents):
+    pairs = edit_pairs((0.6, 0.8))
+    kept = {r.doc_id for r in simhash.keep_first(documents([(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)])).collect()}
+    assert kept == set(range(2 * len(pairs)))
+
+
+def test_parts_of_a_large_group_lose_no_exact_link(spark):
+    base = prose(5, 60, 10**6).split()
+    texts = [" ".join(base[: 60 - i] + [f"n{i}x{k}" for k in range(i)]) for i in range(30)]
+    rows = simhash.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text", 5).collect()
+    lanes = [f"s{i}" for i in range(simhash.BANDS * simhash.ROWS // 8)]
+    table = spark.createDataFrame([(r.node, r.n, 1, texts[r.id], *(r[c] for c in lanes)) for r in rows], "node bigint, n bigint, root bigint, text string, " + ", ".join(f"{c} bigint" for c in lanes))
+    least = simhash.least_agreement(0.8)
+    found = {(r.node, r.root) for r in components(simhash.exact_links(table, least, 0.8, 5, cell=4), "a", "b").collect()}
+    assert found == {(r.node, r.root) for r in components(simhash.exact_links(table, least, 0.8, 5), "a", "b").collect()}
+    want = [(x, y) for x in range(30) for y in range(x) if shingle_similarity(texts[x], texts[y]) >= 0.8]
+    node = {r.id: r.node for r in rows}
+    root = dict(found)
+    assert want and all(root[node[x]] == root[node[y]] for x, y in want) and set(root) == {node[x] for p in want for x in p}
+
+
 # ---- 2 decontamination ------------------------------------------------------------------
 
 
