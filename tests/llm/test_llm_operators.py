@@ -326,6 +326,11 @@ def test_level_packer_chooses_the_least_sum_of_squares():
 # ---- 4 consistent weighted sampling -----------------------------------------------------
 
 
+def test_fingerprints_have_64_samples(documents):
+    (row,) = weighted_sampling.edited_and_next(documents([(1, "a b c d e f")])).collect()
+    assert weighted_sampling.SAMPLES == 64 and len(row.fingerprint) == 64 * weighted_sampling.DIGITS
+
+
 def test_weighted_sampling(documents, corpus):
     rows = sorted({(d, t or "") for d, t in corpus}, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     plain = [r for r in rows if r[0] is not None and r[0] != 41]
