@@ -26,13 +26,18 @@ _TOKEN_BYTES = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefgh
 _KEYS = (b"passw", b"secret", b"token", b"api")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Fewest characters of a random part, and how much higher its mean ratio is to be without a digit.
+SHORTEST, LETTERS_MORE = 16, 0.6
+#: Words from which the models can tell words of one case from random letters of one case.
+KNOWN_WORDS = 200
 _CODE = {c: i + 1 for i, c in enumerate(_SYMBOLS)}
 
 
 class MarkovPair:
     """Log-likelihood ratio of a second-order model of random strings over one of identifiers."""
 
-    def __init__(self, random_strings: Iterable[str], identifiers: Iterable[str], smoothing: float = 0.05):
+    def __init__(self, random_strings: Iterable[str], identifiers: Iterable[str], smoothing: float = 0.05, known: int = KNOWN_WORDS):
+        self.known = known
         self.ratio = (self._fit(random_strings, smoothing) - self._fit(identifiers, smoothing)).astype(np.float32)
 
     @staticmethod
@@ -50,9 +55,13 @@ class MarkovPair:
         two = (two + 8 * smoothing * n * base) / (two.sum(-1, keepdims=True) + 8 * smoothing * n)
         return np.log((three + smoothing * n * two[None]) / (three.sum(-1, keepdims=True) + smoothing * n))
 
-    def score(self, text: str) -> float:
+    def ratios(self, text: str) -> np.ndarray:
+        """The ratio of each character after the two before it."""
         c = self._codes(text)
-        return float(self.ratio[c[:-2], c[1:-1], c[2:]].sum())
+        return self.ratio[c[:-2], c[1:-1], c[2:]]
+
+    def score(self, text: str) -> float:
+        return float(self.ratios(text).sum())
 
 
 def train(words: Iterable[str], seed: int = 7, size: int = 4000) -> MarkovPair:
@@ -78,7 +87,7 @@ def train(words: Iterable[str], seed: int = 7, size: int = 4000) -> MarkovPair:
     letters, digits = _SYMBOLS[:52], _SYMBOLS[52:62]
     alphabets = ("0123456789abcdef", letters[26:] + "234567", letters + digits, letters + digits + "+/", letters + digits + "_-")
     strings = ["".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 48))) for _ in range(size)]
-    return MarkovPair(strings, identifiers)
+    return MarkovPair(strings, identifiers, known=len(words))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -90,18 +99,74 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def random_spans(text: str, models: MarkovPair, least: float, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Token runs that look random to the models and lie outside all base spans."""
+    """Parts of token runs that look random to the models and lie outside all base spans."""
     found = []
     for m in TOKEN.finditer(text):
-        core = m[0].strip("-=_/+")
-        if len(core) < 16 or any(s < m.end() and m.start() < e for _, s, e in base):
+        at, covers = m.start(), [(s, e) for _, s, e in base if s < m.end() and m.start() < e]
+        for s, e in [*sorted(covers), (m.end(), m.end())]:
+            if s > at:
+                found += _random_parts(text, at, s, models, least)
+            at = max(at, e)
+    return [("random", s, e) for s, e in found]
+
+
+def _random_parts(text: str, start: int, end: int, models: MarkovPair, least: float) -> list[tuple[int, int]]:
+    """The whole of a run if its mean ratio is high enough, otherwise its best parts of ``SHORTEST`` characters or more.
+
+    A part has the largest sum of ratios above the least one, so one is found whenever any part of that
+    length reaches the least mean; what lies before and after it is looked at in the same way.
+    """
+    piece = text[start:end]
+    core = piece.strip("-=_/+")
+    if len(core) < SHORTEST:
+        return []
+    start += piece.index(core)
+    ratios = models.ratios(core)
+    found, todo = [], [(0, len(core))]
+    while todo:
+        s, e = todo.pop()
+        if e - s < SHORTEST:
             continue
-        if not any(c.isdigit() for c in core):  # letters alone: words of languages the sample may lack
+        part = _best_part(ratios[s:e], least, whole=e - s == len(core))
+        if part is None:
             continue
-        if models.score(core) >= least * len(core):
-            at = m.start() + m[0].index(core)
-            found.append(("random", at, at + len(core)))
-    return found
+        rest, (s, e) = (s, e), _grown(core, s, e, part)
+        todo += [(rest[0], s), (e, rest[1])]
+        if not any(c.isdigit() for c in core[s:e]):  # letters alone: words of languages the sample may lack
+            if models.known < KNOWN_WORDS and core[s + 1 : e] in (core[s + 1 : e].lower(), core[s + 1 : e].upper()):
+                continue
+            part = _best_part(ratios[s:e], least + LETTERS_MORE, whole=True)
+            if part is None:
+                continue
+            s, e = _grown(core, s, e, part)
+        kept = core[s:e].strip("-=_/+")
+        if len(kept) >= SHORTEST:
+            s += core[s:e].index(kept)
+            found.append((start + s, start + s + len(kept)))
+    return sorted(found)
+
+
+def _grown(core: str, start: int, end: int, part: tuple[int, int]) -> tuple[int, int]:
+    """A part of ``core[start:end]`` with the letters and digits that adjoin it there."""
+    s, e = start + part[0], start + part[1]
+    while s > start and core[s - 1].isalnum():
+        s -= 1
+    while e < end and core[e].isalnum():
+        e += 1
+    return s, e
+
+
+def _best_part(ratios: np.ndarray, least: float, whole: bool) -> tuple[int, int] | None:
+    """Where the sum over ``SHORTEST`` or more of what ratios exceed ``least`` by is largest, if not negative."""
+    sums = np.concatenate([[0.0], np.cumsum(ratios - least, dtype=np.float64)])
+    if whole and sums[-1] >= 0:
+        return 0, len(ratios)
+    lowest = np.minimum.accumulate(sums[: len(sums) - SHORTEST])
+    over = sums[SHORTEST:] - lowest
+    end = int(over.argmax())
+    if over[end] < 0:
+        return None
+    return int(sums[: end + 1].argmin()), end + SHORTEST
 
 
 def _order(span: tuple[str, int, int]) -> tuple:
@@ -147,8 +212,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
     """Per row of ``docs``: ``(id, base, spans)``.
 
     ``base`` and ``spans`` are arrays of ``(kind, start, end)`` in code points, by start, then
-    kind. Base spans come from the fixed patterns; the models add spans of kind ``random`` for
-    token runs whose log-likelihood ratio is ``least`` or more a character. Identifiers of the
+    kind. Base spans come from the fixed patterns; the models add spans of kind ``random`` for what
+    of token runs lies outside base spans and has a log-likelihood ratio of ``least`` or more a
+    character, ``LETTERS_MORE`` above it where it has no digit: the whole run or its best parts. Identifiers of the
     training sample are made from words of ``training_rows`` texts; everything else looks at
     whole texts. Null texts are empty; repeated rows stay; an empty table gives no rows.
     """

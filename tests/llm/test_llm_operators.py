@@ -528,6 +528,28 @@ def test_markov_models_tell_random_strings_from_identifiers():
     assert np.mean([models.score(s) >= 0.6 * len(s) for s in names]) < 0.02
 
 
+def test_secrets_in_letters_in_paths_and_beside_base_spans():
+    draw = random.Random(4)
+    words = ["user", "account", "service", "manager", "index", "value", "handler", "config", "number", "request", "services", "accounts", "production"]
+    models = secrets.train(words)
+    letters, mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def share(make, count=200):
+        hit = 0
+        for _ in range(count):
+            before, secret = make()
+            text = f"see {before}{secret} now"
+            spans, at = secrets.random_spans(text, models, 0.6, secrets.base_spans(text)), 4 + len(before)
+            hit += any(s <= at and e >= at + len(secret) for _, s, e in spans)
+        return hit / count
+
+    assert share(lambda: ("", "".join(draw.choices(letters, k=24)))) > 0.95
+    assert share(lambda: ("/services/accounts/production/manager/", "".join(draw.choices(mixed, k=24)))) > 0.95
+    assert share(lambda: ("0123456789abcdef01234567_", "".join(draw.choices(mixed[26:], k=24)))) > 0.95
+    names = ["/".join(draw.choices(words, k=5)) for _ in range(300)] + ["".join(draw.choices(words, k=4)) for _ in range(300)]
+    assert sum(bool(secrets.random_spans(x, models, 0.6, [])) for x in names) < 12
+
+
 # ---- 8 substrings -----------------------------------------------------------------------
 
 
