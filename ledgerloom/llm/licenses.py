@@ -11,25 +11,28 @@ from ledgerloom.llm.common import id_and_text
 #: Phrases and labels of the base.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label, keyword that must occur, and the name as it reads in words of letters and digits.
+#: Label, strings of which one is in every match, and the name as it reads in words of letters and digits.
 NAMES = (
-    ("gpl-1.0", "gnu", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "gnu", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "gnu", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?"),
-    ("gpl", "gnu", r"gnu general public license"),
+    ("gpl-1.0", "general public license|gpl", r"(?:gnu )?(?:general public license|gpl)(?: ?version| ?v)? ?1(?: 0)?"),
+    ("gpl-2.0", "general public license|gpl", r"(?:gnu )?(?:general public license|gpl)(?: ?version| ?v)? ?2(?: 0)?"),
+    ("gpl-3.0", "general public license|gpl", r"(?:gnu )?(?:general public license|gpl)(?: ?version| ?v)? ?3(?: 0)?"),
+    ("gpl", "general public license", r"(?:gnu )?general public license"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("gpl-2.0", "gpl", r"gpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "gpl", r"gpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public license"),
-    ("lgpl", "lgpl", r"lgpl"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?"),
+    ("gpl-2.0", "gpl", r"gpl(?: ?version| ?v)? ?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"gpl(?: ?version| ?v)? ?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public license(?: ?version| ?v)? ?2 1"),
+    ("lgpl-3.0", "lesser|library", r"(?:gnu )?(?:lesser|library) general public license(?: ?version| ?v)? ?3(?: 0)?"),
+    ("lgpl", "lesser|library", r"(?:gnu )?(?:lesser|library) general public license"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: ?version| ?v)? ?2 1"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: ?version| ?v)? ?3(?: 0)?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: ?v?2(?: 0)?)?"),
+    ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: ?version| ?v)? ?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public license"),
-    ("agpl", "agpl", r"agpl(?: v?3(?: 0)?)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: ?version| ?v)? ?3(?: 0)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
     ("gfdl", "documentation", r"gnu free documentation license(?: version 1 [123])?"),
     ("apache-1.1", "apache", r"apache (?:software )?license version 1 1"),
-    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: ?version| ?v)? ?2(?: 0)?"),
     ("apache", "apache", r"apache(?: software)? license"),
     ("mit", "mit", r"mit license"),
     ("mit", "mit", r"mit x11 license"),
@@ -38,13 +41,13 @@ NAMES = (
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised) bsd license|bsd 3 clause(?: license)?)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd license|bsd 4 clause(?: license)?)"),
     ("bsd", "bsd", r"bsd license"),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: license)?"),
+    ("0bsd", "zero clause bsd|0bsd", r"(?:zero clause bsd|0bsd)(?: license)?"),
     ("isc", "isc", r"isc license"),
-    ("mpl-1.1", "mozilla", r"mozilla public license(?: version| v)? ?1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public license(?: version| v)? ?2 0"),
+    ("mpl-1.1", "mozilla", r"mozilla public license(?: ?version| ?v)? ?1 1"),
+    ("mpl-2.0", "mozilla", r"mozilla public license(?: ?version| ?v)? ?2 0"),
     ("mpl", "mozilla", r"mozilla public license"),
-    ("epl-1.0", "eclipse", r"eclipse public license(?: version| v)? ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", r"eclipse public license(?: version| v)? ?2(?: 0)?"),
+    ("epl-1.0", "eclipse", r"eclipse public license(?: ?version| ?v)? ?1(?: 0)?"),
+    ("epl-2.0", "eclipse", r"eclipse public license(?: ?version| ?v)? ?2(?: 0)?"),
     ("epl", "eclipse", r"eclipse public license"),
     ("edl-1.0", "eclipse", r"eclipse distribution license(?: v ?1 0)?"),
     ("cddl-1.0", "cddl", r"cddl(?: 1 0)?"),
@@ -87,6 +90,32 @@ NAMES = (
     ("public-domain", "domain", r"(?:in|into|to) the public domain"),
 )
 
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_WITHIN = r"(?: [^ ]+){0,200}?"
+_ADVERTISED, _ENDORSED = " all advertising materials mentioning features", " (?:neither the name|may not be used to endorse)"
+_HEADER = "general public license as published by the free software foundation (?:either )?version"
+#: Label, string in every match and wording of license bodies and headers that need not name the license.
+BODIES = (
+    ("mit", "permission is hereby granted", _MIT + _WITHIN + " subject to the following conditions"),
+    ("mit-0", "permission is hereby granted", _MIT + f"(?!{_WITHIN} subject to the following conditions )"),
+    ("bsl-1.0", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "with or without fee", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "with or without fee", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided )"),
+    ("bsd-4-clause", "binary forms", _BSD + _WITHIN + _ADVERTISED),
+    ("bsd-3-clause", "binary forms", _BSD + f"(?!{_WITHIN}{_ADVERTISED} )" + _WITHIN + _ENDORSED),
+    ("bsd-2-clause", "binary forms", _BSD + f"(?!{_WITHIN}(?:{_ADVERTISED}|{_ENDORSED}) )"),
+    ("gpl-1.0", "general public license as published", f"gnu {_HEADER} 1"),
+    ("gpl-2.0", "general public license as published", f"gnu {_HEADER} 2"),
+    ("gpl-3.0", "general public license as published", f"gnu {_HEADER} 3"),
+    ("lgpl-2.1", "general public license as published", f"gnu lesser {_HEADER} 2 1"),
+    ("lgpl-3.0", "general public license as published", f"gnu lesser {_HEADER} 3"),
+    ("agpl-3.0", "general public license as published", f"gnu affero {_HEADER} 3"),
+    ("unlicense", "free and unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "authors be held liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+)
+BODY_PRIORITY, BODY_SCORE = 35, 0.95
+
 #: What may stand before a name, its priority and the score of a rule; the bare name comes last.
 NOTICES = (
     (r"spdx license identifier (?:the )?", 40, 1.0),
@@ -101,6 +130,7 @@ UNNOTICED = ("proprietary", "public-domain")
 #: A text without any of these holds neither a base phrase nor a rule's name; each is looked for once a text.
 GATES = (
     "licen", "cc", "gpl", "bsd", "apache", "attribution", "reserved", "confidential", "public", "wtfpl", "creative", "cddl",
+    "hereby", "redistribution", "authors",
 )
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
@@ -116,13 +146,13 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """Every notice before every name, in order: over 300 signatures."""
+    """Every notice before every name, in order, then license bodies and headers."""
     return [
         Rule(label, keyword, f"(?<= ){lead}{name}(?= )", priority, score)
         for lead, priority, score in NOTICES
         for label, keyword, name in NAMES
         if not (lead and label in UNNOTICED)
-    ]
+    ] + [Rule(label, keyword, f"(?<= ){body}(?= )", BODY_PRIORITY, BODY_SCORE) for label, keyword, body in BODIES]
 
 
 def _places(words: str, phrase: str) -> Column:
@@ -144,7 +174,7 @@ def _labelled(places: Column, label: str) -> Column:
 
 def _signature_table() -> Column:
     fields = lambda i, r: F.struct(
-        F.lit(i).alias("number"), F.lit(r.label).alias("label"), F.lit(f" {r.keyword} ").alias("keyword"),
+        F.lit(i).alias("number"), F.lit(r.label).alias("label"), F.lit(r.keyword.split("|")[0]).alias("keyword"), F.lit(r.keyword.split("|")[-1]).alias("other"),
         F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"),
     )
     return F.array(*[fields(i, r) for i, r in enumerate(rules())])
@@ -172,7 +202,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Words are runs of ASCII letters and digits and of what lies beyond ASCII, A-Z as small
     letters. ``places`` are ``(label, word)`` of every base phrase, by phrase, then word.
     ``detections`` are ``(label, start, end, score)`` of signature rules in the text of words
-    joined by spaces. A rule is tried where its keyword occurs; a detection goes when another
+    joined by spaces. A rule is tried where one of its keywords occurs, in a word or across words; a detection goes when another
     contains it that has the higher priority, or the same and more characters, or the same span
     and an earlier rule. Null and empty texts have no words; repeated rows stay; no shuffle.
     """
@@ -193,7 +223,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .otherwise(F.array().cast("array<struct<label:string,word:int>>"))
         for phrase, label in PHRASES
     ]))
-    keyed = F.filter("signatures", lambda r: F.contains("line", r["keyword"]))
+    keyed = F.filter("signatures", lambda r: F.contains("line", r["keyword"]) | F.contains("line", r["other"]))
     found = F.flatten(F.transform(keyed, lambda r: F.transform(
         _matches("line", r),
         lambda m: F.struct(

@@ -625,3 +625,21 @@ def test_license_scan(documents):
     assert [d.label for d in found[5].detections] == ["gpl-3.0"]  # the bare name lies inside and goes
     assert [d.label for d in found[7].detections] == ["bsd-3-clause"] and not found[6].detections
     assert len(licenses.rules()) > 300 and licenses.scanned(documents([])).count() == 0
+
+
+def test_license_rules_need_no_optional_word(documents):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in it, subject to the following conditions: none"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: keep the notice. "
+    gpl = "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"
+    want = {
+        "licensed under the General Public License version 3": "gpl-3.0", "a zero clause BSD license": "0bsd", "code is GPLv2": "gpl-2.0", "GPLv3 only": "gpl-3.0",
+        "uses LGPLv3": "lgpl-3.0", "see LGPLv2.1": "lgpl-2.1", "is AGPLv3": "agpl-3.0", mit: "mit", bsd: "bsd-2-clause", gpl: "gpl-3.0",
+        bsd + "Neither the name of it may be used": "bsd-3-clause", bsd + "All advertising materials mentioning features. Neither the name of it": "bsd-4-clause",
+    }
+    found = {r.id: {d.label for d in r.detections} for r in licenses.scanned(documents(list(enumerate(want)))).collect()}
+    assert [label for i, label in enumerate(want.values()) if label not in found[i]] == []
+    assert all(rule.keyword.count("|") < 2 for rule in licenses.rules())
+    for text in want:
+        line = " " + " ".join(LETTER_WORDS.findall(text.translate(LOWER))) + " "
+        for rule in licenses.rules():
+            assert not re.search(rule.pattern, line) or any(k in line for k in rule.keyword.split("|"))
