@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, decontaminate, langid, licenses, packing, pii, secrets, simhash, substrings, weighted_sampling
+from ledgerloom.llm import (
+    chat, decontaminate, fim, langid, licenses, packing, pii, quality_rules, secrets, simhash, substrings, weighted_sampling,
+)
 from ledgerloom.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +180,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_weighted_sampling")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edited_and_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT doc_id, t, u, len(u) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
+f AS (SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM g
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.filled(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def _rules_sql(rules: tuple[quality_rules.Rule, ...]) -> str:
+    """The threshold table as one condition."""
+    parts = []
+    for r in rules:
+        whole = r.of or "1"
+        low = [] if r.low is None else [f"10000 * {r.value} >= {round(r.low * 10_000)} * {whole}"]
+        high = [] if r.high is None else [f"10000 * {r.value} <= {round(r.high * 10_000)} * {whole}"]
+        parts.append(f"({' AND '.join(low + high)} OR n_words < {r.least})")
+    return " AND ".join(parts)
+
+
+_STOPS_SQL = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS x FROM d),
+spans AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS span FROM e, unnest(range(1, len(w) - 3)) t(i)),
+twice AS (SELECT r, span FROM spans GROUP BY r, span HAVING count(*) > 1),
+hit AS (SELECT r, count(DISTINCT i + k) AS n FROM spans JOIN twice USING (r, span), range(0, 5) t(k) GROUP BY r),
+twins AS (SELECT r, count(*) AS n FROM e, unnest(range(2, len(w) + 1)) t(i) WHERE w[i] = w[i - 1] GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, coalesce(twins.n, 0) AS n_twins,
+  length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_exclaims, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+  len(list_filter(regexp_extract_all(lower(t), '\p{{L}}+'), lambda v: v IN ({_STOPS_SQL}))) AS n_stop,
+  len(list_filter(x, lambda v: regexp_matches(v, '^[ 	-]*[-*•·]'))) AS n_bullets,
+  len(list_filter(x, lambda v: regexp_matches(v, '(\.\.\.|…)[ 	-]*$'))) AS n_ellipses
+  FROM e LEFT JOIN hit USING (r) LEFT JOIN twins USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({_rules_sql(quality_rules.BASE)}) AS base_failed, {_rules_sql(quality_rules.RULES)} AS kept
+FROM m
+"""
+
+
+@query("op12_quality", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"measures.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")

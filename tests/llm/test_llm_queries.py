@@ -18,6 +18,8 @@ COLUMNS = {
     "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6_langid": "doc_id held_out lang_pred score",
     "op7_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op8_substrings": "doc_id n_words n_removed kept_sha256",
     "op9_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op11_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op12_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
