@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import content_cid, sha256
 from ledgerloom.functions.numbers import exact_mean, exact_sum, rounded
-from ledgerloom.operators.ordered import id_chunk, running_sum
+from ledgerloom.operators.ordered import running_sum
 from ledgerloom.session import cut_lineage
 
 # Where to look for a copy, nearest first.
@@ -166,7 +166,7 @@ def plan_placement(
         if largest <= finish_below:
             break
         summed = running_sum(
-            todo, ["node_id"], id_chunk(F.col("seq")), [F.col("seq"), F.col("content_hash")], F.col("size_bytes"), "total"
+            todo, ["node_id"], [F.col("seq"), F.col("content_hash")], F.col("size_bytes"), "total"
         )
         summed = cut_lineage(summed)
         fits = F.col("total") <= F.col("free")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.hashing import lineage_hash, piped, sha256
 from ledgerloom.functions.numbers import exact_mean
-from ledgerloom.operators.ordered import first_k_per_key, latest_per_key, numbered, time_chunk
+from ledgerloom.operators.ordered import first_k_per_key, latest_per_key, numbered
 from ledgerloom.session import cut_lineage
 
 # The record that seeds an empty ledger.
@@ -42,13 +42,9 @@ def lineage_chain(lineage: DataFrame, dataset_id: str) -> DataFrame:
     return lineage.filter(F.col("output_dataset_id") == dataset_id).orderBy(F.desc("timestamp"), F.desc("tx_id"))
 
 
-def lineage_chains(lineage: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
-    """Every dataset's chain at once, each record with its position from the newest.
-
-    ``chunk_seconds`` is the stretch of one dataset's history that a single task sorts.
-    """
-    chunk = time_chunk(F.col("ts"), chunk_seconds, newest_first=True)
-    return numbered(lineage, ["output_dataset_id"], chunk, [F.desc("ts"), F.desc("tx_id")], "position")
+def lineage_chains(lineage: DataFrame) -> DataFrame:
+    """Every dataset's chain at once, each record with its position from the newest."""
+    return numbered(lineage, ["output_dataset_id"], [F.desc("ts"), F.desc("tx_id")], "position")
 
 
 def latest_metadata(lineage: DataFrame) -> DataFrame:

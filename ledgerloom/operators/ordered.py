@@ -1,9 +1,12 @@
 """Order-dependent steps that stay parallel when one key holds most of the rows.
 
-A plain window partitioned by key puts a whole key into one task. The functions here cut
-each key into chunks that follow the order (an hour of time, a range of ids). Rows only
-meet inside their chunk; what crosses a chunk border (a count, a running total, the last
-value) travels through a table with one row per key and chunk.
+A plain window partitioned by key puts a whole key into one task. The functions here deal the rows
+out by ranges of key and order whose borders Spark samples from the rows themselves, so every
+range has about as many rows however bursty the times or sparse the ids are. Rows only meet
+inside their range; what crosses a border (a count, a running total, the last value)
+travels through a table with one row per key and range, at most the number of keys plus that
+of ranges. Sampled borders change from one evaluation to the next, so the dealt rows are
+written once to the checkpoint folder and everything after starts from there.
 """
 
 from __future__ import annotations
@@ -12,68 +15,73 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK = "_chunk"
+from ledgerloom.session import cut_lineage
 
+#: Range a row was dealt to, and its number there: rows of a range are numbered in order.
+RANGE, ROW = "_range", "_row"
 
-def time_chunk(ts: Column, seconds: int = 3600, newest_first: bool = False) -> Column:
-    """Number of the time slice a timestamp falls in; falls instead of rises when asked.
 
-    Timestamps without a zone are counted by their wall clock, so a session zone with
-    daylight saving cannot reorder slices.
-    """
-    wall = F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    elapsed = F.when(F.typeof(ts) == "timestamp_ntz", wall).otherwise(
-        F.unix_seconds(ts.cast("timestamp"))
-    )
-    slice_no = F.floor(elapsed / seconds)
-    return -slice_no if newest_first else slice_no
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return cut_lineage(ranged.withColumns({RANGE: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
 
 
-def id_chunk(number: Column, width: int = 100_000) -> Column:
-    return F.floor(number / width)
+def _over_key(keys: Sequence[str]):
+    """Window over the runs of one key; without keys over one run a range."""
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
 def _before(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-
+    return _over_key(keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
-def _rejoin(rows: DataFrame, borders: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(borders, [*keys, CHUNK], "left").drop(CHUNK)
 
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], value: Column, name: str
-) -> DataFrame:
-    """Sum of ``value`` from the first row of the key up to this one.
-
-    ``chunk`` must not fall as ``order`` rises.
-    """
-    rows = df.withColumn(CHUNK, chunk).withColumn("_value", value)
-    totals = rows.groupBy(*keys, CHUNK).agg(F.sum("_value").alias("_total"))
-    borders = totals.withColumn("_base", F.sum("_total").over(_before(keys))).drop("_total")
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("_inside", F.sum("_value").over(inside)).drop("_value")
-    out = _rejoin(summed, borders, keys)
-    return out.withColumn(name, F.col("_inside") + F.coalesce("_base", F.lit(0))).drop("_inside", "_base")
+def _with_run(rows: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the columns of its run, the rows of one key in one range; null keys are a key too."""
+    names = {k: f"_run_{i}" for i, k in enumerate([*keys, RANGE])}
+    runs = runs.withColumnsRenamed(names)
+    same = rows[RANGE] == runs[names[RANGE]]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(runs[names[k]])
+    return rows.join(runs, same).drop(*names.values())
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None
 ) -> DataFrame:
-    """Position of each row within its key, from 1; ``chunk`` must not fall as ``order`` rises."""
-    return running_sum(df, keys, chunk, order, F.lit(1).cast("bigint"), name)
-
+    """Position of each row within its key, from 1, and the rows of the key if ``total`` is named.
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], value: str, default, name: str
-) -> DataFrame:
+    Inside a run the position is a difference of row numbers, so the rows are not shuffled again
+    while the table of runs is small enough for Spark to broadcast.
+    """
+    dealt = _dealt(df, keys, order)
+    runs = dealt.groupBy(*keys, RANGE).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    runs = runs.withColumns({
+        "_base": F.coalesce(F.sum("_rows").over(_before(keys)), F.lit(0)), "_total": F.sum("_rows").over(_over_key(keys)),
+    })
+    position = F.col(ROW) - F.col("_first") + F.col("_base") + 1
+    extra = [F.col("_total").alias(total)] if total else []
+    return _with_run(dealt, runs, keys).select(*[F.col(c) for c in df.columns], position.alias(name), *extra)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` from the first row of the key up to this one."""
+    dealt = _dealt(df.withColumn("_value", value), keys, order)
+    runs = dealt.groupBy(*keys, RANGE).agg(F.sum("_value").alias("_sum"))
+    runs = runs.withColumn("_base", F.coalesce(F.sum("_sum").over(_before(keys)), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*keys, RANGE).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("_inside", F.sum("_value").over(inside))
+    return _with_run(summed, runs, keys).select(*[F.col(c) for c in df.columns], (F.col("_inside") + F.col("_base")).alias(name))
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, default, name: str) -> DataFrame:
     """``value`` of the row before this one within the key; ``value`` itself is never null."""
-    rows = df.withColumn(CHUNK, chunk)
-    last = rows.groupBy(*keys, CHUNK).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)))
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    out = _rejoin(rows.withColumn("_lag", F.lag(value).over(inside)), carry.drop("_last"), keys)
-    return out.withColumn(name, F.coalesce("_lag", "_carry", F.lit(default))).drop("_lag", "_carry")
+    dealt = _dealt(df, keys, order)
+    last = dealt.groupBy(*keys, RANGE).agg(F.max_by(value, ROW).alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(_over_key(keys).orderBy(RANGE))).drop("_last")
+    inside = Window.partitionBy(*keys, RANGE).orderBy(ROW)
+    out = _with_run(dealt.withColumn("_lag", F.lag(value).over(inside)), carry, keys)
+    return out.select(*[F.col(c) for c in df.columns], F.coalesce("_lag", "_carry", F.lit(default)).alias(name))
 
 
 def first_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

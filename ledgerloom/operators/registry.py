@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.hashing import sha256
 from ledgerloom.functions.numbers import exact_mean, rounded
 from ledgerloom.functions.text import flow_spec, is_create_request
-from ledgerloom.operators.ordered import id_chunk, latest_per_key, numbered, running_sum
+from ledgerloom.operators.ordered import latest_per_key, numbered, running_sum
 from ledgerloom.session import cut_lineage
 
 
@@ -94,12 +94,12 @@ def unique_names(requests: DataFrame, taken: DataFrame, base: str, seq: str) ->
     """Give each request its base name, or the base with the next free number from 2 on.
 
     Requests for one base are served in ``seq`` order. The r-th request gets the r-th free
-    number: r plus the taken numbers that have fewer than r free ones below. Both counts are
-    chunked running sums, so a single popular base is spread over many tasks. The requests,
+    number: r plus the taken numbers that have fewer than r free ones below. Both counts go over
+    ranges of the rows, so a single popular base is spread over many tasks. The requests,
     slim by now, are written once because the sums read them several times.
     """
     requests = cut_lineage(requests)
-    ordered = numbered(requests, [base], id_chunk(F.col(seq)), [F.col(seq)], "_rank")
+    ordered = numbered(requests, [base], [F.col(seq)], "_rank")
     whole = taken.select(F.col("name").alias("_base"), F.lit(1).cast("bigint").alias("_number"))
     suffix = "^(.+)_([1-9][0-9]*)$"
     cut = taken.select(
@@ -108,7 +108,7 @@ def unique_names(requests: DataFrame, taken: DataFrame, base: str, seq: str) ->
     ).filter("_number >= 2")
     used = whole.unionByName(cut).distinct().withColumnRenamed("_base", base)
     used = used.join(requests.select(base).distinct(), base, "left_semi")
-    used = numbered(used, [base], id_chunk(F.col("_number")), [F.col("_number")], "_nth")
+    used = numbered(used, [base], [F.col("_number")], "_nth")
     marks = used.select(
         base, (F.col("_number") - F.col("_nth")).alias("_at"), F.lit(0).alias("_turn"),
         F.lit(1).cast("bigint").alias("_taken"),
@@ -119,7 +119,7 @@ def unique_names(requests: DataFrame, taken: DataFrame, base: str, seq: str) ->
     })
     merged = marks.unionByName(asks, allowMissingColumns=True)
     summed = running_sum(
-        merged, [base], id_chunk(F.col("_at")), [F.col("_at"), F.col("_turn"), F.col(seq)], F.col("_taken"), "_skipped"
+        merged, [base], [F.col("_at"), F.col("_turn"), F.col(seq)], F.col("_taken"), "_skipped"
     )
     number = F.col("_at") + 1 + F.col("_skipped")
     name = F.when(number == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), number.cast("string")))
@@ -134,7 +134,7 @@ def flow_id(number: Column) -> Column:
 
 def _numbered_ids(rows: DataFrame, registry: DataFrame, seq: str) -> DataFrame:
     existing = registry.agg(F.count(F.lit(1)).alias("n")).scalar()
-    placed = numbered(rows, [], id_chunk(F.col(seq)), [F.col(seq)], "_nth")
+    placed = numbered(rows, [], [F.col(seq)], "_nth")
     return placed.withColumn("id", flow_id(F.col("_nth") + existing)).drop("_nth")
 
 

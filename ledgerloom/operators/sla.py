@@ -8,7 +8,7 @@ from ledgerloom.functions.hashing import measurement_hash, piped, sha256
 from ledgerloom.functions.numbers import exact_mean, fixed
 from ledgerloom.functions.sigma import severity, sigma_to_dpm
 from ledgerloom.operators.lineage import period
-from ledgerloom.operators.ordered import first_k_per_key, previous_value, time_chunk
+from ledgerloom.operators.ordered import first_k_per_key, previous_value
 
 
 def log_measurements(measurements: DataFrame) -> DataFrame:
@@ -89,11 +89,10 @@ def monitor_state(sigma: Column, previous: Column) -> Column:
     return F.when(sigma < 4.5, "ALERT").when(sigma < previous - 0.5, "WARNING").otherwise("OK")
 
 
-def sigma_monitor(measurements: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def sigma_monitor(measurements: DataFrame) -> DataFrame:
     """State of every measurement against the one before it; the first compares with 6.0."""
     before = previous_value(
-        measurements, ["pipeline_id"], time_chunk(F.col("ts"), chunk_seconds), ["ts", "run_id"],
-        "sigma_level", 6.0, "previous_sigma",
+        measurements, ["pipeline_id"], [F.col("ts"), F.col("run_id")], "sigma_level", 6.0, "previous_sigma"
     )
     state = monitor_state(F.col("sigma_level"), F.col("previous_sigma"))
     return before.withColumn("state", state).withColumn("heal", F.col("state") == "ALERT")

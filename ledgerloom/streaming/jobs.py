@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ledgerloom.functions.hashing import sha256
 from ledgerloom.operators.compliance import decide
 from ledgerloom.operators.masking import mask_pii, stamp_run
-from ledgerloom.operators.ordered import latest_per_key, previous_value, time_chunk
+from ledgerloom.operators.ordered import latest_per_key, previous_value
 from ledgerloom.operators.quality import gate_payloads
 from ledgerloom.operators.sla import monitor_state, sla_breaches
 from ledgerloom.sources.files import stream_raw_csv
@@ -109,7 +109,7 @@ def sigma_monitor_step(spark: SparkSession, out: str, state: str) -> Callable[[D
 
     The state is a table with one row per flow and batch number. Batch n reads the table of
     batch n-1, so a replay of n starts from the same state; older tables are removed. Rows of a
-    busy flow are compared in time slices, not in one task.
+    busy flow are compared in ranges of their order, not in one task.
     """
     kept = ["pipeline_id", "ts", "run_id", "sigma_level"]
 
@@ -119,9 +119,7 @@ def sigma_monitor_step(spark: SparkSession, out: str, state: str) -> Callable[[D
             spark.read.parquet(batch_folder(state, batch_id - 1)) if batch_id > 0
             else spark.createDataFrame([], rows.schema)
         )
-        compared = previous_value(
-            rows, ["pipeline_id"], time_chunk(F.col("ts")), ["ts", "run_id"], "sigma_level", None, "_within"
-        )
+        compared = previous_value(rows, ["pipeline_id"], [F.col("ts"), F.col("run_id")], "sigma_level", None, "_within")
         carried = before.select("pipeline_id", F.col("sigma_level").alias("_carried"))
         judged = compared.join(carried, "pipeline_id", "left").withColumn(
             "previous_sigma", F.coalesce("_within", "_carried", F.lit(6.0))

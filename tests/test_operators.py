@@ -184,8 +184,7 @@ def by_flow(rows):
     return flows
 
 
-@pytest.mark.parametrize("seconds", [60, 3600, 10_000_000])
-def test_previous_value_brute_force(series, seconds):
+def test_previous_value_brute_force(series):
     rows, df = series
     expected = {}
     for items in by_flow(rows).values():
@@ -193,24 +192,53 @@ def test_previous_value_brute_force(series, seconds):
         for row in items:
             expected[row[2]] = before
             before = row[3]
-    got = SL.sigma_monitor(df, seconds).select("run_id", "previous_sigma").collect()
+    got = SL.sigma_monitor(df).select("run_id", "previous_sigma").collect()
     assert {r[0]: r[1] for r in got} == expected
 
 
 def test_numbered_and_running_sum_brute_force(series):
     rows, df = series
-    chunk, order = ordered.time_chunk(F.col("ts"), 7200), [F.col("ts"), F.col("run_id")]
-    numbered = {r.run_id: r.p for r in ordered.numbered(df, ["pipeline_id"], chunk, order, "p").collect()}
-    summed = {r.run_id: r.s for r in ordered.running_sum(df, ["pipeline_id"], chunk, order, F.col("n"), "s").collect()}
+    order = [F.col("ts"), F.col("run_id")]
+    numbered = {r.run_id: r for r in ordered.numbered(df, ["pipeline_id"], order, "p", "all").collect()}
+    summed = {r.run_id: r.s for r in ordered.running_sum(df, ["pipeline_id"], order, F.col("n"), "s").collect()}
     for items in by_flow(rows).values():
         total = 0
         for position, row in enumerate(items, 1):
             total += row[4]
-            assert numbered[row[2]] == position and summed[row[2]] == total
-    overall = {r.run_id: r.p for r in ordered.numbered(df, [], chunk, order, "p").collect()}
+            assert (numbered[row[2]].p, numbered[row[2]]["all"]) == (position, len(items)) and summed[row[2]] == total
+    overall = {r.run_id: r.p for r in ordered.numbered(df, [], order, "p").collect()}
     assert [k for k, _ in sorted(overall.items(), key=lambda kv: kv[1])] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
 
 
+@pytest.mark.parametrize("shape", ["burst", "sparse", "tied"])
+def test_ranges_follow_the_rows(spark, shape):
+    """One key with most rows in one instant, ids like hashes, ties and null keys: no range holds them all."""
+    draw = random.Random(3)
+    n = 4000
+    at = {"burst": lambda i: 5 if i % 7 else draw.randrange(10 ** 9), "sparse": lambda i: draw.getrandbits(62), "tied": lambda i: i % 3}[shape]
+    rows = [(None if i % 50 == 0 else "hot" if i % 10 else f"k{i % 40}", at(i), i, draw.randrange(100)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, at bigint, i bigint, v bigint").repartition(5)
+    order = [F.desc("at"), F.col("i")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = ordered._dealt(df, ["k"], order)
+        assert dealt.groupBy(ordered.RANGE).count().agg(F.max("count")).first()[0] < n / 2
+        numbered = {r.i: (r.p, r.t) for r in ordered.numbered(df, ["k"], order, "p", "t").collect()}
+        summed = {r.i: r.s for r in ordered.running_sum(df, ["k"], order, F.col("v"), "s").collect()}
+        before = {r.i: r.b for r in ordered.previous_value(df, ["k"], order, "v", -1, "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for key in {r[0] for r in rows}:
+        total, last = 0, -1
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        for position, row in enumerate(mine, 1):
+            total += row[3]
+            assert numbered[row[2]] == (position, len(mine)) and summed[row[2]] == total and before[row[2]] == last
+            last = row[3]
+    assert len(numbered) == len(summed) == len(before) == n
+    assert ordered.numbered(df.limit(0), ["k"], order, "p").count() == 0
+
+
 def test_order_and_partitioning_do_not_matter(series):
     _, df = series
     shuffled = df.orderBy(F.rand(1)).repartition(7)
