@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import (
-    chat, decontaminate, fim, langid, licenses, packing, pii, quality_rules, secrets, simhash, substrings, weighted_sampling,
+    chat, decontaminate, fim, langid, licenses, merkle, packing, pii, quality_rules, secrets, simhash, substrings, weighted_sampling,
 )
 from ledgerloom.llm.common import table, tokenizer_path
 
@@ -219,7 +219,9 @@ def _rules_sql(rules: tuple[quality_rules.Rule, ...]) -> str:
 _STOPS_SQL = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 OP12_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-e AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS x FROM d),
+e AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^ 	-
+]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS x FROM d),
 spans AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS span FROM e, unnest(range(1, len(w) - 3)) t(i)),
 twice AS (SELECT r, span FROM spans GROUP BY r, span HAVING count(*) > 1),
 hit AS (SELECT r, count(DISTINCT i + k) AS n FROM spans JOIN twice USING (r, span), range(0, 5) t(k) GROUP BY r),
@@ -228,8 +230,10 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w
   CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, coalesce(twins.n, 0) AS n_twins,
   length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_exclaims, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
   len(list_filter(regexp_extract_all(lower(t), '\p{{L}}+'), lambda v: v IN ({_STOPS_SQL}))) AS n_stop,
-  len(list_filter(x, lambda v: regexp_matches(v, '^[ 	-]*[-*•·]'))) AS n_bullets,
-  len(list_filter(x, lambda v: regexp_matches(v, '(\.\.\.|…)[ 	-]*$'))) AS n_ellipses
+  len(list_filter(x, lambda v: regexp_matches(v, '^[ 	-
+]*[-*•·]'))) AS n_bullets,
+  len(list_filter(x, lambda v: regexp_matches(v, '(\.\.\.|…)[ 	-
+]*$'))) AS n_ellipses
   FROM e LEFT JOIN hit USING (r) LEFT JOIN twins USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({_rules_sql(quality_rules.BASE)}) AS base_failed, {_rules_sql(quality_rules.RULES)} AS kept
 FROM m
@@ -241,3 +245,60 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
     counts = [F.col(f"measures.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: The last bit of the remainder, which the final inversion of CRC-32 turns over.
+_CRC_ODD = """(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) & 1) = 0"""
+_AROUND = ", ".join(
+    f"coalesce(string_agg(h, '') OVER (PARTITION BY {{by}}level, i // 3 ORDER BY i ROWS BETWEEN {rows}), '') AS {name}"
+    for name, rows in (("ahead", "UNBOUNDED PRECEDING AND 1 PRECEDING"), ("behind", "1 FOLLOWING AND UNBOUNDED FOLLOWING"))
+)
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS bare FROM documents),
+groups AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT source FROM d)),
+leaves AS (SELECT row_number() OVER () AS r, doc_id, leaf, tree, trees, CASE WHEN NOT {_CRC_ODD} THEN bare ELSE leaf END AS shown,
+  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+  FROM d JOIN groups ON d.source IS NOT DISTINCT FROM groups.source),
+nodes AS (
+  SELECT tree, 0 AS level, i, leaf AS h, n FROM leaves
+  UNION ALL SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, i // 3),
+subroots AS (SELECT tree, h AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS i, subroot AS h, trees AS n FROM subroots JOIN groups USING (tree)
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, i // 3),
+beside AS (SELECT tree, level, i, {_AROUND.replace("{by}", "tree, ")} FROM nodes),
+above AS (SELECT level, i, {_AROUND.replace("{by}", "")} FROM tops),
+walk AS (
+  SELECT r, tree, 0 AS level, i, n, '' AS proof, shown AS node FROM leaves
+  UNION ALL SELECT r, w.tree, w.level + 1, w.i // 3, (n + 2) // 3, proof || ahead || behind, sha256(ahead || node || behind)
+  FROM walk w JOIN beside b ON w.tree = b.tree AND w.level = b.level AND w.i = b.i WHERE n > 1),
+climb AS (
+  SELECT r, 0 AS level, tree AS i, trees AS n, proof, node FROM walk JOIN groups USING (tree) WHERE n = 1
+  UNION ALL SELECT r, w.level + 1, w.i // 3, (n + 2) // 3, proof || ahead || behind, sha256(ahead || node || behind)
+  FROM climb w JOIN above b ON w.level = b.level AND w.i = b.i WHERE n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves JOIN subroots USING (tree) JOIN climb ON leaves.r = climb.r AND climb.n = 1
+"""
+
+
+@query("op13_merkle", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(F.coalesce(even, F.lit(False)), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    _, proofs = merkle.manifest(
+        docs, "source", "doc_id", merkle.digest(*map(F.col, fields), F.col("text")), shown=F.unhex(merkle.digest(*map(F.col, fields), shown)),
+    )
+    found = merkle.folded(proofs, "shown", "folded_root")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select(
+        F.col("id").alias("doc_id"), text("leaf"), text("subroot"), text("root"), F.sha2(F.lower(F.hex("path")), 256).alias("proof_sha256"),
+        text("folded_root"), F.col("folded_root").eqNullSafe(F.col("root")).alias("verified"),
+    )

@@ -20,6 +20,7 @@ COLUMNS = {
     "op9_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op11_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
     "op12_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
     "op10_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 

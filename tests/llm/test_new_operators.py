@@ -5,10 +5,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fim, quality_rules
+from ledgerloom.llm import fim, merkle, quality_rules
 from llm_fixtures import documents, workers_find_the_package  # noqa: F401
 
 
@@ -127,3 +128,83 @@ def test_quality_keeps_labelled_documents(spark):
     judged = quality_rules.judged(docs).join(labels, F.col("id") == labels.doc_id).where("NOT base_failed OR quality = 0")
     rates = {r.quality: r.share for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
     assert rates[1] > 0.97 and rates.get(0, 0) < 0.1
+
+
+# ---- Merkle manifests ---------------------------------------------------------------------
+
+
+def plain_tree(digests):
+    """Levels of a tree over hex digests."""
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([sha("".join(last[i : i + 3])) for i in range(0, len(last), 3)])
+    return levels
+
+
+def plain_proof(levels, rank):
+    out = []
+    for nodes in levels[:-1]:
+        first = rank // 3 * 3
+        out += [h for i, h in enumerate(nodes[first : first + 3], first) if i != rank]
+        rank //= 3
+    return out
+
+
+def plain_manifest(rows):
+    """``rows`` of (id, group, leaf): multiset of (id, group, leaf, subroot, root, proof)."""
+    order = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    groups = sorted({r[1] for r in rows}, key=lambda g: (g is not None, (g or "").encode()))
+    members = {g: sorted((r for r in rows if r[1] == g), key=order) for g in groups}
+    trees = {g: plain_tree([r[2] for r in members[g]]) for g in groups}
+    top = plain_tree([trees[g][-1][0] for g in groups])
+    return collections.Counter(
+        (r[0], g, r[2], trees[g][-1][0], top[-1][0], "".join(plain_proof(trees[g], rank) + plain_proof(top, k)))
+        for k, g in enumerate(groups) for rank, r in enumerate(members[g])
+    )
+
+
+@pytest.mark.parametrize("n", [*range(1, 30), 80, 81, 82, 243, 500])
+def test_log_places(n):
+    """The closed form gives the place at which a postorder walk writes each node."""
+    levels = plain_tree([sha(str(i)) for i in range(n)])
+    log = [h.hex() for h in merkle.append_log((bytes.fromhex(h) for h in levels[0]), len(levels) - 1)]
+    assert len(log) == sum(map(len, levels)) == int(merkle.size(n, len(levels) - 1))
+    for level, nodes in enumerate(levels):
+        at = merkle.place(np.full(len(nodes), level), np.arange(len(nodes)), n, len(levels) - 1)
+        assert [log[p] for p in at] == nodes
+    found = merkle.siblings(np.arange(n), n, len(levels) - 1)
+    assert [[log[p] for p in row if p >= 0] for row in found.tolist()] == [plain_proof(levels, i) for i in range(n)]
+    root, used = merkle.fold(bytes.fromhex(levels[0][n // 2]), n // 2, n, [bytes.fromhex(h) for h in plain_proof(levels, n // 2)])
+    assert root.hex() == levels[-1][0] and used == len(plain_proof(levels, n // 2))
+
+
+@pytest.mark.parametrize("levels", [1, 2, 8])
+def test_manifest(spark, levels):
+    """A group with most rows, groups of one, null group and ids, repeated rows and ids, clashing columns."""
+    draw = random.Random(4)
+    rows = [(i, "hot", f"text {i}\nmore", "x") for i in range(300)]
+    rows += [(1000 + i, f"g{i}", f"other {i}", "x") for i in range(12)] + [(2000 + i, None, None, None) for i in range(5)]
+    rows += [(None, "hot", "no id", "x"), (7, "hot", "second seven", "x"), (7, "hot", "text 7\nmore", "x"), (7, "hot", "text 7\nmore", "x"), (9, "", "", ""), (10, "é", "ü", "x"), (11, "Z", "z" * 100_000, "x")]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id bigint, source string, text string, lang string, `group` string, leaf string").repartition(6)
+    hashed = merkle.digest(F.col("doc_id"), F.col("source"), F.col("text"))
+    plain = lambda r: sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r[:3]))
+    log, proofs = merkle.manifest(docs, "source", "doc_id", hashed, levels=levels, shown=F.unhex(F.when(F.col("doc_id") == 20, F.sha2(F.lit("forged"), 256)).otherwise(hashed)))
+    found = merkle.folded(proofs, "shown").collect()
+    got = collections.Counter((r.id, r.group, r.leaf.hex(), r.subroot.hex(), r.root.hex(), r.path.hex()) for r in found)
+    assert got == plain_manifest([(r[0], r[1], plain(r)) for r in rows])
+    assert {r.id for r in found if r.folded != r.root} == {20}
+    parts = log.collect()
+    assert sum(len(p.nodes) for p in parts if p.tier == 0 and p.tree >= 0) >= 32 * len(rows) and max(len(p.nodes) for p in parts) <= 32 * (3 ** (levels + 1) // 2)
+    assert max(p.tier for p in parts) == {1: 5, 2: 2, 8: 0}[levels]
+
+
+def test_manifest_of_little(spark):
+    one = spark.createDataFrame([(5, None, "t")], "doc_id bigint, source string, text string")
+    leaf = merkle.digest(F.col("doc_id"), F.col("source"), F.col("text"))
+    _, proofs = merkle.manifest(one, "source", "doc_id", leaf)
+    row = merkle.folded(proofs, "leaf").first()
+    assert row.leaf.hex() == row.subroot.hex() == row.root.hex() == row.folded.hex() == sha("1:5-1:t") and row.path == b""
+    _, proofs = merkle.manifest(one.limit(0), "source", "doc_id", leaf)
+    assert merkle.folded(proofs, "leaf").count() == 0
