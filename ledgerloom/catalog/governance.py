@@ -227,7 +227,7 @@ def a18b(t):
     return C.framework_checks(a17(t), EVENTS_AS_OF).select("tx", "action", "dataset", "result", "law", "region")
 
 
-_POLICY = """FROM dataset_uses u JOIN datasets d USING (dataset_id)"""
+_POLICY = """FROM dataset_uses u LEFT JOIN datasets d USING (dataset_id)"""
 
 
 @query("c6_can_cross_border", f"""
@@ -241,7 +241,7 @@ SELECT u.seq, NOT list_contains(NAMES(coalesce(blocked_text, '')), target_region
     WHEN requires_multisig THEN concat('ALLOWED: ', target_region, ' — requires ', multisig_count, ' signatures')
     ELSE concat('ALLOWED: ', target_region, ' — compliant with all jurisdictions') END AS note {_POLICY}""")
 def c6(t):
-    joined_uses = t("dataset_uses").join(t("datasets").drop("seq"), "dataset_id")
+    joined_uses = t("dataset_uses").join(t("datasets").drop("seq"), "dataset_id", "left")
     return dna.can_cross_border(joined_uses).select("seq", "allowed", "note")
 
 
@@ -253,14 +253,11 @@ _ACCESS = f"""SELECT u.seq, u.dataset_id, coalesce(owner_id = user_id, false) OR
 
 @query("c7_can_access", f"SELECT seq, allowed, note FROM ({_ACCESS})")
 def c7(t):
-    joined_uses = t("dataset_uses").join(t("datasets").drop("seq"), "dataset_id")
+    joined_uses = t("dataset_uses").join(t("datasets").drop("seq"), "dataset_id", "left")
     return dna.can_access(joined_uses, F.col("ts")).select("seq", "allowed", "note")
 
 
-_ACCESS_ALL = _ACCESS.replace("JOIN datasets", "LEFT JOIN datasets")
-
-
-@query("c13_consent_violations", f"SELECT seq, dataset_id, note FROM ({_ACCESS_ALL}) WHERE NOT allowed")
+@query("c13_consent_violations", f"SELECT seq, dataset_id, note FROM ({_ACCESS}) WHERE NOT allowed")
 def c13(t):
     return dna.consent_violations(t("datasets").drop("seq"), t("dataset_uses")).select("seq", "dataset_id", "note")
 

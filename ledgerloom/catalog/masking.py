@@ -242,7 +242,7 @@ def x9(t):
 
 @query("x10_tx_id", """
 SELECT request_id, concat('TX_', left(sha256(concat('{"dataset_id": "', dataset_id, '", "jurisdictions": ["',
-  replace(laws_text, ',', '", "'), '"], "region": "', target_region, '"}')), 24)) AS tx FROM transfer_requests""")
+  replace(laws_text, ',', '", "'), '"], "region": ', coalesce('"' || target_region || '"', 'null'), '}')), 24)) AS tx FROM transfer_requests""")
 def x10(t):
     members = {
         "region": H.json_string(F.col("target_region")), "dataset_id": H.json_string(F.col("dataset_id")),
@@ -258,12 +258,23 @@ def x11(t):
     return counted.withColumn("fingerprint", H.run_fingerprint(F.col("pipeline_id"), F.lit("r1"), F.col("runs")))
 
 
-@query("x11_table_digest", """
-SELECT l_returnflag, CAST(sum(CAST(CAST(concat('0x', substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), 1, 15)) AS UBIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS digest,
-  count(*) AS n FROM lineitem GROUP BY l_returnflag""")
+_INTS, _NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_ROW_TEXT = " || ".join(
+    f"coalesce('{tag}' || CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '{tag}-')"
+    for tag, text in [
+        *[("i", f"CAST({c} AS VARCHAR)") for c in _INTS], *[("n", f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)") for c in _NUMBERS],
+        ("s", "l_returnflag"), ("s", "l_linestatus"), ("t", "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f')"),
+    ]
+)
+_LANES = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {15 * k + 1}, 15) AS UBIGINT) AS DECIMAL(38,0))) AS VARCHAR)" for k in range(4))
+
+
+@query("x11_table_digest", f"""
+SELECT l_returnflag, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_LANES})) AS digest, count(*) AS n
+FROM (SELECT l_returnflag, sha256({_ROW_TEXT}) AS h FROM lineitem) GROUP BY l_returnflag""")
 def x11b(t):
-    return t("lineitem").groupBy("l_returnflag").agg(
-        H.table_digest("l_orderkey", "l_linenumber", "l_partkey").alias("digest"), F.count(F.lit(1)).alias("n"))
+    lines = t("lineitem")
+    return lines.groupBy("l_returnflag").agg(H.table_digest(lines.schema).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("x12_sign_verify", """
