@@ -473,7 +473,8 @@ def e3(t):
 def e4(t):
     from ledgerloom.plans.jobs import quality_job
 
-    logged, alerts = quality_job(t("measurements"), t("sla"))
+    out = quality_job(t("measurements"), t("sla"))
+    logged, alerts = out["measurements"], out["alerts"]
     per_flow = alerts.groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("alerts"))
     counted = logged.groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("measurements"), F.min("measurement_id").alias("least_id"))
     return counted.join(per_flow, "pipeline_id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0)))

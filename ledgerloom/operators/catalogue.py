@@ -57,6 +57,54 @@ def dedup_content(puts: DataFrame) -> DataFrame:
     ).withColumns({"cid": content_cid(F.col("content_hash")), "state": F.lit("floating")})
 
 
+def merge_particles(held: DataFrame | None, arrived: DataFrame) -> DataFrame:
+    """The catalogue after new particles: known content keeps its place and gains the nodes that put it again."""
+    columns = ["content_hash", "cid", "size_bytes", "state", "home_nodes", "sigma", "puts"]
+    if held is None:
+        return arrived.select(*columns)
+    old = held.select(F.col("content_hash"), *[F.col(c).alias(f"_{c}") for c in columns[1:]])
+    joined = arrived.select(*columns).join(old, "content_hash", "full_outer")
+    none = F.array().cast("array<string>")
+    merged = {c: F.coalesce(f"_{c}", c) for c in ("cid", "size_bytes", "state", "sigma")} | {
+        "home_nodes": F.array_distinct(F.concat(F.coalesce("_home_nodes", none), F.coalesce("home_nodes", none))),
+        "puts": F.coalesce("_puts", F.lit(0)) + F.coalesce("puts", F.lit(0)),
+    }
+    return joined.select("content_hash", *[merged[c].alias(c) for c in columns[1:]])
+
+
+def apply_moves(particles: DataFrame, plan: DataFrame) -> DataFrame:
+    """Particles with the nodes that placed moves brought them to, in need order after those they had."""
+    arrivals = F.transform(F.array_sort(F.collect_list(F.struct("seq", "node_id"))), lambda a: a["node_id"])
+    moved = plan.filter("placed").groupBy("content_hash").agg(arrivals.alias("_new"))
+    joined = particles.join(moved, "content_hash", "left")
+    return joined.withColumns({
+        "home_nodes": F.when(F.col("_new").isNull(), F.col("home_nodes")).otherwise(F.array_distinct(F.concat("home_nodes", "_new"))),
+        "state": F.when(F.col("_new").isNull(), F.col("state")).otherwise("replicated"),
+    }).drop("_new")
+
+
+def apply_evictions(particles: DataFrame, evictions: DataFrame) -> DataFrame:
+    """Particles without the copies that were evicted."""
+    kept = evictions.select("content_hash", F.col("kept_nodes").alias("_kept"))
+    return particles.join(kept, "content_hash", "left").withColumn("home_nodes", F.coalesce("_kept", "home_nodes")).drop("_kept")
+
+
+def apply_space(nodes: DataFrame, plan: DataFrame, evictions: DataFrame) -> DataFrame:
+    """Nodes with the bytes that placed moves took and evictions gave back; never below zero."""
+    taken = plan.filter("placed").groupBy("node_id").agg(F.sum("size_bytes").alias("_taken"))
+    freed = freed_space(evictions).select("node_id", F.col("freed_bytes").alias("_freed"))
+    joined = nodes.join(taken, "node_id", "left").join(freed, "node_id", "left")
+    zero = F.lit(0).cast("bigint")
+    used = F.greatest(F.col("used_bytes") + F.coalesce("_taken", zero) - F.coalesce("_freed", zero), zero)
+    return joined.withColumn("used_bytes", used).drop("_taken", "_freed")
+
+
+def add_accesses(stats: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Access counts and last accesses per content after more of them."""
+    both = more if stats is None else stats.unionByName(more)
+    return both.groupBy("content_hash").agg(F.max("last_accessed").alias("last_accessed"), F.sum("access_count").alias("access_count"))
+
+
 def _preference(region: Column) -> Column:
     chain = F
     for code, order in REGION_PREFERENCE.items():
@@ -75,15 +123,15 @@ def nearest_node(home_nodes: Column, region: Column) -> Column:
 
 def nearest_node_by_region(df: DataFrame, nodes: DataFrame, home_nodes: str, region: str) -> DataFrame:
     """Variant that matches the region a node is registered with instead of its name."""
+    # only lists and regions move, each pair of them once; rows keep their number
+    pairs = df.select(F.col(home_nodes).alias("_homes"), F.col(region).alias("_region")).distinct()
     places = nodes.select(F.col("node_id").alias("_node"), F.col("region").alias("_place"))
-    exploded = df.withColumn("_row", F.struct(*df.columns)).select(
-        "_row", F.posexplode_outer(home_nodes).alias("_pos", "_node")
-    ).join(places, "_node", "left")
-    wanted = _preference(F.col(f"_row.{region}"))
-    rank = F.array_position(wanted, F.col("_place"))
+    exploded = pairs.select("_homes", "_region", F.posexplode("_homes").alias("_pos", "_node")).join(places, "_node", "left")
+    rank = F.array_position(_preference(F.col("_region")), F.col("_place"))
     score = F.struct(F.when(rank > 0, rank).otherwise(F.lit(1000)), F.col("_pos"))
-    best = exploded.groupBy("_row").agg(F.min_by("_node", score).alias("nearest"))
-    return best.select("_row.*", "nearest")
+    best = exploded.groupBy("_homes", "_region").agg(F.min_by("_node", score).alias("nearest"))
+    same = df[home_nodes].eqNullSafe(best["_homes"]) & df[region].eqNullSafe(best["_region"])
+    return df.join(best, same, "left").drop("_homes", "_region")
 
 
 def resolve_needs(needs: DataFrame, particles: DataFrame) -> DataFrame:

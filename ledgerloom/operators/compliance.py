@@ -285,6 +285,31 @@ def _named(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for flag, name in rules]))
 
 
+# Violation records of the two profiles: rule -> (law, section, description, penalty).
+SIM_VIOLATIONS = {
+    "DPDP-001": ("DPDP_2023", "Sec 16(2)", "Indian PII cannot leave India without explicit consent", "₹250 crore or 4% of global turnover"),
+    "DPDP-004": ("DPDP_2023", "Sec 10", "Cross-region transfer requires 3 signatures", "License revocation"),
+    "GDPR-001": ("GDPR", "Art 45", "EU data cannot leave EU without adequacy decision", "€20M or 4% of global turnover"),
+}
+FALLBACK_VIOLATIONS = {
+    "DPDP-001": ("DPDP_2023", "Cross-border transfer", "Indian personal data must not leave India without explicit consent", "BLOCK transfer"),
+    "DPDP-002": ("DPDP_2023", "Consent / multisig", "Within-India transfer requires consent or multisig approval", "BLOCK transfer"),
+    "GDPR-001": ("GDPR", "International transfer", "EU PII cannot be transferred to a non-adequate country", "BLOCK transfer"),
+}
+
+
+def _violation_records(broken: dict[str, Column], texts: dict[str, tuple[str, str, str, str]], prefix: str) -> Column:
+    """Records like those of ``decide`` for the rules whose condition holds; nothing is fixed in these profiles."""
+    records = []
+    for rule_id, flag in broken.items():
+        fields = dict(zip(("law", "law_section", "description", "penalty"), texts[rule_id]))
+        records.append(F.when(flag, F.struct(
+            F.concat(F.lit(f"{prefix}-{rule_id}-"), F.coalesce("request_id", F.lit(""))).alias("violation_id"),
+            F.lit(rule_id).alias("rule_id"), *[F.lit(text).alias(name) for name, text in fields.items()], F.lit(False).alias("auto_fixed"),
+        )))
+    return F.array_compact(F.array(*records))
+
+
 def decide_simulation(requests: DataFrame) -> DataFrame:
     """Consent lets data leave India with a note; signatures count only when they are missing."""
     requests = closed_requests(requests)
@@ -296,8 +321,8 @@ def decide_simulation(requests: DataFrame) -> DataFrame:
     no_consent = leaves & ~F.col("has_consent")
     unsigned = dpdp & (region != F.col("source_region")) & (F.col("signature_count") < 3)
     inadequate = gdpr & ~region.isin(*SIM_ADEQUATE)
-    broken = _named((no_consent, "DPDP-001"), (unsigned, "DPDP-004"), (inadequate, "GDPR-001"))
-    out = requests.withColumn("violated_rules", broken)
+    broken = {"DPDP-001": no_consent, "DPDP-004": unsigned, "GDPR-001": inadequate}
+    out = requests.withColumn("violated_rules", _named(*[(flag, name) for name, flag in broken.items()]))
     blocked = F.size("violated_rules") > 0
     return out.withColumns({
         "decision": F.when(blocked, "BLOCKED").otherwise("ALLOWED"),
@@ -305,6 +330,7 @@ def decide_simulation(requests: DataFrame) -> DataFrame:
         .otherwise("All compliance rules satisfied"),
         "rules_evaluated": _int(dpdp) + _int(unsigned) + _int(gdpr) + _int(hipaa),
         "rules_passed": _int(dpdp & ~no_consent) + _int(gdpr & ~inadequate) + _int(hipaa),
+        "violations": _violation_records(broken, SIM_VIOLATIONS, "SIM"),
         "auto_fixes": _named((leaves & F.col("has_consent"), "request_consent_workflow")),
     })
 
@@ -316,24 +342,21 @@ def decide_fallback(requests: DataFrame) -> DataFrame:
     inside = region.startswith("IN")
     approved = F.col("has_consent") | (F.col("signature_count") >= 3)
     dpdp, gdpr = _listed("DPDP_2023"), _listed("GDPR")
-    # Violation texts.
-    texts = (
-        (dpdp & ~inside & ~F.col("has_consent"),
-         "DPDP-001: Indian personal data must not leave India without explicit consent"),
-        (dpdp & inside & ~approved, "DPDP-002: Within-India transfer requires consent or multisig approval"),
-        (gdpr & ~region.isin(*FALLBACK_ADEQUATE),
-         "GDPR-001: EU PII cannot be transferred to a non-adequate country"),
-    )
-    out = requests.withColumn("_causes", _named(*texts))
-    blocked = F.size("_causes") > 0
+    broken = {
+        "DPDP-001": dpdp & ~inside & ~F.col("has_consent"), "DPDP-002": dpdp & inside & ~approved,
+        "GDPR-001": gdpr & ~region.isin(*FALLBACK_ADEQUATE),
+    }
+    out = requests.withColumn("violations", _violation_records(broken, FALLBACK_VIOLATIONS, "FALLBACK"))
+    causes = F.transform("violations", lambda v: F.concat(v["rule_id"], F.lit(": "), v["description"]))
+    blocked = F.size("violations") > 0
     evaluated = F.greatest(_int(dpdp) + _int(gdpr), F.lit(1))
     return out.withColumns({
         "decision": F.when(blocked, "BLOCKED").otherwise("ALLOWED"),
-        "reason": F.when(blocked, F.array_join("_causes", "; ")).otherwise("ALL COMPLIANCE CHECKS PASSED"),
+        "reason": F.when(blocked, F.array_join(causes, "; ")).otherwise("ALL COMPLIANCE CHECKS PASSED"),
         "rules_evaluated": evaluated,
-        "rules_passed": evaluated - F.size("_causes"),
-        "violated_rules": F.transform("_causes", lambda c: F.split_part(c, F.lit(":"), F.lit(1))),
-    }).drop("_causes")
+        "rules_passed": evaluated - F.size("violations"),
+        "violated_rules": F.transform("violations", lambda v: v["rule_id"]),
+    })
 
 
 # Rule -> (law, description, remedy or null).

@@ -74,8 +74,11 @@ def consent_violations(datasets: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def dna_from_ingest(df: DataFrame, version_tag: str = "v3") -> DataFrame:
-    """Build dataset records from ingested payloads; ids derive from content and name."""
-    body = sha256(F.col("payload"))
+    """Build dataset records from ingested payloads; ids derive from content and name.
+
+    Payloads that were hashed before come with their ``content_hash`` instead.
+    """
+    body = F.col("content_hash") if "content_hash" in df.columns else sha256(F.col("payload"))
     return df.select(
         F.concat(F.lit("ds-"), F.left(sha256(F.concat_ws("|", "dataset_name", body)), F.lit(12))).alias("dataset_id"),
         "dataset_name", F.col("owner_id").alias("creator_id"),

@@ -100,13 +100,13 @@ def schema_of(entity: str) -> StructType:
     return StructType.fromDDL(_ENTITIES[entity])
 
 
-def conform(df: DataFrame, entity: str) -> DataFrame:
-    """Columns of the entity in order and type; ones the table lacks become null."""
+def conform(df: DataFrame, entity: str, *extra: str) -> DataFrame:
+    """Columns of the entity in order and type, then ``extra`` ones as they are; ones the table lacks become null."""
     columns = []
     for field in schema_of(entity):
         value = F.col(field.name) if field.name in df.columns else F.lit(None)
         columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *extra)
 
 
 def is_allowed(column: Column, kind: str) -> Column:

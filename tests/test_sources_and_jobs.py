@@ -159,3 +159,175 @@ def test_ingest_defaults(spark):
         "'care' AS purpose, CAST(NULL AS ARRAY<STRING>) AS tags"
     )
     assert validate_ingest(row).first().failed_rules == []
+
+
+@pytest.fixture
+def ledgers(spark, tmp_path):
+    from ledgerloom.sources.commits import Ledgers
+
+    return Ledgers(spark, str(tmp_path / "ledgers"), buckets=4)
+
+
+def test_mask_job_logs_its_run_once(spark, people_csv, tmp_path, ledgers):
+    from ledgerloom.operators.lineage import verify_integrity
+
+    for _ in range(2):
+        done = mask_job(spark, job(people_csv, tmp_path), ledgers)
+    line = ledgers.read("lineage").collect()
+    assert [(r.tx_id, r.output_dataset_id, r.output_hash, r.timestamp) for r in line] == [
+        (done.record["fabric_tx_id"], "people_daily_curated_r1", done.record["content_hash"], "2024-01-05T06:00:00Z")]
+    assert [(r.verified, r.records) for r in verify_integrity(ledgers.read("lineage")).collect()] == [(True, 1)]
+    measured = ledgers.read("measurements").collect()
+    assert [(m.records_processed, m.sigma_level, len(m.measurement_hash)) for m in measured] == [(150, 2.0, 64)]
+    assert ledgers.read("audit_events").first().action == "SPARK_PII_MASKING"
+    assert {r.dataset for r in ledgers.read("check_results").collect()} == {"people_daily_raw", "people_daily_masked"}
+    path = str(tmp_path / "bad")
+    spark.range(20).select(F.lit(None).cast("string").alias("email"), F.col("id").cast("string").alias("x")).write.option("header", True).csv(path)
+    bad = MaskingJob(path, str(tmp_path / "out"), "bad_daily", "r1", "2024-01-05 06:00:00")
+    assert mask_job(spark, bad, ledgers).status == "QUARANTINED"
+    assert sorted(r.result for r in ledgers.read("audit_events").collect()) == ["OK", "QUARANTINED"]
+    assert {r.verified for r in verify_integrity(ledgers.read("lineage")).collect()} == {True}
+
+
+def test_ingest_job_commits_full_records(spark, tables, ledgers, monkeypatch):
+    from ledgerloom.operators.dna import verify_dna
+    from ledgerloom.operators.lineage import verify_integrity
+    from ledgerloom.sources.commits import Ledgers
+
+    payloads = tables("payloads")
+    plain = ingest_job(payloads)
+    stage, staged = Ledgers._stage, []
+
+    def dies(self, name, rows, key):
+        if len(staged) == 2:
+            raise RuntimeError("killed")
+        staged.append(name)
+        return stage(self, name, rows, key)
+
+    monkeypatch.setattr(Ledgers, "_stage", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        ingest_job(payloads, ledgers=ledgers)
+    monkeypatch.undo()
+    assert not ledgers.has("lineage")
+    for _ in range(2):
+        out = ingest_job(payloads, ledgers=ledgers)
+    for name, entity in (("lineage", "lineage"), ("measurements", "measurements"), ("datasets", "dataset_dna")):
+        columns = [c for c in ledgers.read(entity).columns]
+        stored = sorted(map(str, ledgers.read(entity).collect()))
+        from ledgerloom.schemas import conform
+        assert stored == sorted(map(str, conform(plain[name], entity).select(*columns).collect())) and len(stored) > 50
+    line = ledgers.read("lineage")
+    assert verify_integrity(line).filter("NOT verified").count() == 0
+    assert line.filter("tx_id = '' OR timestamp = '' OR length(output_hash) <> 64 OR input_hashes IS NULL").count() == 0
+    assert line.join(ledgers.read("dataset_dna"), F.col("tx_id") == F.col("fabric_tx_id")).count() >= line.count()
+    assert out["datasets"].count() == verify_dna(out["datasets"]).filter("integrity_ok").count()
+    assert ledgers.read("ingest_refused").count() + ledgers.read("ingest_quarantined").count() + line.count() == payloads.count()
+    assert "payload" not in ledgers.read("ingest_refused").columns
+
+
+def test_ingest_takes_flow_and_node_of_the_payload(spark, tables):
+    some = tables("payloads").withColumns({"pipeline_id": F.when(F.col("payload_id") % 2 == 0, "pl-9").otherwise(""), "node_id": F.lit("edge-1")})
+    rows = ingest_job(some)["lineage"].collect()
+    assert {r.pipeline_id for r in rows} == {"pl-9", "manual-ingest"} and {r.node_id for r in rows} == {"edge-1"}
+
+
+def test_compliance_job_commits_violations(tables, ledgers):
+    from ledgerloom.plans.jobs import compliance_job
+
+    requests = tables("transfer_requests")
+    for _ in range(2):
+        report, made = compliance_job(requests, ledgers=ledgers)
+    assert ledgers.read("decisions").count() == requests.count()
+    assert ledgers.read("violations").count() == made.agg(F.sum(F.size("violations"))).first()[0] > 100
+    assert ledgers.read("compliance_reports").drop("batch").exceptAll(report).count() == 0
+    assert ledgers.read("violations").filter("law IS NULL OR description IS NULL OR dataset_id IS NULL").count() == 0
+
+
+def test_quality_job_logs_each_transaction_once(spark, tables, ledgers):
+    from ledgerloom.operators import sla as SL
+    from ledgerloom.plans.jobs import quality_job
+
+    rows = tables("measurements").withColumns({"expectations_run": F.lit(12), "expectations_passed": F.lit(12)})
+    early, late = rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1 OR event_id < 100")
+    span = ("2024-01-01T00:00:00Z", "2024-12-31T00:00:00Z")
+    quality_job(early, tables("sla"), span, ledgers=ledgers)
+    out = quality_job(late, tables("sla"), span, 5, ledgers=ledgers)
+    assert ledgers.read("measurements").count() == rows.count()
+    whole = quality_job(rows, tables("sla"), span, 5)
+    assert sorted(map(str, out["trend"].collect())) == sorted(map(str, whole["trend"].collect()))
+    assert sorted(map(str, out["certificates"].collect())) == sorted(map(str, whole["certificates"].collect()))
+    assert ledgers.read("sla_alerts").count() == SL.sla_breaches(rows, tables("sla")).count() > 0
+    again = quality_job(late, tables("sla"), span, 5, ledgers=ledgers)
+    assert again["measurements"].count() == 0 and ledgers.read("measurements").count() == rows.count()
+
+
+def test_catalogue_run_keeps_state(spark, tables, ledgers):
+    """A plain model of the catalogue, run by run: puts, needs in order with capacity, then eviction."""
+    from ledgerloom.operators import catalogue as K
+    from ledgerloom.plans.jobs import catalogue_run
+    from ledgerloom.sources.commits import Conflict
+
+    nodes = spark.createDataFrame(
+        [("edge-IN-TG-0", "IN-TG", 100, 0, "edge", True), ("edge-US-VA-1", "US-VA", 35, 5, "edge", True), ("hub-2", "IN", 20, 0, "core", True)],
+        "node_id string, region string, capacity_bytes bigint, used_bytes bigint, node_type string, online boolean")
+
+    def puts(rows):
+        return spark.createDataFrame(rows, "seq bigint, payload string, node_id string, sigma double")
+
+    def needs(rows):
+        df = spark.createDataFrame(rows, "seq bigint, node_id string, region string, payload string")
+        return df.select(F.concat(F.lit("n"), "seq").alias("need_id"), "seq", "node_id", "region", F.sha2("payload", 256).alias("content_hash"))
+
+    a, b, c = "a" * 10, "b" * 20, "c" * 15
+    first = puts([(1, a, "edge-IN-TG-0", 5.0), (2, b, "edge-IN-TG-0", 5.0), (3, c, "hub-2", 4.0)])
+    asked = needs([(1, "edge-US-VA-1", "US-VA", a), (2, "edge-US-VA-1", "US-VA", b), (3, "edge-US-VA-1", "US-VA", c), (4, "edge-IN-TG-0", "IN-TG", a), (5, "hub-2", "IN", "nothing")])
+    out = catalogue_run(ledgers, "r1", first, asked, nodes, "2024-01-01 00:00:00", cold_days=30)
+    homes = lambda: {r.size_bytes: (list(r.home_nodes), r.state) for r in ledgers.read("particles").collect()}
+    used = lambda: {r.node_id: r.used_bytes for r in ledgers.read("nodes").collect()}
+    # a (10) and b (20) fit the 30 bytes left, c does not; the copies moved are cold at once and few asked for them: evicted again but for a, which
+    # was near once
+    assert out["plan"].filter("placed").count() == 2 and ledgers.read("movements").count() == 2
+    assert homes() == {10: (["edge-IN-TG-0", "edge-US-VA-1"], "replicated"), 20: (["edge-IN-TG-0"], "replicated"), 15: (["hub-2"], "floating")}
+    assert used() == {"edge-IN-TG-0": 0, "edge-US-VA-1": 15, "hub-2": 0}
+    assert [r.size_bytes for r in ledgers.read("evictions").collect()] == [20]
+    # the same batch again changes nothing
+    version = ledgers.snapshot().version
+    catalogue_run(ledgers, "r1", first, asked, nodes, "2024-01-01 00:00:00")
+    assert ledgers.snapshot().version == version
+    # next run: b was evicted, so it moves again and stays as it is asked for; c fits into what is left now
+    many = needs([(i, "edge-US-VA-1", "US-VA", a) for i in range(10, 14)])
+    out = catalogue_run(ledgers, "r2", puts([(9, c, "edge-IN-TG-0", 4.5)]), many.unionByName(asked), nodes, "2024-01-02 00:00:00")
+    assert ledgers.read("accesses").filter("access_count >= 5").count() == 1
+    assert homes()[15][0][:2] == ["hub-2", "edge-IN-TG-0"] or homes()[15][0] == ["hub-2"]
+    state = ledgers.read("particles").collect()
+    moved = {r.content_hash: r for r in ledgers.read("movements").filter("batch = 'r2'").collect()}
+    assert sum(r.size_bytes for r in ledgers.read("movements").collect()) - sum(r.size_bytes for r in ledgers.read("evictions").collect() if r.evict_node == "edge-US-VA-1") == used()["edge-US-VA-1"] - 5
+    status = K.catalogue_status(ledgers.read("particles"), ledgers.read("nodes"), ledgers.read("movements"), asked).first()
+    assert (status.total_datasets, status.total_movements) == (3, 2 + len(moved)) and len(state) == 3
+    # needs that are met move nothing
+    met = needs([(20, "edge-US-VA-1", "US-VA", a)])
+    before = ledgers.read("movements").count()
+    catalogue_run(ledgers, "r3", first.limit(0), met, nodes, "2024-01-03 00:00:00")
+    assert ledgers.read("movements").count() == before
+    with pytest.raises(Conflict):
+        ledgers.commit("stale", {"particles": (ledgers.read("particles", 0), "content_hash")}, replace=("particles",), based_on=0)
+
+
+def test_nearest_by_region_keeps_every_row(spark):
+    from ledgerloom.operators.catalogue import nearest_node_by_region
+
+    nodes = spark.createDataFrame([("n1", "IN-TG"), ("n2", "US"), ("n3", "IN")], "node_id string, region string")
+    rows = [(1, ["n2", "n1"], "IN-TG"), (1, ["n2", "n1"], "IN-TG"), (2, ["n2"], "EU"), (3, [], "IN"), (4, None, "IN"), (5, ["n3", "n1"], None), (6, ["gone", "n3"], "IN-KA")]
+    found = nearest_node_by_region(spark.createDataFrame(rows, "k int, homes array<string>, region string"), nodes, "homes", "region").collect()
+    assert sorted((r.k, r.nearest or "") for r in found) == [(1, "n1"), (1, "n1"), (2, "n2"), (3, ""), (4, ""), (5, "n3"), (6, "n3")]
+
+
+def test_profiles_leave_violation_records(tables):
+    from ledgerloom.operators import compliance as C, rules as R
+
+    for profile in (C.decide_simulation, C.decide_fallback):
+        made = profile(tables("transfer_requests"))
+        assert made.filter(F.size("violations") != F.size("violated_rules")).count() == 0
+        summary = {r.law: r.violations for r in C.framework_summary(R.rule_catalogue(made.sparkSession), made).collect()}
+        exploded = {r.law: r["count"] for r in made.select(F.inline("violations")).groupBy("law").count().collect()}
+        assert {k: v for k, v in summary.items() if v} == exploded and len(exploded) == 2
