@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.catalog.governance import _FRAMEWORKS
 from ledgerloom.catalog.base import EVENTS_AS_OF, SALES_AS_OF, Tables, big, joined, query
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.hashing import sha256
@@ -51,6 +52,17 @@ def j7(t):
     return K.resolve_needs(asked(t), particles(t)).select("need_id", F.coalesce("nearest", F.lit("")).alias("nearest"))
 
 
+@query("j7_nearest_by_region", f"""WITH {_RESOLVED},
+places AS (SELECT l.seq, l.pref, u.node, u.pos, n.region AS place FROM looked l, (SELECT seq AS s, unnest(home_list) AS node, generate_subscripts(home_list, 1) AS pos FROM looked WHERE homes IS NOT NULL) u
+  LEFT JOIN nodes n ON n.node_id = u.node WHERE u.s = l.seq),
+best AS (SELECT seq, arg_min(node, coalesce(nullif(coalesce(list_position(pref, place), 0), 0), 1000) * 100000 + pos) AS nearest FROM places GROUP BY seq)
+SELECT need_id, coalesce(nearest, '') AS nearest FROM looked LEFT JOIN best USING (seq)""")
+def j7b(t):
+    known = particles(t).select("content_hash", "home_nodes")
+    found = K.nearest_node_by_region(asked(t).join(known, "content_hash", "left"), t("nodes"), "home_nodes", "region")
+    return found.select("need_id", F.coalesce("nearest", F.lit("")).alias("nearest"))
+
+
 @query("j8_resolve_needs", f"WITH {_RESOLVED} SELECT need_id, content_hash, status, status <> 'MISSING' AS accessed FROM resolved")
 def j8(t):
     return K.fetch(asked(t), particles(t)).select("need_id", "content_hash", "status", "accessed")
@@ -198,9 +210,12 @@ def p9(t):
     return reg.movements(t("registry"))
 
 
-@query("g4_rank_flows", "SELECT id, sigma, runs FROM registry")
+@query("g4_rank_flows", """SELECT 'sigma' AS ranked_by, id, sigma, runs, row_number() OVER (ORDER BY sigma DESC, id) AS rank FROM registry
+UNION ALL SELECT 'runs', id, sigma, runs, row_number() OVER (ORDER BY runs DESC, id) FROM registry""")
 def g4(t):
-    return reg.rank_flows(t("registry"), "sigma").select("id", "sigma", "runs")
+    flows = t("registry").select("id", "sigma", "runs")
+    ranked = [reg.rank_flows(flows, by).select(F.lit(by).alias("ranked_by"), "id", "sigma", "runs", "rank") for by in ("sigma", "runs")]
+    return ranked[0].unionByName(ranked[1])
 
 
 @query("a14_overview", f"""SELECT count(*) AS flows, CAST(sum(runs) AS BIGINT) AS total_runs, {_round('CAST(sum(CAST(sigma AS DECIMAL(18,4))) AS DOUBLE) / count(*)', 2)} AS avg_sigma,
@@ -213,7 +228,7 @@ def a14(t):
 FROM (SELECT node_id, region FROM nodes UNION ALL SELECT 'audit-global', 'GLOBAL') n""")
 def j6(t):
     nodes = t("nodes").select("node_id", "region")
-    extra = nodes.limit(1).select(F.lit("audit-global").alias("node_id"), F.lit("GLOBAL").alias("region"))
+    extra = t.spark.range(1).select(F.lit("audit-global").alias("node_id"), F.lit("GLOBAL").alias("region"))
     return reg.node_flow_counts(nodes.unionByName(extra), t("registry"))
 
 
@@ -436,11 +451,22 @@ def a28b(t):
     return O.request_latency(t("request_log"))
 
 
-@query("a29_full_report")
+_A29_FLOWS = ("seq", "id", "name", "tx", "region", "classification", "owner", "source", "target")
+
+
+@query("a29_full_report", f"""WITH {_FRAMEWORKS},
+o AS (SELECT count(*) AS flows, CAST(sum(runs) AS BIGINT) AS total_runs, {_round('CAST(sum(CAST(sigma AS DECIMAL(18,4))) AS DOUBLE) / count(*)', 2)} AS avg_sigma,
+  {_round('CAST(sum(healing_rate) AS DOUBLE) / count(*)', 1)} AS heal_rate, count(*) FILTER (WHERE status <> 'healthy') AS warnings FROM registry)
+SELECT 'overview' AS section, concat('{{"flows":', flows, ',"total_runs":', total_runs, ',"avg_sigma":', avg_sigma, ',"heal_rate":', heal_rate, ',"warnings":', warnings, '}}') AS document FROM o
+UNION ALL SELECT 'flows', concat('{{"seq":', seq, ',"id":"', id, '","name":"', name, '","tx":"', tx, '","region":"', region, '","classification":"', classification, '","owner":"', owner,
+  '","source":"', source, '","target":"', target, '"}}') FROM registry
+UNION ALL (SELECT 'audit', concat('{{"tx":"', tx, '","action":"', action, '","dataset":"', dataset, '","result":"', result, '"}}') FROM audit_events ORDER BY ts DESC, tx DESC LIMIT 20)
+UNION ALL SELECT 'compliance', concat('{{"law":"', law, '","rules":', rules, ',"violations":', violations, ',"auto_fixes":', auto_fixes, ',"status":"', status, '"}}') FROM summary""")
 def a29(t):
     from ledgerloom.catalog.governance import a17
 
-    return O.full_report(reg.overview(t("registry")), t("registry"), audit.recent(t("audit_events"), 20), a17(t))
+    events = audit.recent(t("audit_events"), 20).select("tx", "action", "dataset", "result")
+    return O.full_report(reg.overview(t("registry")), t("registry").select(*_A29_FLOWS), events, a17(t))
 
 
 @query("e2_ingest_run", """
@@ -459,6 +485,47 @@ def e2(t):
         "content_hash", big("records_processed").alias("records"), big("expectations_passed").alias("expectations"), "region")
 
 
+_E2 = """marked AS (SELECT *, sha256(payload) AS content_hash, concat('ds-', left(sha256(concat(dataset_name, '|', sha256(payload))), 12)) AS dataset_id,
+    octet_length(encode(payload)) AS b, length(payload) - length(replace(payload, chr(10), '')) + 1 AS l, (octet_length(encode(payload)) - octet_length(encode(replace(payload, ',,', '')))) / 2 AS g,
+    length(dataset_name) >= 3 AND regexp_full_match(dataset_name, '[a-z0-9_]+') AND length(payload) >= 1 AND format IN ('csv', 'json', 'parquet', 'avro')
+      AND NOT contains(regions_text, 'TOO-LONG') AND length(purpose) >= 3 AND length(tags_text) <= 40 AS valid FROM payloads),
+scored AS (SELECT *, CASE WHEN b = 0 THEN 1.0 ELSE least(6.0, greatest(1.0, CAST(6 AS DOUBLE) - CASE WHEN format = 'csv' THEN g / b * 20 ELSE 0 END - CASE WHEN b / l < 5 THEN 1.5 ELSE 0 END
+    - CASE WHEN b / l > 5000 THEN 1 ELSE 0 END)) END AS sigma FROM marked),
+lined AS (SELECT *, concat('TX_', left(sha256(concat('ingest|', content_hash)), 24)) AS tx_id, concat('ingest-', dataset_id) AS job_id, RFC3339(ts) AS timestamp,
+    NAMES(regions_text)[1] AS region, concat('Qm', left(sha256(content_hash), 44)) AS ipfs_cid FROM scored WHERE valid AND sigma >= 4.0)"""
+
+
+@query("e2_ingest_outcomes", f"WITH {_E2} SELECT payload_id, content_hash, CASE WHEN NOT valid THEN 'invalid' WHEN sigma >= 4.0 THEN 'accepted' ELSE 'quarantined' END AS outcome FROM scored")
+def e2b(t):
+    from ledgerloom.plans.jobs import ingest_job
+
+    out = ingest_job(t("payloads"))
+    kept = t("payloads").select("payload_id", sha256(F.col("payload")).alias("content_hash"))
+    refused = out["invalid"].select("payload_id", F.lit("invalid").alias("outcome")).unionByName(
+        out["quarantined"].select("payload_id", F.lit("quarantined").alias("outcome")))
+    return kept.join(refused, "payload_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("accepted")))
+
+
+@query("e2_ingest_lineage", f"""WITH {_E2} SELECT tx_id, job_id, timestamp, dataset_id AS output_dataset_id, content_hash AS output_hash, 'manual-ingest' AS pipeline_id, sigma AS sigma_level, classification,
+  laws_text AS jurisdictions, region, ipfs_cid, sha256(concat_ws('|', tx_id, job_id, timestamp, '', '', dataset_id, content_hash, 'INGEST', 'manual-ingest', '', CAST(CAST(sigma AS DECIMAL(12,4)) AS VARCHAR),
+  classification, laws_text, '', '', '', region, ipfs_cid)) AS genome_hash FROM lined""")
+def e2c(t):
+    from ledgerloom.plans.jobs import ingest_job
+
+    return ingest_job(t("payloads"))["lineage"].select(
+        "tx_id", "job_id", "timestamp", "output_dataset_id", "output_hash", "pipeline_id", "sigma_level", "classification",
+        joined("jurisdictions").alias("jurisdictions"), "region", "ipfs_cid", "genome_hash")
+
+
+@query("e2_ingest_measurements", f"""WITH {_E2} SELECT dataset_id, concat('run-', left(sha256(concat_ws('|', tx_id, dataset_id, strftime(ts, '%Y-%m-%d %H:%M:%S'))), 8)) AS run_id,
+  concat('M-manual-ingest-', left(tx_id, 12)) AS measurement_id, sigma AS sigma_level, timestamp, CASE WHEN format = 'csv' THEN l ELSE 1 END AS records_processed, 0 AS records_failed, region, tx_id FROM lined""")
+def e2d(t):
+    from ledgerloom.plans.jobs import ingest_job
+
+    return ingest_job(t("payloads"))["measurements"].select(
+        "dataset_id", "run_id", "measurement_id", "sigma_level", "timestamp", "records_processed", "records_failed", "region", "tx_id")
+
+
 # ---- sales templates --------------------------------------------------------------------
 
 _LAST_MONTH = "sale_date >= DATE '1998-06-01' AND sale_date < DATE '1998-07-01'"
@@ -518,6 +585,30 @@ def q9(t):
     return templates.region_sales_since_last_month(t("sales_region"), SALES_AS_OF)
 
 
+@query("q10_answers", f"""
+SELECT 'highest revenue by region last month' AS question, region AS name, CAST(sum(revenue) AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS n FROM sales WHERE {_LAST_MONTH} GROUP BY region
+UNION ALL SELECT 'top regions', region, CAST(sum(revenue) AS DOUBLE), NULL FROM sales WHERE sale_date >= DATE '1998-07-01' GROUP BY region
+UNION ALL SELECT 'flows with quality below 5.4', pipeline_id, {_MEAN}, count(*) FROM measurements GROUP BY pipeline_id HAVING {_MEAN} < 5.4
+UNION ALL (SELECT 'daily sales', CAST(sale_date AS VARCHAR), CAST(sum(revenue) AS DOUBLE), NULL FROM sales WHERE sale_date >= DATE '1998-06-15' GROUP BY sale_date ORDER BY sale_date DESC LIMIT 100)
+UNION ALL (SELECT 'anything else', CAST(order_id AS VARCHAR), CAST(revenue AS DOUBLE), product_id FROM sales ORDER BY order_id, product_id, revenue LIMIT 100)""")
+def q10b(t):
+    """One question for each of the five branches; every answer in the same columns."""
+    shapes = {
+        "highest revenue by region last month": ("region", "total_revenue", None), "top regions": ("region", "total_revenue", None),
+        "flows with quality below 5.4": ("pipeline_id", "avg_sigma", "runs"), "daily sales": ("day", "revenue", None), "anything else": ("order_id", "revenue", "product_id"),
+    }
+    answers = None
+    for question, (name, value, n) in shapes.items():
+        sold = t("sales").select("region", "sale_date", "order_id", "product_id", "revenue")
+        _, out = questions.answer(question, sold, t("measurements"), SALES_AS_OF, ["order_id", "product_id", "revenue"])
+        row = out.select(
+            F.lit(question).alias("question"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"),
+            (F.col(n) if n else F.lit(None)).cast("bigint").alias("n"),
+        )
+        answers = row if answers is None else answers.unionByName(row)
+    return answers
+
+
 @query("q10_answer", f"SELECT region, CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM sales WHERE {_LAST_MONTH} GROUP BY region ORDER BY 2 DESC, 1 LIMIT 100")
 def q10(t):
     question = "పైప్‌లైన్ చివరి నెలలో అత్యధిక ఆదాయం by region"
@@ -525,6 +616,37 @@ def q10(t):
     return out
 
 
+_Q14 = {
+    "what needs attention": "general_dashboard_query", "which flows are at risk?": "risk_pipeline_search", "dpdp status": "dpdp_compliance_query", "gdpr status": "gdpr_compliance_query",
+    "audit of transactions": "audit_chain_query", "best sigma": "quality_score_query", "what was executed": "pipeline_run_query",
+}
+_Q14_FLOWS = {
+    "what needs attention": "true", "which flows are at risk?": "status <> 'healthy' OR sigma < 5.0", "dpdp status": "list_contains(list_transform(NAMES(laws_text), lambda x: upper(x)), 'DPDP')",
+    "gdpr status": "list_contains(list_transform(NAMES(laws_text), lambda x: upper(x)), 'GDPR')", "best sigma": "true", "what was executed": "true",
+}
+_Q14_EVENTS = {"dpdp status": "law = 'DPDP'", "gdpr status": "law = 'GDPR'"}
+_Q14_SQL = " UNION ALL ".join(
+    [f"SELECT '{q}' AS question, '{_Q14[q]}' AS route, 'flow' AS kind, id AS item FROM registry WHERE {where}" for q, where in _Q14_FLOWS.items()]
+    + [f"(SELECT '{q}', '{route}', 'event', tx FROM audit_events WHERE {_Q14_EVENTS.get(q, 'true')} ORDER BY ts DESC, tx DESC LIMIT {10 if route == 'audit_chain_query' else 5})"
+       for q, route in _Q14.items()]
+)
+
+
+@query("q14_ask_all", _Q14_SQL)
+def q14b(t):
+    """One question a route: its flows and its events."""
+    out = None
+    for question in _Q14:
+        route, flows, events = questions.ask(question, t("registry"), t("audit_events"))
+        parts = [events.select(F.lit("event").alias("kind"), F.col("tx").alias("item"))]
+        if flows is not None:
+            parts.append(flows.select(F.lit("flow").alias("kind"), F.col("id").alias("item")))
+        for part in parts:
+            rows = part.select(F.lit(question).alias("question"), F.lit(route).alias("route"), "kind", "item")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("q14_ask", "SELECT id, status FROM registry WHERE status <> 'healthy' OR sigma < 5.0")
 def q14(t):
     _, flows, _ = questions.ask("which flows are at risk?", t("registry"), t("audit_events"))

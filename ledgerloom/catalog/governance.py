@@ -133,6 +133,35 @@ def c3(t):
         joined("auto_fixes").alias("auto_fixes"))
 
 
+_C3_TEXTS = ", ".join(f"('{rule}', '{law}', '{section}', '{text}', '{penalty}')" for rule, (law, section, text, penalty) in C.SIM_VIOLATIONS.items())
+_C4_TEXTS = ", ".join(f"('{rule}', '{law}', '{section}', '{text}', '{penalty}')" for rule, (law, section, text, penalty) in C.FALLBACK_VIOLATIONS.items())
+
+
+def _records(made):
+    return made.select("request_id", F.inline("violations"))
+
+
+@query("c3_violation_records", f"""
+WITH {_CLOSED}, wording(rule_id, law, law_section, description, penalty) AS (VALUES {_C3_TEXTS}),
+b AS (SELECT *, contains(laws_text, 'DPDP_2023') AND classification <> 'PUBLIC' AS d, contains(laws_text, 'GDPR') AND classification IN ('PII', 'HEALTH') AS g FROM asked),
+v AS (SELECT request_id, 'DPDP-001' AS rule_id FROM b WHERE d AND target_region NOT IN {_IN_SET} AND NOT has_consent
+  UNION ALL SELECT request_id, 'DPDP-004' FROM b WHERE d AND target_region <> source_region AND signature_count < 3 UNION ALL SELECT request_id, 'GDPR-001' FROM b WHERE g AND NOT {_ADEQUATE})
+SELECT request_id, concat('SIM-', rule_id, '-', request_id) AS violation_id, rule_id, law, law_section, description, penalty, false AS auto_fixed FROM v JOIN wording USING (rule_id)""")
+def c3b(t):
+    return _records(C.decide_simulation(t("transfer_requests")))
+
+
+@query("c4_violation_records", f"""
+WITH {_CLOSED}, wording(rule_id, law, law_section, description, penalty) AS (VALUES {_C4_TEXTS}),
+v AS (SELECT request_id, 'DPDP-001' AS rule_id FROM asked WHERE contains(laws_text, 'DPDP_2023') AND NOT starts_with(target_region, 'IN') AND NOT has_consent
+  UNION ALL SELECT request_id, 'DPDP-002' FROM asked WHERE contains(laws_text, 'DPDP_2023') AND starts_with(target_region, 'IN') AND NOT (has_consent OR signature_count >= 3)
+  UNION ALL SELECT request_id, 'GDPR-001' FROM asked WHERE contains(laws_text, 'GDPR')
+    AND target_region NOT IN ('DE','FR','IT','ES','NL','BE','SE','AT','DK','FI','PL','PT','IE','GB','UK','CH','NO','IS','LI','JP','CA','NZ','AR','IL','UY','KR'))
+SELECT request_id, concat('FALLBACK-', rule_id, '-', request_id) AS violation_id, rule_id, law, law_section, description, penalty, false AS auto_fixed FROM v JOIN wording USING (rule_id)""")
+def c4b(t):
+    return _records(C.decide_fallback(t("transfer_requests")))
+
+
 @query("c4_profile_fallback", f"""
 WITH {_CLOSED}, v AS (SELECT *, contains(laws_text, 'DPDP_2023') AS d, contains(laws_text, 'GDPR') AS g,
   contains(laws_text, 'DPDP_2023') AND NOT starts_with(target_region, 'IN') AND NOT has_consent AS v1,
@@ -286,7 +315,8 @@ def x8(t):
 
 @query("g1_lineage_chains", """SELECT output_dataset_id, tx_id, row_number() OVER (PARTITION BY output_dataset_id ORDER BY ts DESC, tx_id DESC) AS position FROM lineage""")
 def g1(t):
-    return L.lineage_chains(t("lineage")).select("output_dataset_id", "tx_id", big("position").alias("position"))
+    chains = L.lineage_chains(t("lineage").select("output_dataset_id", "tx_id", "ts"))
+    return chains.select("output_dataset_id", "tx_id", big("position").alias("position"))
 
 
 @query("g1_lineage_chain_of_dataset", "SELECT tx_id, timestamp, pipeline_id FROM lineage WHERE output_dataset_id = 'ds-0'")
@@ -468,6 +498,34 @@ def e3(t):
     return made.groupBy("dataset_id", "decision").agg(F.count(F.lit(1)).alias("requests"), F.min("decision_id").alias("least_decision"))
 
 
+@query("e3_violations", f"""WITH {_EVALUATED} SELECT request_id, dataset_id, concat('DEC-', left(tx_id, 12)) AS decision_id, concat('V-', rule_id, '-', left(tx_id, 8)) AS violation_id, rule_id, law,
+  section AS law_section, auto_fix <> '' AND failed_test <> 'signatures' AS auto_fixed FROM evaluated WHERE failed_test IS NOT NULL""")
+def e3b(t):
+    from ledgerloom.plans.jobs import compliance_job
+
+    _, made = compliance_job(t("transfer_requests"))
+    return made.select("request_id", "dataset_id", "decision_id", F.inline("violations")).drop("description", "penalty")
+
+
+@query("e4_quality_outputs", f"""WITH {_BREACHES}, m AS (SELECT m.*, coalesce(min_sigma, 5.0) AS target, coalesce(customer_org, 'Unknown') AS org, coalesce(sigma_level < min_sigma, false) AS breach
+  FROM measurements m LEFT JOIN sla USING (pipeline_id))
+SELECT 'alert' AS kind, pipeline_id, alert_id AS item, concat(severity, ' ', RFC3339(ts), ' ', notified) AS detail FROM breaches
+UNION ALL SELECT 'trend', pipeline_id, run_id, concat(timestamp, ' ', CAST(sigma_level AS DECIMAL(12,4))) FROM measurements QUALIFY row_number() OVER (PARTITION BY pipeline_id ORDER BY ts DESC, run_id DESC) <= 30
+UNION ALL SELECT 'certificate', pipeline_id, org, concat(count(*), ' ', count(*) FILTER (WHERE breach), ' ', CAST(sum(records_failed) AS BIGINT), ' ', CAST(sum(records_processed) AS BIGINT)) FROM m
+  WHERE timestamp BETWEEN '2024-01-05T00:00:00Z' AND '2024-01-15T00:00:00Z' GROUP BY pipeline_id, org""")
+def e4b(t):
+    from ledgerloom.plans.jobs import quality_job
+
+    out = quality_job(t("measurements"), t("sla"), ("2024-01-05T00:00:00Z", "2024-01-15T00:00:00Z"))
+    told = {
+        "alert": out["alerts"].select("pipeline_id", F.col("alert_id").alias("item"), F.concat_ws(" ", "severity", H.rfc3339(F.col("breached_at")), joined("notified_orgs")).alias("detail")),
+        "trend": out["trend"].select("pipeline_id", F.col("run_id").alias("item"), F.concat_ws(" ", H.rfc3339(F.col("ts")), F.col("sigma_level").cast("decimal(12,4)")).alias("detail")),
+        "certificate": out["certificates"].select("pipeline_id", F.col("customer_org").alias("item"), F.concat_ws(" ", "measurements", "breaches", "total_defects", "total_records").alias("detail")),
+    }
+    parts = [df.select(F.lit(kind).alias("kind"), "pipeline_id", "item", "detail") for kind, df in told.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("e4_quality_run", f"""WITH {_BREACHES} SELECT m.pipeline_id, count(*) AS measurements, CAST(coalesce(any_value(b.alerts), 0) AS BIGINT) AS alerts,
   min(concat('M-', m.pipeline_id, '-', left(tx_id, 12))) AS least_id FROM measurements m LEFT JOIN (SELECT pipeline_id, count(*) AS alerts FROM breaches GROUP BY 1) b USING (pipeline_id) GROUP BY m.pipeline_id""")
 def e4(t):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Phrase translations, applied in this order.
@@ -50,7 +53,7 @@ API_PHRASES = {
     "hi": (("पिछले महीने की बिक्री", "sales last month"),),
 }
 
-# Letters of a word, and whole-word patterns per intent, first match wins.
+# Letters of a word, and per intent words of which each match holds one, and whole-word patterns; first match wins.
 WORD = "[\\p{L}\\p{N}_]"
 
 
@@ -59,14 +62,14 @@ def whole_word(pattern: str) -> str:
 
 
 INTENT_PATTERNS = (
-    ("REPORT", (whole_word("report|dashboard|show me|daily|weekly"),)),
-    ("ALERT", (
+    ("REPORT", ("report", "dashboard", "show me", "daily", "weekly"), (whole_word("report|dashboard|show me|daily|weekly"),)),
+    ("ALERT", ("alert", "notify", "when"), (
         whole_word("alert|notify"),
         whole_word("when") + "[^\\n]+" + whole_word("drops?|exceeds?|above|below"),
     )),
-    ("QUALITY", (whole_word("quality|clean|validate|sigma"),)),
-    ("COMPLIANCE", (whole_word("dpdp|gdpr|compliant|audit"),)),
-    ("PIPELINE", (
+    ("QUALITY", ("quality", "clean", "validate", "sigma"), (whole_word("quality|clean|validate|sigma"),)),
+    ("COMPLIANCE", ("dpdp", "gdpr", "compliant", "audit"), (whole_word("dpdp|gdpr|compliant|audit"),)),
+    ("PIPELINE", ("ingest", "sync", "load", "move"), (
         whole_word("ingest|sync|load"),
         whole_word("move") + "[^\\n]+" + whole_word("to"),
     )),
@@ -80,13 +83,13 @@ INTENT_KEYWORDS = (
     ("compliance", ("compliant", "dpdp", "gdpr", "audit", "అనుగుణత")),
     ("insight", ("pattern", "trend", "analyse", "insight", "అంతర్దృష్టి")),
 )
-# Named schedules, first match wins.
+# Named schedules with words of which each match holds one, first match wins.
 NAMED_SCHEDULES = (
-    (whole_word("day") + "|daily", "0 6 * * *"),
-    (whole_word("hour") + "|hourly", "0 * * * *"),
-    (whole_word("week") + "|weekly", "0 6 * * MON"),
-    (whole_word("month") + "|monthly", "0 6 1 * *"),
-    (whole_word("real[- ]?time") + "|streaming", "@continuous"),
+    (("day", "daily"), whole_word("day") + "|daily", "0 6 * * *"),
+    (("hour",), whole_word("hour") + "|hourly", "0 * * * *"),
+    (("week",), whole_word("week") + "|weekly", "0 6 * * MON"),
+    (("month",), whole_word("month") + "|monthly", "0 6 1 * *"),
+    (("real", "streaming"), whole_word("real[- ]?time") + "|streaming", "@continuous"),
 )
 # Keywords that route a question, first match wins.
 QUESTION_ROUTES = (
@@ -117,6 +120,11 @@ PLACE_WORDS = (
 DEFAULT_PLACE = ("IN-TG", "fabric_node_hyderabad")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def detect_language(text: Column) -> Column:
     return (
         F.when(text.rlike("[\\u0c00-\\u0c7f]"), "te")
@@ -150,8 +158,8 @@ def safe_identifier(text: Column) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
-    """Does any of the words occur; one pattern keeps the generated code small."""
-    return text.contains(words[0]) if len(words) == 1 else text.rlike("|".join(words))
+    """Does any of the words occur; bytes are compared, which is much cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, [text.contains(word) for word in words])
 
 
 def _first_keyword(text: Column, table, default: str) -> Column:
@@ -162,21 +170,26 @@ def _first_keyword(text: Column, table, default: str) -> Column:
 
 
 def classify_intent(text: Column) -> Column:
-    lowered = F.lower(text)
-    chain = F
-    for intent, patterns in INTENT_PATTERNS:
-        chain = chain.when(lowered.rlike("|".join(patterns)), F.lit(intent))
-    return chain.otherwise(F.lit("PIPELINE"))
+    def classified(lowered: Column) -> Column:
+        chain = F
+        for intent, words, patterns in INTENT_PATTERNS:
+            chain = chain.when(contains_any(lowered, words) & lowered.rlike("|".join(patterns)), F.lit(intent))
+        return chain.otherwise(F.lit("PIPELINE"))
+
+    return bound(F.lower(text), classified)
 
 
 def classify_intent_keywords(text: Column) -> Column:
     """Keywords also match inside longer words (``if`` in ``life``)."""
-    return _first_keyword(F.lower(text), INTENT_KEYWORDS, "pipeline")
+    return bound(F.lower(text), lambda lowered: _first_keyword(lowered, INTENT_KEYWORDS, "pipeline"))
 
 
 def extract_schedule(text: Column) -> Column:
     """Cron text. ``at <hour>`` is searched anywhere, so ``format 3`` counts as hour 3."""
-    lowered = F.lower(text)
+    return bound(F.lower(text), _schedule)
+
+
+def _schedule(lowered: Column) -> Column:
     at_hour = "at ([0-9]{1,2})\\s*(am|pm)?"
     hour = F.regexp_extract(lowered, at_hour, 1).try_cast("int")
     half = F.regexp_extract(lowered, at_hour, 2)
@@ -189,28 +202,26 @@ def extract_schedule(text: Column) -> Column:
     step = F.regexp_replace(minutes, "^0+(?=[0-9])", "")
     chain = F.when(hour.isNotNull(), F.concat(F.lit("0 "), clock.cast("string"), F.lit(" * * *")))
     chain = chain.when(minutes != "", F.concat(F.lit("*/"), step, F.lit(" * * * *")))
-    for pattern, cron in NAMED_SCHEDULES:
-        chain = chain.when(lowered.rlike(pattern), F.lit(cron))
+    for words, pattern, cron in NAMED_SCHEDULES:
+        chain = chain.when(contains_any(lowered, words) & lowered.rlike(pattern), F.lit(cron))
     return chain.otherwise(F.lit("0 6 * * *"))
 
 
 def extract_schedule_simple(text: Column) -> Column:
-    lowered = F.lower(text)
-    return (
+    return bound(F.lower(text), lambda lowered: (
         F.when(contains_any(lowered, ("6am", "6 am", "daily", "every day")), "0 6 * * *")
         .when(lowered.contains("hourly"), "0 * * * *")
         .otherwise("@continuous")
-    )
+    ))
 
 
 def route_question(text: Column) -> Column:
     """Keywords also match inside longer words (``eu`` in ``museum``)."""
-    return _first_keyword(F.lower(text), QUESTION_ROUTES, DEFAULT_ROUTE)
+    return bound(F.lower(text), lambda lowered: _first_keyword(lowered, QUESTION_ROUTES, DEFAULT_ROUTE))
 
 
 def is_create_request(text: Column) -> Column:
-    lowered = F.lower(text)
-    return contains_any(lowered, CREATE_WORDS) & contains_any(lowered, FLOW_WORDS)
+    return bound(F.lower(text), lambda lowered: contains_any(lowered, CREATE_WORDS) & contains_any(lowered, FLOW_WORDS))
 
 
 def _domain(lowered: Column) -> Column:
@@ -233,7 +244,10 @@ def _domain(lowered: Column) -> Column:
 
 def flow_spec(text: Column) -> dict[str, Column]:
     """Source, law, region, target and domain a creation request asks for."""
-    lowered = F.lower(text)
+    return lowered_flow_spec(F.lower(text))
+
+
+def lowered_flow_spec(lowered: Column) -> dict[str, Column]:
     region, target = F, F
     for code, node, words in PLACE_WORDS:
         hit = contains_any(lowered, words)

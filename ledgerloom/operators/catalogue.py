@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.hashing import content_cid, sha256
 from ledgerloom.functions.numbers import exact_mean, exact_sum, rounded
-from ledgerloom.operators.ordered import running_sum
+from ledgerloom.operators.ordered import RANGE, ROW, deal, sum_so_far
 from ledgerloom.session import cut_lineage
 
 # Where to look for a copy, nearest first.
@@ -176,29 +175,17 @@ def freed_space(evictions: DataFrame) -> DataFrame:
     )
 
 
-def _place_small_group(group: pd.DataFrame) -> pd.DataFrame:
-    """First fit in need order for one node; the caller bounds the size of the group."""
-    group = group.sort_values("seq", ignore_index=True)
-    free, placed = int(group["free"].iloc[0]) if len(group) else 0, []
-    for size in group["size_bytes"]:
-        fits = size <= free
-        free -= size if fits else 0
-        placed.append(fits)
-    return group.assign(placed=placed)[["node_id", "seq", "content_hash", "size_bytes", "placed"]]
-
-
-def plan_placement(
-    moves: DataFrame, nodes: DataFrame, particles: DataFrame, finish_below: int = 50_000
-) -> DataFrame:
+def plan_placement(moves: DataFrame, nodes: DataFrame, particles: DataFrame) -> DataFrame:
     """Which moves fit: per node, in need order, each is placed if the space left allows.
 
-    An item that does not fit is passed over, a later smaller one may still fit. Free space
-    only shrinks, so whole stretches are settled at once: the longest prefix whose running
-    total fits is placed, its first misfit and everything larger than the rest of the space
-    is refused, and the survivors go into the next round. Running totals are chunked, so a
-    node with most of the needs is spread over many tasks. When no node has more than
-    ``finish_below`` open rows the rest is settled node by node. Nodes are independent of
-    each other. A node that already holds a copy is not charged again.
+    An item that does not fit is passed over, a later smaller one may still fit. A round takes every node
+    past the point where its free space falls below a power of two, so there are at most as many rounds as
+    bits in the largest free space, whatever the number of items. With ``T <= free < 2 T``, items below
+    ``T`` always fit, and the first larger one that fits, or the small one that takes the space below ``T``,
+    ends the round: before it all small items are placed and all others refused. The small
+    ones' running total decides which item that is; it goes over ranges of the rows, so
+    a node with most of the needs is spread over many tasks. Nodes are independent of each other. A node that
+    already holds a copy is not charged again; a move without a known size is refused.
     """
     keys = ["node_id", "content_hash"]
     held = particles.select("content_hash", F.explode("home_nodes").alias("node_id"))
@@ -207,30 +194,31 @@ def plan_placement(
     space = nodes.select("node_id", (F.col("capacity_bytes") - F.col("used_bytes")).alias("free"))
     todo = wanted.join(space, "node_id", "left").withColumn("free", F.coalesce("free", F.lit(0)))
     columns = ["node_id", "seq", "content_hash", "size_bytes"]
+    todo = deal(todo.select(*columns, "free"), ["node_id"], [F.col("seq"), F.col("content_hash")])
+    free, size = F.col("free"), F.col("size_bytes")
     settled: list[DataFrame] = []
     while True:
-        todo = cut_lineage(todo.select(*columns, "free"))
-        largest = todo.groupBy("node_id").count().agg(F.max("count")).first()[0] or 0
-        if largest <= finish_below:
-            break
-        summed = running_sum(
-            todo, ["node_id"], [F.col("seq"), F.col("content_hash")], F.col("size_bytes"), "total"
+        # the largest power of two that is not above the free space
+        floor = F.expr("shiftleft(1L, length(bin(greatest(free, 1L))) - 1)")
+        fits, small = size <= free, size < floor
+        summed = sum_so_far(todo, ["node_id"], F.when(fits & small, size).otherwise(0), "total")
+        ends = F.when(small, free - F.col("total") < floor).otherwise(size <= free - F.col("total"))
+        # rows of a node that end its round: the first of them and what it leaves
+        last = summed.filter(fits & ends).groupBy("node_id").agg(F.min_by(
+            F.struct(F.col(ROW).alias("row"), (free - F.col("total") - F.when(small, 0).otherwise(size)).alias("left")), ROW).alias("_last"))
+        judged = summed.join(last, "node_id", "left").withColumn(
+            "placed",
+            F.when(F.coalesce(~fits, F.lit(True)), False)
+            .when(F.col("_last").isNull() | (F.col(ROW) < F.col("_last.row")), small)
+            .when(F.col(ROW) == F.col("_last.row"), True),
         )
-        summed = cut_lineage(summed)
-        fits = F.col("total") <= F.col("free")
-        border = summed.groupBy("node_id").agg(
-            F.coalesce(F.max(F.when(fits, F.col("total"))), F.lit(0)).alias("_used"),
-            F.min(F.when(~fits, F.struct("seq", "content_hash"))).alias("_misfit"),
-        )
-        judged = summed.join(border, "node_id").withColumn("_left", F.col("free") - F.col("_used"))
-        misfit = F.struct("seq", "content_hash") == F.col("_misfit")
-        verdict = F.when(fits, True).when(misfit | (F.col("size_bytes") > F.col("_left")), False)
-        judged = cut_lineage(judged.withColumn("placed", verdict))
+        judged = cut_lineage(judged.select(*columns, RANGE, ROW, F.coalesce("_last.left", "free").alias("free"), "placed"))
         settled.append(judged.filter(F.col("placed").isNotNull()).select(*columns, "placed"))
-        todo = judged.filter(F.col("placed").isNull()).withColumn("free", F.col("_left"))
-    schema = "node_id string, seq bigint, content_hash string, size_bytes bigint, placed boolean"
-    plan = todo.groupBy("node_id").applyInPandas(_place_small_group, schema)
-    for part in settled:
+        todo = judged.filter(F.col("placed").isNull()).drop("placed")
+        if todo.isEmpty():
+            break
+    plan = settled[0]
+    for part in settled[1:]:
         plan = plan.unionByName(part)
     return plan
 

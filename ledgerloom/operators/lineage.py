@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions.hashing import lineage_hash, piped, sha256
 from ledgerloom.functions.numbers import exact_mean
@@ -105,27 +105,44 @@ def edges(lineage: DataFrame) -> DataFrame:
     ).distinct()
 
 
+#: Roots of one row while a graph is walked: 16 whole numbers of 64 bits.
+LANES, LANE_BITS = 16, 64
+
+
 def reach(steps: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
     """Vertices within ``max_depth`` levels of each root with their least depth.
 
-    ``steps`` has columns ``at`` and ``to``, ``roots`` has ``root``. Each level is joined
-    once, stripped of what was seen before (which also ends cycles) and written to the
-    checkpoint folder, so the plan stays short and a lost executor costs one level.
+    ``steps`` has columns ``at`` and ``to``, ``roots`` has ``root``. A vertex goes through a level
+    once for all roots that reach it there: a row carries them as bits, 1024 roots to a group, and rows that meet
+    at a vertex are combined by bitwise or. A level therefore joins at most one row an edge and group,
+    however many roots share the way. What an earlier level has seen is taken off at the end, vertex by
+    vertex, and only then do bits become pairs. Each level is written to the checkpoint folder,
+    so the plan stays short and a lost executor costs one level; on a cycle the walk ends at ``max_depth``.
     """
+    width = LANES * LANE_BITS
     steps = cut_lineage(steps)
-    level = cut_lineage(roots.select("root", F.col("root").alias("dataset_id"), F.lit(0).alias("depth")))
-    seen = level
+    names = cut_lineage(numbered(roots.select("root").distinct(), [], [F.col("root")], "nth").withColumn("nth", F.col("nth") - 1))
+    lanes = [f"b{i}" for i in range(LANES)]
+    bit = F.expr(f"shiftleft(1L, CAST(nth % {LANE_BITS} AS INT))")
+    of_lane = F.expr(f"nth div {LANE_BITS} % {LANES}")
+    level = names.select(
+        F.expr(f"nth div {width}").alias("roots"), F.col("root").alias("vertex"),
+        *[F.when(of_lane == i, bit).otherwise(F.lit(0)).cast("bigint").alias(lane) for i, lane in enumerate(lanes)],
+    )
+    walked = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth if max_depth > 0 else 10):
-        found = (
-            level.join(steps, level.dataset_id == steps["at"])
-            .select("root", F.col("to").alias("dataset_id")).distinct()
-            .join(seen.select("root", "dataset_id"), ["root", "dataset_id"], "left_anti")
-        )
-        level = cut_lineage(found.select("root", "dataset_id", F.lit(depth).alias("depth")))
+        met = level.join(steps, level.vertex == steps["at"]).groupBy("roots", F.col("to").alias("vertex"))
+        level = cut_lineage(met.agg(*[F.bit_or(lane).alias(lane) for lane in lanes]))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
-    return seen
+        walked = walked.unionByName(level.withColumn("depth", F.lit(depth)))
+    earlier = Window.partitionBy("roots", "vertex").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    seen = {lane: F.coalesce(F.bit_or(lane).over(earlier), F.lit(0)) for lane in lanes}
+    fresh = walked.select("roots", "vertex", "depth", F.array(*[F.col(lane).bitwiseAND(F.bitwise_not(seen[lane])) for lane in lanes]).alias("bits"))
+    parts = fresh.select("roots", "vertex", "depth", F.posexplode("bits").alias("lane", "bits")).filter("bits <> 0")
+    pairs = parts.select("vertex", "depth", F.explode(F.expr(
+        f"transform(filter(sequence(0, {LANE_BITS - 1}), k -> getbit(bits, k) = 1), k -> roots * {width} + lane * {LANE_BITS} + k)")).alias("nth"))
+    return pairs.join(names, "nth").select("root", F.col("vertex").alias("dataset_id"), "depth")
 
 
 def lineage_graph(lineage: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:

@@ -21,7 +21,8 @@ from ledgerloom.session import cut_lineage
 RANGE, ROW = "_range", "_row"
 
 
-def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def deal(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` in ranges of key and order, written once, with ``RANGE`` and ``ROW``."""
     by = [*[F.col(k) for k in keys], *order]
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     return cut_lineage(ranged.withColumns({RANGE: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
@@ -54,7 +55,7 @@ def numbered(
     Inside a run the position is a difference of row numbers, so the rows are not shuffled again
     while the table of runs is small enough for Spark to broadcast.
     """
-    dealt = _dealt(df, keys, order)
+    dealt = deal(df, keys, order)
     runs = dealt.groupBy(*keys, RANGE).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     runs = runs.withColumns({
         "_base": F.coalesce(F.sum("_rows").over(_before(keys)), F.lit(0)), "_total": F.sum("_rows").over(_over_key(keys)),
@@ -66,17 +67,22 @@ def numbered(
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to this one."""
-    dealt = _dealt(df.withColumn("_value", value), keys, order)
-    runs = dealt.groupBy(*keys, RANGE).agg(F.sum("_value").alias("_sum"))
+    return sum_so_far(deal(df, keys, order), keys, value, name).drop(RANGE, ROW)
+
+
+def sum_so_far(dealt: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``running_sum`` over rows that were dealt before, of which some may be gone."""
+    rows = dealt.withColumn("_value", value)
+    runs = rows.groupBy(*keys, RANGE).agg(F.sum("_value").alias("_sum"))
     runs = runs.withColumn("_base", F.coalesce(F.sum("_sum").over(_before(keys)), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*keys, RANGE).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.withColumn("_inside", F.sum("_value").over(inside))
-    return _with_run(summed, runs, keys).select(*[F.col(c) for c in df.columns], (F.col("_inside") + F.col("_base")).alias(name))
+    summed = rows.withColumn("_inside", F.sum("_value").over(inside))
+    return _with_run(summed, runs, keys).select(*[F.col(c) for c in dealt.columns], (F.col("_inside") + F.col("_base")).alias(name))
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, default, name: str) -> DataFrame:
     """``value`` of the row before this one within the key; ``value`` itself is never null."""
-    dealt = _dealt(df, keys, order)
+    dealt = deal(df, keys, order)
     last = dealt.groupBy(*keys, RANGE).agg(F.max_by(value, ROW).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(_over_key(keys).orderBy(RANGE))).drop("_last")
     inside = Window.partitionBy(*keys, RANGE).orderBy(ROW)

@@ -45,8 +45,8 @@ def movements(registry: DataFrame, n: int = 12) -> DataFrame:
 
 
 def rank_flows(registry: DataFrame, by: str = "sigma") -> DataFrame:
-    """All flows from best to worst by ``sigma`` or ``runs``."""
-    return registry.orderBy(F.desc(by), "id")
+    """All flows from best to worst by ``sigma`` or ``runs``, with their ``rank`` from 1; equal ones by id."""
+    return numbered(registry, [], [F.desc(by), F.col("id")], "rank").orderBy("rank")
 
 
 def overview(registry: DataFrame) -> DataFrame:

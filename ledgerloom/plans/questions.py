@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import audit, registry as reg
@@ -12,20 +12,21 @@ from ledgerloom.plans import templates
 def classify_batch(texts: DataFrame, column: str = "text") -> DataFrame:
     """Everything the text functions say about each text, in one projection."""
     said = F.col(column)
-    language = T.detect_language(said)
-    english = T.translate_phrases(said, language)
-    spec = T.flow_spec(said)
-    return texts.withColumns({"language": language, "translated": english}).withColumns({
-        "intent": T.classify_intent(F.col("translated")),
-        "planner_intent": T.classify_intent_keywords(T.translate_for_planner(said, F.col("language"))),
-        "schedule": T.extract_schedule(F.col("translated")),
-        "simple_schedule": T.extract_schedule_simple(said),
-        "template": T.sql_template(F.col("translated")),
-        "threshold": T.sigma_threshold(F.col("translated")),
-        "route": T.route_question(said),
-        "creates": T.is_create_request(said),
-        **{f"spec_{name}": value for name, value in spec.items()},
-    })
+
+    def told(language: Column, english: Column, planner: Column, lowered: Column) -> Column:
+        values = {
+            "language": language, "translated": english, "intent": T.classify_intent(english),
+            "planner_intent": T.classify_intent_keywords(planner), "schedule": T.extract_schedule(english),
+            "simple_schedule": T.extract_schedule_simple(said), "template": T.sql_template(english),
+            "threshold": T.sigma_threshold(english), "route": T.route_question(said), "creates": T.is_create_request(said),
+            **{f"spec_{name}": value for name, value in T.lowered_flow_spec(lowered).items()},
+        }
+        return F.struct(*[value.alias(name) for name, value in values.items()])
+
+    # language and both translations are worked out once a text, whoever reads them
+    found = T.bound(T.detect_language(said), lambda language: T.bound(T.translate_phrases(said, language), lambda english: T.bound(
+        T.translate_for_planner(said, language), lambda planner: T.bound(F.lower(said), lambda lowered: told(language, english, planner, lowered)))))
+    return texts.withColumn("_told", found).select(*texts.columns, "_told.*")
 
 
 def planned_flows(texts: DataFrame, column: str = "text", seq: str = "text_id") -> DataFrame:

@@ -221,7 +221,7 @@ def test_ranges_follow_the_rows(spark, shape):
     order = [F.desc("at"), F.col("i")]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        dealt = ordered._dealt(df, ["k"], order)
+        dealt = ordered.deal(df, ["k"], order)
         assert dealt.groupBy(ordered.RANGE).count().agg(F.max("count")).first()[0] < n / 2
         numbered = {r.i: (r.p, r.t) for r in ordered.numbered(df, ["k"], order, "p", "t").collect()}
         summed = {r.i: r.s for r in ordered.running_sum(df, ["k"], order, F.col("v"), "s").collect()}
@@ -266,19 +266,32 @@ def place_greedily(moves, free):
     return placed
 
 
-@pytest.mark.parametrize("finish_below", [0, 3, 10_000])
-def test_placement_brute_force(spark, finish_below):
-    rng = random.Random(7)
-    moves = []
-    for i in range(300):
-        node = "hot" if rng.random() < 0.4 else f"n{rng.randrange(5)}"
-        moves.append((node, i, f"c{i}", rng.choice([0, 1, 5, 40, 300])))
-    free = {"hot": 900, "n0": 0, "n1": 50, "n2": 100_000, "n3": 333, "n4": 5}
+def placed_by(spark, moves, free):
     df = spark.createDataFrame(moves, "node_id string, seq long, content_hash string, size_bytes long")
     nodes = spark.createDataFrame([(n, f + 10, 10) for n, f in free.items()], "node_id string, capacity_bytes long, used_bytes long")
     held = spark.createDataFrame([("c-none", ["n9"])], "content_hash string, home_nodes array<string>")
-    plan = K.plan_placement(df, nodes, held, finish_below).collect()
-    assert {(r.node_id, r.seq): r.placed for r in plan} == place_greedily(moves, free)
+    return {(r.node_id, r.seq): r.placed for r in K.plan_placement(df, nodes, held).collect()}
+
+
+@pytest.mark.parametrize("sizes", [[0, 1, 5, 40, 300], list(range(1, 400))])
+def test_placement_brute_force(spark, sizes):
+    rng = random.Random(7)
+    moves = []
+    for i in range(300):
+        node = "hot" if rng.random() < 0.4 else f"n{rng.randrange(6)}"
+        moves.append((node, i, f"c{i}", rng.choice(sizes)))
+    free = {"hot": 900, "n0": 0, "n1": 50, "n2": 100_000, "n3": 333, "n4": 5, "n5": -3}
+    assert placed_by(spark, moves, free) == place_greedily(moves, free)
+
+
+def test_placement_rounds_follow_the_space_not_the_items(spark, monkeypatch):
+    """Ones and ever smaller large items in turn: every other item is a misfit of its own size."""
+    rounds, large = [], 1 << 12
+    cut = K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    moves = [("n", i, f"c{i}", 1 if i % 2 == 0 else large - i // 2) for i in range(600)]
+    assert placed_by(spark, moves, {"n": large}) == place_greedily(moves, {"n": large})
+    assert len(rounds) <= 13
 
 
 def test_held_copies_are_not_charged(spark):
@@ -326,6 +339,27 @@ def test_graph_survives_cycles_and_limits_depth(spark):
     assert {(r.dataset_id, r.depth) for r in down.collect()} == {("d2", 0), ("d1", 1), ("d0", 2)}
 
 
+def test_graph_brute_force(spark):
+    """More roots than a row carries, a hub most edges leave, shared ways, cycles, repeated roots and edges."""
+    draw = random.Random(11)
+    vertices = [f"v{i}" for i in range(1400)]
+    edges = [(v, "hub") for v in vertices[:700]] + [("hub", f"t{i}") for i in range(200)] + [(f"t{i}", f"t{i + 1}") for i in range(200)]
+    edges += [(draw.choice(vertices), draw.choice(vertices)) for _ in range(1500)] + edges[:20]
+    after = {}
+    for at, to in edges:
+        after.setdefault(at, set()).add(to)
+    roots = vertices + ["hub", "nowhere", "v1"]
+    want = {}
+    for root in set(roots):
+        level, seen = {root}, {root: 0}
+        for depth in range(1, 5):
+            level = {to for at in level for to in after.get(at, ())} - set(seen)
+            seen |= {v: depth for v in level}
+        want |= {(root, v): d for v, d in seen.items()}
+    found = L.reach(spark.createDataFrame(edges, "at string, to string"), spark.createDataFrame([(r,) for r in roots], "root string"), 5).collect()
+    assert len(found) == len(want) and {(r.root, r.dataset_id): r.depth for r in found} == want
+
+
 def test_genesis_row_verifies(tables):
     lineage = tables("lineage")
     first = L.genesis_row(lineage, "genesis-block", "genesis", "Owner", "2024-01-01T00:00:00Z")
