@@ -275,7 +275,11 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, chain: Chain, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language: not ``und``, score ``least`` or more."""
+    """Rows of ``docs``, all columns, whose text has a language: not ``und``, score ``least`` or more.
+
+    If nothing was learned, for want of labelled texts, no text can be told from another: all with a letter stay.
+    Null texts and texts without a letter go; repeated rows stay or go together; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     place = docs.columns.index(text_col)
 
@@ -283,8 +287,11 @@ def keep_known(docs: DataFrame, chain: Chain, text_col: str = "text", least: flo
         for batch in batches:
             plain = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["text"])
             for at, to, part in text_slices(plain, "text"):
-                langs, scores = predict_texts(part, shared.value)
-                keep = (np.array(langs, object) != UNKNOWN) & (scores >= least)
+                if shared.value.labels:
+                    langs, scores = predict_texts(part, shared.value)
+                    keep = (np.array(langs, object) != UNKNOWN) & (scores >= least)
+                else:
+                    keep = np.array([any(c.isalpha() for c in text or "") for text in part.to_pylist()], bool)
                 yield batch.slice(at, to - at).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

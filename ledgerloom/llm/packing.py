@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.common import id_and_text, text_slices
 
 _STATE: dict[str, tuple] = {}
+#: The rank encoder's pattern cannot go back over much more white space than this in one run.
+_LONG_BLANK = 50_000
 
 
 class Encoder:
@@ -22,13 +25,15 @@ class Encoder:
 
     ``path`` is a ``tokenizers`` file; the same vocabulary as ranks lies beside it with the suffix
     ``.tiktoken`` and gives the same ids four times as fast. Texts that contain a special token
-    are encoded by the ``tokenizers`` file, which knows those.
+    are encoded by the ``tokenizers`` file, which knows those, and so are texts with very long runs of
+    white space, which the rank encoder fails on.
     """
 
     def __init__(self, path: str):
         if path not in _STATE:
             _STATE[path] = self._load(path)
         self.plain, self.whole, self.special = _STATE[path]
+        self.blank = re.compile(rf"\s{{{_LONG_BLANK}}}")
 
     @staticmethod
     def _load(path: str) -> tuple:
@@ -44,8 +49,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        special = any(x in text for x in self.special)
-        ids = self.whole.encode(text, add_special_tokens=False).ids if special else self.plain(text)
+        whole = any(x in text for x in self.special) or (len(text) >= _LONG_BLANK and self.blank.search(text))
+        ids = self.whole.encode(text, add_special_tokens=False).ids if whole else self.plain(text)
         out = array("I", ids)
         if sys.byteorder == "big":
             out.byteswap()

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fim, merkle, quality_rules
+from ledgerloom.llm import fim, langid, merkle, packing, quality_rules
+from ledgerloom.llm.common import tokenizer_path
 from llm_fixtures import documents, workers_find_the_package  # noqa: F401
 
 
@@ -208,3 +209,23 @@ def test_manifest_of_little(spark):
     assert row.leaf.hex() == row.subroot.hex() == row.root.hex() == row.folded.hex() == sha("1:5-1:t") and row.path == b""
     _, proofs = merkle.manifest(one.limit(0), "source", "doc_id", leaf)
     assert merkle.folded(proofs, "leaf").count() == 0
+
+
+# ---- long runs and missing labels ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000 + "x", "a" * 2_000_000, "x" + " \t" * 400_000 + "y", " " * 49_999 + "end"])
+def test_packing_of_long_runs(documents, text):  # noqa: F811
+    pieces = sorted(packing.packed(documents([(1, text), (2, "short")]), tokenizer_path()).collect(), key=lambda r: (r.id, r.start))
+    ids = np.frombuffer(b"".join(bytes(r.ids) for r in pieces if r.id == 1), "<u4").tolist()
+    from tokenizers import Tokenizer
+
+    assert ids == [*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_unlabelled_corpus_is_kept(documents):  # noqa: F811
+    docs = documents([(1, "some words"), (2, "1 2 3"), (3, None), (4, ""), (5, "ein Satz"), (5, "ein Satz")], lang=None)
+    chain = langid.train(langid.sample(docs, "text", "lang", "doc_id", 400, 4000))
+    assert sorted(r.doc_id for r in langid.keep_known(docs, chain).collect()) == [1, 5, 5]
+    assert {r.lang_pred for r in langid.predict(docs, chain).collect()} == {"und"}
+    assert langid.keep_known(documents([]), chain).count() == 0
