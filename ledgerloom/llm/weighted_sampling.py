@@ -21,23 +21,48 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF)) + 0.5) / 65536.0
 
 
-def _sample(term: Column, log_weight: Column, number: Column) -> Column:
-    """Rank and name of a term in one sample, as one whole number: the least wins.
+def _sample(log_weights: list[Column], term: Column, number: Column) -> list[Column]:
+    """Rank and name of a term in one sample as one whole number, for each of its weights: the least wins.
 
     ``r`` and ``c`` are gamma(2, 1) variables and ``beta`` is uniform, all drawn by hashing the term
     and the sample's number. With ``t = floor(ln w / r + beta)`` the rank is
     ``ln a = ln c - r (t - beta + 1)``; the name mixes the hash of the term with ``t``. Equal terms of
     two texts have equal names and ranks unless ``t`` tells their weights apart, so the chance of
-    a common least name is the generalised Jaccard similarity of the weights.
+    a common least name is the generalised Jaccard similarity of the weights. The draws are shared by all
+    weights; a null weight gives null.
     """
     h = F.xxhash64(term, number)
     beta = (F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFF)) + 0.5) / 16777216.0
     r = -F.ln(_uniform(h, 0) * _uniform(h, 16))
     log_c = F.ln(-F.ln(_uniform(h, 32) * _uniform(h, 48)))
-    t = F.floor(log_weight / r + beta)
-    rank = F.floor((log_c - r * (t - beta + 1.0) + 100.0) * 16777216.0)
-    name = h.bitwiseXOR(F.shiftrightunsigned(h, 21)).bitwiseXOR(F.shiftrightunsigned(h, 43)).bitwiseXOR(t)
-    return F.shiftleft(rank, 32).bitwiseOR(name.bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1)))
+    name = h.bitwiseXOR(F.shiftrightunsigned(h, 21)).bitwiseXOR(F.shiftrightunsigned(h, 43))
+    out = []
+    for log_weight in log_weights:
+        t = F.floor(log_weight / r + beta)
+        rank = F.floor((log_c - r * (t - beta + 1.0) + 100.0) * 16777216.0)
+        out.append(F.shiftleft(rank, 32).bitwiseOR(name.bitwiseXOR(t).bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1))))
+    return out
+
+
+def _signed(counts: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """``(*keys, *names)`` from ``counts`` ``(*keys, term, ...)``: for each fingerprint the column with its counts, none where zero."""
+    logs = [F.when(F.col(n) > 0, F.ln(F.col(n).cast("double"))).alias(f"w{k}") for k, n in enumerate(names.values())]
+    counts = counts.select(*keys, "term", *logs)
+    weights = [f"w{k}" for k in range(len(names))]
+    spread = counts.select(*keys, "term", *weights, F.explode(F.array(*[F.lit(i * LANES) for i in range(ROUNDS)])).alias("round"))
+    least = []
+    for lane in range(LANES):
+        for k, sample in enumerate(_sample([F.col(w) for w in weights], F.col("term"), F.col("round") + lane)):
+            least.append(F.min(sample).alias(f"s{k}_{lane}"))
+    sampled = spread.groupBy(*keys, "round").agg(*least)
+    low = (1 << (4 * DIGITS)) - 1
+
+    def part(k: int) -> Column:
+        return F.lower(F.concat(*[F.lpad(F.hex(F.col(f"s{k}_{i}").bitwiseAND(F.lit(low))), DIGITS, "0") for i in range(LANES)])).alias(f"p{k}")
+
+    parts = sampled.select(*keys, F.struct("round", *[part(k) for k in range(len(names))]).alias("p"))
+    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    return joined.select(*keys, *[F.array_join(F.col("parts")[f"p{k}"], "").alias(name) for k, name in enumerate(names)])
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -48,15 +73,17 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> D
     """
     terms = texts.select(*keys, F.explode(F.split(text_col, _WORDS)).alias("word")).where("word != ''")
     counts = terms.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
-    counts = counts.select(*keys, "term", F.ln(F.col("n").cast("double")).alias("w"))
-    spread = counts.select(*keys, "term", "w", F.explode(F.array(*[F.lit(i * LANES) for i in range(ROUNDS)])).alias("round"))
-    least = [F.min(_sample(F.col("term"), F.col("w"), F.col("round") + lane)).alias(f"s{lane}") for lane in range(LANES)]
-    sampled = spread.groupBy(*keys, "round").agg(*least)
-    low = (1 << (4 * DIGITS)) - 1
-    part = F.concat(*[F.lpad(F.hex(F.col(f"s{i}").bitwiseAND(F.lit(low))), DIGITS, "0") for i in range(LANES)])
-    parts = sampled.select(*keys, F.struct("round", F.lower(part).alias("part")).alias("p"))
-    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    return joined.select(*keys, F.array_join(F.col("parts")["part"], "").alias("fingerprint"))
+    return _signed(counts, keys, {"fingerprint": "n"})
+
+
+def paired_fingerprints(texts: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """``(*keys, fingerprint, edited_fingerprint)`` of two texts a row; a term of both is drawn once for both."""
+    sides = F.array(F.struct(F.lit(0).alias("kind"), F.col(first).alias("body")), F.struct(F.lit(1).alias("kind"), F.col(second).alias("body")))
+    terms = texts.select(*keys, F.inline(sides)).select(*keys, "kind", F.explode(F.split("body", _WORDS)).alias("word")).where("word != ''")
+    counts = terms.groupBy(*keys, F.xxhash64("word").alias("term")).agg(
+        F.count_if(F.col("kind") == 0).alias("n0"), F.count_if(F.col("kind") == 1).alias("n1")
+    )
+    return _signed(counts, keys, {"fingerprint": "n0", "edited_fingerprint": "n1"})
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
@@ -93,7 +120,7 @@ def following(keys: DataFrame) -> DataFrame:
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to each other and to the next text.
 
-    Returns ``(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next)``. The
+    Returns ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``. The
     next document is the next by descending id, nulls last, ties by a hash of the text; after the
     last comes the first. In the edited text the last third of the characters, rounded down, gives
     way to as many of the next text's first, or all it has. Null texts are empty; texts without
@@ -116,13 +143,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = marked.join(heads, key)
     edited = F.expr("concat(left(text, n_chars - n_chars div 3), head)")
     whole = whole.select(*key, "id", "lone", "n_chars", "next_who", "next_digest", "text", edited.alias("edited"))
-    both = whole.where("lone").select(
-        *key, F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))))
-    )
-    prints = fingerprints(both, [*key, "kind"], "body").groupBy(*key).agg(
-        F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-    )
+    prints = paired_fingerprints(whole.where("lone"), key, "text", "edited")
     mine = whole.select(*key, "id", "n_chars", "next_who", "next_digest", F.sha2("edited", 256).alias("edited_sha256"))
     mine = cut_lineage(mine.join(prints, key, "left").na.fill("", ["fingerprint", "edited_fingerprint"]))
     following_prints = mine.groupBy("who", "digest").agg(F.first("fingerprint").alias("next_fingerprint")).select(
