@@ -61,26 +61,86 @@ def ingest_gate(payloads: DataFrame, accepted: str, quarantined: str, gate: str
     return payloads.writeStream.foreachBatch(split)
 
 
-def _earlier(spark: SparkSession, base: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """What batches before this one stored; a replay sees the same."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    if batch_id == 0 or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return like.limit(0)
-    return spark.read.parquet(base).filter(F.col("batch_id") < batch_id)
+#: Buckets of a catalogue, blocks of its filter in a bucket, and bits a key sets in its block of 4096 bytes.
+BUCKETS, BLOCKS, KEY_BITS = 16, 4096, 4
+BLOCK_BITS = 8 * 4096
+#: Every so many batches the filter is written whole; the others write what they add.
+WHOLE_FILTER = 16
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _in_blocks(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with the filter block of their key, its bucket and the bits it sets there."""
+    rows = rows.withColumn("_key", F.xxhash64(*keys)).withColumn("_block", F.pmod("_key", F.lit(BUCKETS * BLOCKS)).cast("int"))
+    bits = F.array(*[F.pmod(F.xxhash64("_key", F.lit(i)), F.lit(BLOCK_BITS)) for i in range(KEY_BITS)])
+    return rows.withColumns({"key_bucket": F.expr(f"CAST(_block div {BLOCKS} AS INT)"), "_bits": bits}).drop("_key")
+
+
+def _filter_of(rows: DataFrame) -> DataFrame:
+    """``(block, bitmap)`` over rows in blocks."""
+    return rows.select(F.col("_block").alias("block"), F.explode("_bits").alias("bit")).groupBy("block").agg(
+        F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def _filter_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """The filter over all batches before this one: the last one written whole and what came after it."""
+    parts = []
+    for earlier in range(batch_id - 1, -1, -1):
+        part = batch_folder(folder, earlier)
+        if _exists(spark, part):
+            parts.append(part)
+        if earlier % WHOLE_FILTER == 0:
+            break
+    if not parts:
+        return None
+    return spark.read.schema("block int, bitmap binary").parquet(*parts).groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def _maybe_held(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows in blocks whose key the filter may hold: all its bits are set. Held keys always pass, few others do."""
+    joined = rows.join(held, F.col("_block") == F.col("block"))
+    byte = "conv(hex(substring(bitmap, CAST(p div 8 AS INT) + 1, 1)), 16, 10)"
+    return joined.filter(F.expr(f"forall(_bits, p -> getbit(CAST({byte} AS INT), CAST(p % 8 AS INT)) = 1)")).drop("block", "bitmap")
 
 
 def catalogue_step(spark: SparkSession, catalogue: str, keys: tuple[str, ...] = ("content_hash",), ts: str = "ts") -> Callable[[DataFrame, int], None]:
     """Store the first arrival of each key that the catalogue does not hold yet, however late a copy comes.
 
-    With ``keys`` of content and node, a later copy on another node adds that node.
+    With ``keys`` of content and node, a later copy on another node adds that node. The catalogue lies in
+    buckets of its keys with a Bloom filter beside it (``<catalogue>_filter``), blocks of 32768 bits of which a
+    key sets four. A batch looks its keys up in the blocks they fall in and reads only the buckets that may hold
+    one; new content reads next to nothing, whatever the catalogue holds. A replayed batch sees the state before it.
     """
+    filters = f"{catalogue.rstrip('/')}_filter"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         hashed = batch.withColumn("content_hash", sha256(F.col("payload"))).drop("payload")
         rest = [c for c in hashed.columns if c not in keys]
         firsts = hashed.groupBy(*keys).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("_row")).select(*keys, "_row.*")
-        known = _earlier(spark, catalogue, batch_id, firsts).select(*keys)
-        _put(firsts.join(known, list(keys), "left_anti"), catalogue, batch_id)
+        firsts, maybe = _in_blocks(firsts, keys).persist(), None
+        try:
+            held = _filter_before(spark, filters, batch_id)
+            new = firsts
+            if held is not None:
+                maybe = _maybe_held(firsts, held).select(*keys, "key_bucket").persist()
+                buckets = [r.key_bucket for r in maybe.select("key_bucket").distinct().collect()]  # at most BUCKETS
+                if buckets:
+                    stored = spark.read.parquet(catalogue).filter((F.col("batch_id") < batch_id) & F.col("key_bucket").isin(buckets))
+                    known = stored.select(*keys).join(maybe.select(*keys), list(keys), "left_semi")
+                    new = firsts.join(known, list(keys), "left_anti")
+            new.drop("_block", "_bits").write.mode("overwrite").partitionBy("key_bucket").parquet(batch_folder(catalogue, batch_id))
+            added = _filter_of(new)
+            if held is not None and batch_id % WHOLE_FILTER == 0:
+                added = added.unionByName(held).groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            _put(added, filters, batch_id)
+        finally:
+            firsts.unpersist()
+            if maybe is not None:
+                maybe.unpersist()
 
     return step
 

@@ -1,6 +1,7 @@
 """Streams over file drops: same result as the batch twin, restart without duplicates."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -169,6 +170,42 @@ def test_catalogue_decides_about_late_copies(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(holders).collect()) == [1, 4, 5]
 
 
+def test_catalogue_reads_only_buckets_that_may_hold_a_key(spark, tmp_path, monkeypatch):
+    base, t0 = str(tmp_path / "catalogue"), datetime(2024, 1, 1)
+    schema = "seq long, node_id string, payload string, ts timestamp"
+    looked, test = [], J._maybe_held
+    monkeypatch.setattr(J, "_maybe_held", lambda rows, held: looked.append(test(rows, held).select("seq", "key_bucket").collect()) or test(rows, held))
+    step = J.catalogue_step(spark, base)
+    first = [(i, "n", f"text {i}", t0) for i in range(3000)]
+    step(spark.createDataFrame(first, schema), 0)
+    fresh = [(10_000 + i, "n", f"new {i}", t0 + timedelta(hours=3)) for i in range(400)]
+    step(spark.createDataFrame(fresh + [(20_000, "n", "text 7", t0 + timedelta(hours=3))], schema), 1)
+    # the late copy and hardly anything else is looked for: few buckets of 16 are read
+    assert 20_000 in {r.seq for r in looked[0]} and len(looked[0]) <= 4
+    step(spark.createDataFrame(first[:50] + fresh[:50], schema), 2)
+    assert {r.seq for r in looked[1]} == {r[0] for r in first[:50] + fresh[:50]}
+    found = sorted(r.seq for r in spark.read.parquet(base).collect())
+    assert found == [r[0] for r in first] + [r[0] for r in fresh]
+
+
+def test_catalogue_over_many_batches(spark, tmp_path, monkeypatch):
+    """More batches than lie between two whole filters; every copy is refused, a replay in between included."""
+    monkeypatch.setattr(J, "WHOLE_FILTER", 3)
+    base, t0, draw = str(tmp_path / "catalogue"), datetime(2024, 1, 1), random.Random(5)
+    schema = "seq long, node_id string, payload string, ts timestamp"
+    step, want, n = J.catalogue_step(spark, base), {}, 0
+    for batch in range(8):
+        rows = []
+        for _ in range(12):
+            rows.append((n, "n", f"p{draw.randrange(40)}", t0 + timedelta(seconds=n)))
+            n += 1
+        for seq, _, payload, _ in rows:
+            want.setdefault(payload, seq)
+        for _ in range(2 if batch == 4 else 1):
+            step(spark.createDataFrame(rows, schema), batch)
+    assert sorted(r.seq for r in spark.read.parquet(base).collect()) == sorted(want.values())
+
+
 def test_old_states_go(spark, tmp_path):
     out, state, t0 = str(tmp_path / "out"), str(tmp_path / "state"), datetime(2024, 1, 1)
     step = J.sigma_monitor_step(spark, out, state)
