@@ -1,4 +1,4 @@
-"""Quality suites: any number of checks over a table in one aggregation."""
+"""Quality suites: any number of checks over a table in one aggregation, and one more per unique column."""
 
 from __future__ import annotations
 
@@ -52,10 +52,13 @@ class Unique:
     def name(self) -> str:
         return f"unique({self.column})"
 
-    def measure(self) -> Column:
-        # Null counts as one value; count(distinct) alone ignores it.
-        nulls = F.max(F.col(self.column).isNull().cast("int"))
-        return F.count_distinct(self.column) + F.coalesce(nulls, F.lit(0))
+    def apart(self, df: DataFrame) -> Column:
+        """Different values, null among them, as a subquery over this column alone.
+
+        Several distinct counts in one aggregation would send every row once for each of them;
+        here a column is read and dealt out by itself, its values combined before that.
+        """
+        return df.select(self.column).distinct().agg(F.count(F.lit(1))).scalar()
 
     def verdict(self, found: Column, rows: Column) -> tuple[Column, Column, str]:
         return found == rows, F.format_string("%d/%d unique", found, rows), "100% unique"
@@ -125,9 +128,11 @@ Check = NotNull | Unique | Pattern | RowCount | ColumnOrder
 def run_suite(df: DataFrame, dataset: str, checks: Sequence[Check]) -> DataFrame:
     """One row per check, with the totals and sigma of the suite on every row."""
     aggregates = [F.count(F.lit(1)).alias("total_rows")]
-    aggregates += [check.measure().alias(f"m{i}") for i, check in enumerate(checks)]
+    aggregates += [check.measure().alias(f"m{i}") for i, check in enumerate(checks) if not isinstance(check, Unique)]
     rows = F.col("total_rows")
-    measured = df.agg(*aggregates).withColumns({
+    measured = df.agg(*aggregates)
+    apart = {f"m{i}": check.apart(df) for i, check in enumerate(checks) if isinstance(check, Unique)}
+    measured = (measured.withColumns(apart) if apart else measured).withColumns({
         f"s{i}": check.score(F.col(f"m{i}"), rows) for i, check in enumerate(checks) if hasattr(check, "score")
     })
     results = []

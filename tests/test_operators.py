@@ -497,3 +497,16 @@ def test_ask_filters_before_it_limits(spark):
     registry = spark.sql("SELECT 'p' AS id, array('DPDP_2023') AS laws, 'healthy' AS status, 5.5D AS sigma, 1 AS runs")
     assert questions.ask("show dpdp compliance", registry, events)[2].count() == 1
     assert questions.ask("show dpdp compliance", registry, events, newest=20)[2].count() == 0
+
+
+def test_many_unique_columns_without_expansion(spark):
+    n = 20
+    rows = [tuple(None if (i + k) % 50 == 0 and k % 3 == 0 else i % (40 + k * 10) for k in range(n)) for i in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} int" for k in range(n)))
+    report = quality.run_suite(df, "wide", [quality.Unique(f"c{k}") for k in range(n)] + [quality.NotNull("c0"), quality.RowCount(1)])
+    got = {r.check: (r.passed, r.actual) for r in report.collect()}
+    for k in range(n):
+        different = len({row[k] for row in rows})
+        assert got[f"unique(c{k})"] == (different == 200, f"{different}/200 unique")
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
+    assert quality.run_suite(df.limit(0), "none", [quality.Unique("c0"), quality.Unique("c1")]).first().actual == "0/0 unique"
