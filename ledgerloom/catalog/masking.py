@@ -351,3 +351,23 @@ SELECT payload_id, sha256(payload) AS content_hash, CASE WHEN b = 0 THEN false E
 FROM (SELECT payload_id, payload, format, {_SIZE} AS b, {_GAPS} AS g, length(payload) - length(replace(payload, chr(10), '')) + 1 AS l FROM payloads)""")
 def c12(t):
     return quality.gate_payloads(t("payloads")).select("payload_id", "content_hash", "accepted")
+
+
+@query("s5_payload_rows", """SELECT c_nationkey AS nation, c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey % 3 = 0 THEN concat('says "', lower(c_mktsegment), '",', chr(10), 'and more') END AS note FROM customer""")
+def s5(t):
+    """A csv body for every nation, each with its own columns in its own order, read back."""
+    from ledgerloom.sources.files import parse_payloads
+
+    key, name, balance = F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.col("c_acctbal").cast("string")
+    note = F.concat(F.lit('"says ""'), F.lower("c_mktsegment"), F.lit('"",\nand more"'))
+    layouts = [("c_custkey,note,c_name,c_acctbal", (key, note, name, balance)), ("c_acctbal,c_name,unknown,c_custkey", (balance, name, F.lit("x"), key)),
+               ("c_name,c_custkey,c_acctbal", (name, key, balance))]
+    kind = F.col("c_nationkey") % 3
+    line, header = F, F
+    for i, (names, cells) in enumerate(layouts):
+        line, header = line.when(kind == i, F.concat_ws(",", *cells)), header.when(kind == i, F.lit(names))
+    # bodies are written in parts of a hundred customers
+    bodies = t("customer").select(F.col("c_nationkey").alias("nation"), F.expr("c_custkey div 100").alias("part"), header.alias("header"), line.alias("line"))
+    bodies = bodies.groupBy("nation", "part", "header").agg(F.collect_list("line").alias("lines")).select(
+        "nation", F.concat("header", F.lit("\n"), F.array_join("lines", "\r\n")).alias("payload"))
+    return parse_payloads(bodies, "csv", "c_custkey bigint, c_name string, c_acctbal double, note string").drop("payload")

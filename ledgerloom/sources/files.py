@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -66,17 +66,51 @@ def write_lineage_sidecar(spark: SparkSession, text: str, run_path: str, name: s
     return path
 
 
-def parse_payloads(df: DataFrame, fmt: str, schema: str) -> DataFrame:
-    """Rows inside a text payload: csv bodies line by line, json one object per payload.
+# A record up to a line end outside quotes, and a field with the comma behind it. Quoted parts are taken whole, an open one
+# to the end; nothing is gone back over, so long fields cost no stack.
+_RECORD = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"|\z)|[^"\r\n]++)++'
+_FIELD = r'("[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+),'
 
-    Parquet and Avro payloads are files and are read as such with ``read_files``.
+
+def _csv_fields(record: Column) -> Column:
+    """Texts of a record's fields: an empty one is null, a quoted one loses its quotes."""
+
+    def plain(field: Column) -> Column:
+        quoted = F.replace(F.regexp_replace(field, r'(?s)\A"(.*?)"?\z', "$1"), F.lit('""'), F.lit('"'))
+        return F.when(field.startswith('"'), quoted).when(field != "", field)
+
+    quotes = F.length(record) - F.length(F.replace(record, F.lit('"'), F.lit("")))
+    closed = F.concat(record, F.when(quotes % 2 == 1, F.lit('",')).otherwise(F.lit(",")))
+    return F.transform(F.regexp_extract_all(closed, F.lit(_FIELD), F.lit(1)), plain)
+
+
+def _csv_rows(df: DataFrame, schema: T.StructType, payload: str) -> DataFrame:
+    """A row for each record after the header, which names the columns of its own body."""
+    records = F.regexp_extract_all(F.ltrim(F.col(payload), F.lit("\ufeff")), F.lit(_RECORD), F.lit(0))
+    split = df.withColumn("_records", records).withColumn("_header", F.transform(_csv_fields(F.get("_records", F.lit(0))), lambda f: F.trim(f)))
+    lines = split.select(*df.columns, "_header", F.explode(F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))).alias("_line"))
+    fields = lines.withColumn("_fields", _csv_fields(F.col("_line")))
+    values = []
+    for field in schema:
+        at = F.array_position("_header", field.name)
+        # of no such column, or in a record that is too short, the value is unknown
+        text = F.when(at > 0, F.get("_fields", (at - 1).cast("int")))
+        values.append((text if isinstance(field.dataType, T.StringType) else F.trim(text).try_cast(field.dataType)).alias(field.name))
+    return fields.select(*df.columns, *values)
+
+
+def parse_payloads(df: DataFrame, fmt: str, schema: str, payload: str = "payload") -> DataFrame:
+    """Rows inside a text payload: csv bodies record by record, json one object per payload.
+
+    A csv body is read by its own header, whatever order or columns it has: columns of ``schema`` it
+    lacks are null, others are left out. Quoted fields may hold commas, line ends and doubled quotes; empty
+    lines are skipped and values that do not fit their type are null. Parquet and Avro payloads are files
+    and are read as such with ``read_files``.
     """
     if fmt == "json":
-        return df.withColumn("row", F.from_json("payload", schema)).select("*", "row.*").drop("row")
+        return df.withColumn("row", F.from_json(payload, schema)).select("*", "row.*").drop("row")
     if fmt == "csv":
-        lines = df.withColumn("_line", F.explode(F.filter(F.split("payload", "\r?\n"), lambda _, i: i > 0)))
-        filled = lines.filter(F.col("_line") != "")
-        return filled.withColumn("row", F.from_csv("_line", F.lit(schema))).select("*", "row.*").drop("row", "_line")
+        return _csv_rows(df, T.StructType.fromDDL(schema), payload)
     raise ValueError(f"{fmt} payloads are files; use read_files")
 
 

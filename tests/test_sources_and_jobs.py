@@ -331,3 +331,32 @@ def test_profiles_leave_violation_records(tables):
         summary = {r.law: r.violations for r in C.framework_summary(R.rule_catalogue(made.sparkSession), made).collect()}
         exploded = {r.law: r["count"] for r in made.select(F.inline("violations")).groupBy("law").count().collect()}
         assert {k: v for k, v in summary.items() if v} == exploded and len(exploded) == 2
+
+
+def test_csv_payloads_by_their_own_header(spark):
+    import csv
+    import io
+    import random
+
+    draw = random.Random(2)
+    cells = ["", "x", "a,b", 'say "hi"', "two\nlines", "cr\r\nlf", " padded ", '"', ",", "é\u00fc", "1,5", '""', "long " * 5000]
+    want, bodies = [], []
+    for k in range(40):
+        names = draw.sample(["a", "b", "c", "other"], draw.randrange(1, 5))
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=draw.choice(["\n", "\r\n"]))
+        writer.writerow(names)
+        for n in range(draw.randrange(5)):
+            row = {name: str(n) if name == "a" else draw.choice(cells) for name in names}
+            if list(row.values()) == [""]:
+                row[names[0]] = "x"  # a record of one empty field is an empty line
+            writer.writerow(row.values())
+            if draw.random() < 0.2:
+                out.write("\n")
+            want.append((k, int(row["a"]) if "a" in row else None, row.get("b") or None, row.get("c") or None))
+        bodies.append((k, ("\ufeff" if k == 3 else "") + out.getvalue().rstrip("\r\n" if k % 2 else "")))
+    bodies += [(100, None), (101, ""), (102, "a,b"), (103, 'a,b\n1,"never closed\n2,x'), (104, "b,a,b\nfirst,7,second\nshort"), (105, "a,b\nnot a number,y\n3")]
+    want += [(103, 1, "never closed\n2,x", None), (104, 7, "first", None), (104, None, "short", None), (105, None, "y", None), (105, 3, None, None)]
+    df = spark.createDataFrame(bodies, "k int, payload string")
+    found = files.parse_payloads(df, "csv", "a int, b string, c string").select("k", "a", "b", "c").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
