@@ -82,6 +82,19 @@ def x22(t):
     )
 
 
+_API = (
+    f"CASE {_LANGUAGE} WHEN 'te' THEN {_replaced('text', T.API_PHRASES['te'])} "
+    f"WHEN 'hi' THEN {_replaced('text', T.API_PHRASES['hi'])} ELSE text END"
+)
+
+
+@query("x22_translate_short", f"SELECT text_id, {_API} AS translated FROM texts")
+def x22b(t):
+    """The short phrase list of the plain API."""
+    language = T.detect_language(F.col("text"))
+    return t("texts").select("text_id", T.translate_phrases(F.col("text"), language, T.API_PHRASES).alias("translated"))
+
+
 @query("x23_safe_identifier", "SELECT text_id, regexp_replace(text, '[^a-z0-9_]', '', 'g') AS identifier FROM texts")
 def x23(t):
     return t("texts").select("text_id", T.safe_identifier(F.col("text")).alias("identifier"))
