@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -643,3 +644,34 @@ def test_license_rules_need_no_optional_word(documents):
         line = " " + " ".join(LETTER_WORDS.findall(text.translate(LOWER))) + " "
         for rule in licenses.rules():
             assert not re.search(rule.pattern, line) or any(k in line for k in rule.keyword.split("|"))
+
+
+def test_license_detections_match_brute_force(documents):
+    draw = random.Random(5)
+    pieces = [
+        "mit license", "licensed under the", "under the terms of the", "gnu general public license version 3", "GPLv2", "SPDX-License-Identifier", "apache license version 2.0",
+        "cc by nc sa 4.0", "BSD-3-Clause license", "released under the", "all rights reserved", "word", "in the public domain", "creative commons attribution share alike 4.0",
+        licenses._MIT, licenses._BSD, "subject to the following conditions", "neither the name",
+    ]
+    texts = [" ".join(draw.choice(pieces) for _ in range(draw.randint(0, 30))) for _ in range(60)]
+    found = {r.id: [tuple(d) for d in r.detections] for r in licenses.scanned(documents(list(enumerate(texts)))).collect()}
+    every = [(n, rule, re.compile(rule.pattern)) for n, rule in enumerate(licenses.rules())]
+    kept = 0
+    for i, text in enumerate(texts):
+        line = " " + " ".join(LETTER_WORDS.findall(text.translate(LOWER))) + " "
+        hits = [(m.start(), m.end(), rule.priority, -n, rule) for n, rule, pattern in every for m in pattern.finditer(line)]
+        beats = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[2], e[1] - e[0], e[3]) > (d[2], d[1] - d[0], d[3])
+        want = sorted((d[0], d[1], d[4].label, d[4].score) for d in hits if not any(beats(e, d) for e in hits))
+        assert sorted((start, end, label, score) for label, start, end, score in found[i]) == want
+        assert [d[1] for d in found[i]] == sorted(d[1] for d in found[i])
+        kept += len(want)
+    assert kept > 200
+
+
+def test_license_mentions_in_one_text_do_not_multiply(documents):
+    texts = [(1, "mit license " * 50_000), (2, "released under the mit license, apache license version 2.0; " * 10_000), (3, "gpl " * 60_000)]
+    licenses.scanned(documents([(0, "mit license")])).collect()
+    begun = time.monotonic()
+    found = {r.id: len(r.detections) for r in licenses.scanned(documents(texts)).collect()}
+    assert found == {1: 50_000, 2: 20_000, 3: 60_000}
+    assert time.monotonic() - begun < 120  # all pairs of one text would take hours
