@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.governance import _FRAMEWORKS
@@ -10,6 +12,9 @@ from ledgerloom.functions import hashing as H
 from ledgerloom.functions.hashing import sha256
 from ledgerloom.operators import audit, catalogue as K, operations as O, registry as reg, rules as R
 from ledgerloom.plans import questions, templates
+from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.sources import external
+from ledgerloom.sources.pages import write_pages
 
 _PARTICLES = """particles AS (SELECT content_hash, any_value(size_bytes) AS size_bytes, arg_min(sigma, seq) AS sigma,
     string_agg(node_id, ',' ORDER BY seq) AS homes, CAST(sum(puts) AS BIGINT) AS puts
@@ -336,6 +341,43 @@ def g7b(t):
     return audit.next_cursor(t("audit_events"), "100").withColumn("next_cursor", F.coalesce("next_cursor", F.lit("")))
 
 
+def event_pages(t: Tables):
+    """The events in order, written once."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/pages-{uuid.uuid4().hex}"
+    return write_pages(t("audit_events").select("ts", "tx", "action", "dataset"), [F.col("ts"), F.col("tx")], folder)
+
+
+_PLACED = "placed AS (SELECT tx, action, dataset, row_number() OVER (ORDER BY ts, tx) - 1 AS place, count(*) OVER () AS n FROM audit_events)"
+
+
+@query("g6_indexed_page", f"WITH {_PLACED} SELECT tx, action, dataset FROM placed WHERE place >= n // 2 // 50 * 50 AND place < n // 2 // 50 * 50 + 50")
+def g6d(t):
+    index = event_pages(t)
+    middle = index.page_info().first()["total"] // 2 // 50 + 1
+    return index.page(middle, 50).select("tx", "action", "dataset")
+
+
+@query("g7_indexed_cursor", f"WITH {_PLACED} SELECT tx, action, dataset FROM placed WHERE place >= n * 9 // 10 AND place < n * 9 // 10 + 100")
+def g7c(t):
+    index = event_pages(t)
+    late = str(index.next_cursor().first()["total"] * 9 // 10)
+    return index.page_cursor(late, 100).select("tx", "action", "dataset")
+
+
+_BODY = """CASE WHEN length(run_id) % 2 = 0 AND pipeline_id LIKE '%7' THEN concat('{"pipeline_id": "', pipeline_id) WHEN pipeline_id LIKE '%3' THEN 'not a body'
+  ELSE concat('{"run_id": "', run_id, '", "pipeline_id": "', pipeline_id, '"}') END"""
+
+
+@query("s11_decode_bodies", f"""SELECT CASE WHEN body LIKE '%}}' THEN pipeline_id END AS pipeline_id, CASE WHEN body LIKE '%}}' THEN run_id END AS run_id,
+  CASE WHEN body NOT LIKE '%}}' THEN body END AS unreadable FROM (SELECT *, {_BODY} AS body FROM measurements)""")
+def s11(t):
+    bodies = t("measurements").select(F.expr(_BODY).alias("value"))
+    # A cut body gives the fields before the cut; only whole ones count here.
+    decoded = external.decode(bodies, external.TOPICS["quality"])
+    whole = F.col("unreadable").isNull()
+    return decoded.select(F.when(whole, F.col("pipeline_id")).alias("pipeline_id"), F.when(whole, F.col("run_id")).alias("run_id"), "unreadable")
+
+
 # ---- operations -------------------------------------------------------------------------
 
 

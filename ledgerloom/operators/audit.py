@@ -96,7 +96,7 @@ def report_rows(events: DataFrame, widths: dict[str, int] | None = None) -> Data
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
-    """Page ``number`` (from 1). Meant for shallow pages; deep ones should use ``page_after``."""
+    """Page ``number`` (from 1). Meant for shallow pages; deep ones use ``sources.pages`` or ``page_after``."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

@@ -35,9 +35,35 @@ def kafka_options(servers: str, topic: str, starting: str = "earliest", per_trig
     }
 
 
+#: Column that holds what a body said when it could not be read.
+UNREADABLE = "unreadable"
+
+
 def decode(df: DataFrame, schema: str) -> DataFrame:
-    """Message bodies (``value`` as text or bytes) to columns; unreadable bodies give nulls."""
-    return df.select(F.from_json(F.col("value").cast("string"), schema).alias("body")).select("body.*")
+    """Message bodies (``value`` as text or bytes) to columns, and ``unreadable``.
+
+    A body that is no JSON object, or has a value of another type than its column, is kept as
+    text in ``unreadable``, which is null for readable bodies; a message without a body has an empty one. Fields
+    that could be read are kept beside it. Bodies without a field, or with more of them, are readable.
+    """
+    body = F.col("value").cast("string")
+    options = {"columnNameOfCorruptRecord": UNREADABLE, "mode": "PERMISSIVE"}
+    decoded = F.from_json(body, f"{schema}, {UNREADABLE} string", options)
+    # An array of objects is read as its first one; a literal ``null`` as no object at all.
+    wrong = ~F.coalesce(F.startswith(F.btrim(body), F.lit("{")), F.lit(False))
+    return df.select(decoded.alias("body"), F.when(wrong, F.coalesce(body, F.lit(""))).alias("_wrong")).select(
+        "body.*", "_wrong"
+    ).withColumn(UNREADABLE, F.coalesce("_wrong", UNREADABLE)).drop("_wrong")
+
+
+def readable(decoded: DataFrame) -> DataFrame:
+    """The messages that could be read, without the column of the others."""
+    return decoded.filter(F.col(UNREADABLE).isNull()).drop(UNREADABLE)
+
+
+def unreadable(decoded: DataFrame) -> DataFrame:
+    """Bodies for a dead letter table."""
+    return decoded.filter(F.col(UNREADABLE).isNotNull()).select(F.col(UNREADABLE).alias("value"))
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, kind: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.jobs import MaskingJob, catalogue_job, ingest_job, mask_job
-from ledgerloom.sources import external, files, ledger
+from ledgerloom.sources import external, files, ledger, pages
 
 
 @pytest.fixture
@@ -115,6 +115,53 @@ def test_external_options(spark):
     assert (rows[0].pipeline_id, rows[0].sigma_level) == ("p", 5.5) and rows[1].pipeline_id is None
 
 
+def test_unreadable_bodies_are_told_apart(spark):
+    bodies = [
+        '{"pipeline_id": "p", "sigma_level": 5.5, "more": 1}', "nonsense", None, "", "{}", '{"pipeline_id": "q", "sigma_level": "high"}',
+        '[{"pipeline_id": "r"}]', "null", ' {"pipeline_id": null}', '{"pipeline_id": "cut',
+    ]
+    raw = spark.createDataFrame([(None if b is None else b.encode(),) for b in bodies], "value binary")
+    decoded = external.decode(raw, external.TOPICS["quality"])
+    assert [r.unreadable for r in decoded.collect()] == [
+        None, "nonsense", "", "", None, bodies[5], bodies[6], "null", None, bodies[9],
+    ]
+    assert [r.pipeline_id for r in external.readable(decoded).collect()] == ["p", None, None]
+    assert external.unreadable(decoded).count() == 7 and "unreadable" not in external.readable(decoded).columns
+
+
+def files_read(df):
+    return {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+
+
+def test_page_index(spark, tmp_path):
+    rows = [(None if i % 50 == 0 else i * 7919 % 1000 // 3, i) for i in range(1000)]  # ties and null keys
+    df = spark.createDataFrame(rows, "k int, id int")
+    order = [F.col("k").desc(), F.col("id")]
+    index = pages.write_pages(df, order, str(tmp_path / "index"), ranges=8)
+    want = [tuple(r) for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 10), (0, 0), (120, 3), (95, 300), (990, 50), (999, 1), (1000, 5), (4000, 5), (0, 2000)):
+        assert [tuple(r) for r in index.rows_at(offset, limit).collect()] == want[offset : offset + limit]
+    assert [tuple(r) for r in index.page(20, 50).collect()] == want[950:] and index.page(21, 50).count() == 0
+    assert tuple(index.page_info(19, 50).first()) == (1000, 19, 50, True) and not index.page_info(20, 50).first().has_next
+    assert [tuple(r) for r in index.page_cursor("x", 2).collect()] == want[:2]
+    assert index.next_cursor("990", 5).first().next_cursor == "995" and index.next_cursor("995", 5).first().next_cursor is None
+    assert len(files_read(index.rows_at(0, 1000))) == 8
+    for held in index.ranges().collect():
+        inside = index.rows_at(held.before + 1, held.rows - 2)
+        assert files_read(inside) == {f"_range={held._range}"}  # a page inside one range reads that range alone
+        assert "Exchange hashpartitioning" not in inside._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        index.rows_at(-1, 5)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        pages.write_pages(df, order, str(tmp_path / "index"))
+
+
+def test_page_index_of_an_empty_table(spark, tmp_path):
+    index = pages.write_pages(spark.createDataFrame([], "k int, id int"), [F.col("k")], str(tmp_path / "index"))
+    assert index.page(1, 5).columns == ["k", "id"] and index.page(1, 5).count() == 0
+    assert tuple(index.page_info().first()) == (0, 1, 50, False) and index.next_cursor().first().next_cursor is None
+
+
 def test_ingest_job_partitions_its_input(tables):
     payloads = tables("payloads")
     out = ingest_job(payloads)
