@@ -28,16 +28,32 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Fewest characters of a random part, and how much higher its mean ratio is to be without a digit.
 SHORTEST, LETTERS_MORE = 16, 0.6
-#: Words from which the models can tell words of one case from random letters of one case.
-KNOWN_WORDS = 200
+#: Ordinary words that every sample of identifiers holds, so that small tables are judged like large ones.
+COMMON_WORDS = tuple(
+    """about account after against amount another because before between business change children company could country
+    customer development different during every family first following government group however important information
+    interest knowledge language little market member money number other people place problem program public question
+    report school service should social state system their there things think through under university water where
+    which without world would young
+    aber alles andere arbeit beispiel bereits besonders deutsch durch eigentlich entwicklung erste frage geschichte
+    gesellschaft gewesen heute immer jahre jetzt kinder leben machen menschen nicht schon seine sprache stadt unter
+    verschieden viele wieder wirtschaft wissenschaft zeit zwischen
+    alors aussi autre avant avoir beaucoup chaque comme compte contre depuis deux encore enfant entre exemple faire
+    femme gouvernement homme jamais jour lequel leur monde notre nouveau parce pays pendant personne peut place
+    plusieurs pour premier quelque question rien sans service temps toujours travail ville
+    ahora algunos antes aunque cada ciudad como contra cuando cuenta desde desarrollo donde durante ejemplo entonces
+    equipo estado gobierno grupo hacer hasta historia hombre lugar manera mayor mejor mientras momento mucho mujer
+    mundo nuestro nuevo otros palabra parte persona poder primero problema pueblo servicio siempre sobre tiempo todos
+    trabajo vida""".split()
+)
 _CODE = {c: i + 1 for i, c in enumerate(_SYMBOLS)}
+_KINDS = np.array([0] + [1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 for c in _SYMBOLS])
 
 
 class MarkovPair:
     """Log-likelihood ratio of a second-order model of random strings over one of identifiers."""
 
-    def __init__(self, random_strings: Iterable[str], identifiers: Iterable[str], smoothing: float = 0.05, known: int = KNOWN_WORDS):
-        self.known = known
+    def __init__(self, random_strings: Iterable[str], identifiers: Iterable[str], smoothing: float = 0.1):
         self.ratio = (self._fit(random_strings, smoothing) - self._fit(identifiers, smoothing)).astype(np.float32)
 
     @staticmethod
@@ -50,10 +66,15 @@ class MarkovPair:
         for text in samples:
             c = self._codes(text)
             np.add.at(three, (c[:-2], c[1:-1], c[2:]), 1)
-        two, one = three.sum(0), three.sum((0, 1))
-        base = (one + 1) / (one.sum() + n)
-        two = (two + 8 * smoothing * n * base) / (two.sum(-1, keepdims=True) + 8 * smoothing * n)
-        return np.log((three + smoothing * n * two[None]) / (three.sum(-1, keepdims=True) + smoothing * n))
+        two, one = three.sum(0), three.sum((0, 1)) + 1
+        # what the context says of the class, lower, upper, digit or sign, is known from few words
+        kinds = np.eye(_KINDS.max() + 1)[_KINDS]
+        inside = one / (kinds @ (kinds.T @ one))
+        change = np.einsum("abc,ai,bj,ck->ijk", three, kinds, kinds, kinds, optimize=True) + 1
+        change = change / change.sum(-1, keepdims=True)
+        prior = change[_KINDS[:, None, None], _KINDS[None, :, None], _KINDS[None, None, :]] * inside
+        two = (two[None] + 8 * smoothing * n * prior) / (two.sum(-1, keepdims=True)[None] + 8 * smoothing * n)
+        return np.log((three + smoothing * n * two) / (three.sum(-1, keepdims=True) + smoothing * n))
 
     def ratios(self, text: str) -> np.ndarray:
         """The ratio of each character after the two before it."""
@@ -65,11 +86,15 @@ class MarkovPair:
 
 
 def train(words: Iterable[str], seed: int = 7, size: int = 4000) -> MarkovPair:
-    """Models of labelled samples: identifiers made of ``words``, and strings drawn with ``seed``."""
+    """Models of labelled samples: identifiers made of ``words`` and ``COMMON_WORDS``, and strings drawn with ``seed``.
+
+    Words as long as a candidate are left out, as they may be secrets. There are three identifiers for each
+    word, up to ``size`` of them: the same few words over and over would make the model too sure of them.
+    """
     draw = random.Random(seed)
-    words = sorted({w for w in words if re.fullmatch(r"[A-Za-z]{2,30}", w)}) or ["value", "name", "item"]
-    identifiers = list(words)
-    for _ in range(size):
+    words = sorted({w for w in words if 2 <= len(w) < SHORTEST and _PLAIN_WORD.fullmatch(w)} | set(COMMON_WORDS))
+    identifiers = [form for w in words for form in (w.lower(), w.capitalize(), w.upper())]
+    for _ in range(min(size, 3 * len(words))):
         parts = draw.choices(words, k=draw.randint(2, 4))
         style = draw.randrange(4)
         if style == 0:
@@ -87,7 +112,7 @@ def train(words: Iterable[str], seed: int = 7, size: int = 4000) -> MarkovPair:
     letters, digits = _SYMBOLS[:52], _SYMBOLS[52:62]
     alphabets = ("0123456789abcdef", letters[26:] + "234567", letters + digits, letters + digits + "+/", letters + digits + "_-")
     strings = ["".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 48))) for _ in range(size)]
-    return MarkovPair(strings, identifiers, known=len(words))
+    return MarkovPair(strings, identifiers)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -133,8 +158,6 @@ def _random_parts(text: str, start: int, end: int, models: MarkovPair, least: fl
         rest, (s, e) = (s, e), _grown(core, s, e, part)
         todo += [(rest[0], s), (e, rest[1])]
         if not any(c.isdigit() for c in core[s:e]):  # letters alone: words of languages the sample may lack
-            if models.known < KNOWN_WORDS and core[s + 1 : e] in (core[s + 1 : e].lower(), core[s + 1 : e].upper()):
-                continue
             part = _best_part(ratios[s:e], least + LETTERS_MORE, whole=True)
             if part is None:
                 continue
@@ -239,7 +262,8 @@ def redact(
 ) -> DataFrame:
     """Rows of ``docs``, all columns, with the spans that ``find`` finds replaced by ``[secret]``.
 
-    ``length_col``, if there is one, is set to the new length where a text changes.
+    ``length_col``, if there is one, is set to the new length where a text changes. Null texts stay null,
+    repeated rows stay, texts of any length are read whole; an empty table stays empty.
     """
     models = train(sample_words(docs, text_col, training_rows))
     place = docs.columns.index(text_col)
