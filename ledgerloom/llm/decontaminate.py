@@ -103,7 +103,11 @@ def keep_clean(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", span: int = 10,
 ) -> DataFrame:
-    """Rows of ``docs``, all columns, that ``contaminated`` finds clean."""
+    """Rows of ``docs``, all columns, that ``contaminated`` finds clean.
+
+    Null and empty texts have no words and stay; of rows with one id each is judged by its own text; repeated
+    rows stay or go together. Without items all rows stay; an empty table stays empty.
+    """
     key = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("digest"))
     found = contaminated(docs.select(key.alias("key"), docs[text_col].alias("text")), items, "key", "text", item_col, item_text_col, span)
     hit = cut_lineage(found.where("contaminated").select(F.col("id.id").alias("_id"), F.col("id.digest").alias("_digest")).distinct())

@@ -257,7 +257,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``detections`` are ``(label, start, end, score)`` of signature rules in the text of words
     joined by spaces, by place. A rule is tried where one of its keywords occurs, in a word or across words; a detection goes when another
     contains it that has the higher priority, or the same and more characters, or the same span
-    and an earlier rule. Null and empty texts have no words; repeated rows stay; no shuffle.
+    and an earlier rule. Null and empty texts have no words; repeated rows stay; no shuffle; an
+    empty table gives no rows.
     """
     rows = id_and_text(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     # Letters beyond ASCII may change case here as well; none of them becomes a letter of a phrase or rule.

@@ -268,7 +268,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", traini
     Both are ordered by kind as in ``KINDS``, then start. Base spans come from the fixed patterns;
     the field adds entities outside them. Words of its training sentences come from
     ``training_rows`` texts; everything else looks at whole texts. Texts without a digit or ``@``
-    have no span; null texts are empty; repeated rows stay.
+    have no span; null texts are empty; repeated rows stay; an empty table gives no rows.
     """
     model = train(sample_words(docs, text_col, training_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size

@@ -57,6 +57,14 @@ def test_texts_without_secrets_gain_none(documents, plain):  # noqa: F811
     assert sum(len(r.spans) - len(r.base) for r in secrets.find(documents(plain)).collect()) == 0
 
 
+def test_redaction_of_odd_tables(documents):  # noqa: F811
+    assert secrets.redact(documents([])).count() == 0
+    long = "plain words " * 200_000 + "x7Kd93hQpZ2mVt81LcRw04bN end"
+    rows = [(1, None), (2, ""), (3, "token=abcdef123"), (3, "token=abcdef123"), (None, "no id"), (4, long)]
+    found = sorted((r.doc_id or 0, r.text or "", r.text is None) for r in secrets.redact(documents(rows)).collect())
+    assert found == [(0, "no id", False), (1, "", True), (2, "", False), *2 * [(3, "[secret]", False)], (4, long[:2_400_000] + "[secret] end", False)]
+
+
 def luhn(draw, size):
     digits = [draw.randrange(10) for _ in range(size - 1)]
     twice = [2 * d - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(reversed(digits))]
