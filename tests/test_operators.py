@@ -480,6 +480,19 @@ def test_plans(tables):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)]" in plan(events)
 
 
+def test_rules_are_the_side_that_is_broadcast(spark, tables):
+    """Requests are neither broadcast nor dealt out by their few laws, whatever their number."""
+    odd = ("R-1", "DPDP_2023", None, None, None, None, [], None, True, 2, None, None, True, None)
+    for rules in (R.RULES, [*R.RULES, odd], [odd], []):
+        made = R.rule_catalogue(spark, rules)
+        assert made.schema == spark.createDataFrame(rules, R.RULE_SCHEMA).schema
+        assert made.collect() == spark.createDataFrame(rules, R.RULE_SCHEMA).collect()
+    requests = tables("transfer_requests")
+    for asked in (requests, requests.withColumn("signature_count", F.col("signature_count") + 1).repartition(3)):
+        shown = C.evaluate_rules(C.applicable_rules(asked, R.rule_catalogue(spark)))._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in shown and "BuildLeft" not in shown and "hashpartitioning" not in shown
+
+
 def test_sales_templates_scan_only_what_they_need(tables):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     from ledgerloom.plans import templates
