@@ -139,11 +139,11 @@ def decide(requests: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
         *[named(code, field).alias(field) for field in ("rule_id", "law", "law_section", "description", "penalty")],
         (code % 3 == FIXED).alias("auto_fixed"),
     ))
-    return _verdict(out, causes, violations, fixes).drop("_tested", "_broken", "_open", *[f"_law{i}" for i in range(len(per_law))])
+    return _verdict(out, F.size("_tested"), causes, violations, fixes).drop("_tested", "_broken", "_open", *[f"_law{i}" for i in range(len(per_law))])
 
 
-def _verdict(df: DataFrame, causes: Column, violations: Column, fixes: Column) -> DataFrame:
-    """Decision columns from the arrays ``_tested``, ``_broken`` and ``_open``."""
+def _verdict(df: DataFrame, tested: Column, causes: Column, violations: Column, fixes: Column) -> DataFrame:
+    """Decision columns from the number of rules tested and the arrays ``_broken`` and ``_open``."""
     blocked, any_broken = F.size("_open") > 0, F.size("_broken") > 0
     fixed = F.size("_broken") - F.size("_open")
     return df.withColumns({
@@ -152,8 +152,8 @@ def _verdict(df: DataFrame, causes: Column, violations: Column, fixes: Column) -
         "reason": F.when(blocked, F.concat(F.lit("BLOCKED by: "), F.array_join(causes, ", ")))
         .when(any_broken, F.format_string("Allowed after %d auto-fixes applied", fixed))
         .otherwise("All compliance rules satisfied"),
-        "rules_evaluated": F.size("_tested"),
-        "rules_passed": F.size("_tested") - F.size("_open"),
+        "rules_evaluated": tested,
+        "rules_passed": tested - F.size("_open"),
         "violations": violations, "auto_fixes": fixes,
     })
 
@@ -161,19 +161,18 @@ def _verdict(df: DataFrame, causes: Column, violations: Column, fixes: Column) -
 def decide_joined(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """The same decisions from a stored rule table of any size, by join and grouping.
 
-    A group is one request with the rules of its own jurisdictions, so no group is large.
+    A group is one request with the rules of its own jurisdictions, so no group is large. Only broken
+    rules are gathered, the others are counted.
     """
     requests = closed_requests(requests)
-    tested = F.struct(
-        "law_position", "rule_id", "law", "law_section", "description", "penalty", "fix",
-        (~F.col("passed")).alias("violated"),
-    )
+    broken = F.when(~F.col("passed"), F.struct("law_position", "rule_id", "law", "law_section", "description", "penalty", "fix"))
     per_request = evaluate_rules(applicable_rules(requests, rules)).groupBy("request_id").agg(
-        F.array_sort(F.collect_list(tested)).alias("_tested")
+        F.count(F.lit(1)).cast("int").alias("_tested"), F.array_sort(F.collect_list(broken)).alias("_broken")
     )
-    none = F.array().cast(per_request.schema["_tested"].dataType)
-    out = requests.join(per_request, "request_id", "left").withColumn("_tested", F.coalesce("_tested", none))
-    out = out.withColumn("_broken", F.filter("_tested", lambda v: v["violated"]))
+    none = F.array().cast(per_request.schema["_broken"].dataType)
+    out = requests.join(per_request, "request_id", "left").withColumns({
+        "_tested": F.coalesce("_tested", F.lit(0)), "_broken": F.coalesce("_broken", none),
+    })
     out = out.withColumn("_open", F.filter("_broken", lambda v: v["fix"] == ""))
     fixes = F.transform(F.filter("_broken", lambda v: v["fix"] != ""), lambda v: v["fix"])
     causes = F.transform("_open", lambda v: F.concat(v["rule_id"], F.lit(" ("), v["law_section"], F.lit(")")))
@@ -182,7 +181,7 @@ def decide_joined(requests: DataFrame, rules: DataFrame) -> DataFrame:
         *[v[field].alias(field) for field in ("rule_id", "law", "law_section", "description", "penalty")],
         (v["fix"] != "").alias("auto_fixed"),
     ))
-    return _verdict(out, causes, violations, fixes).drop("_tested", "_broken", "_open")
+    return _verdict(out, F.col("_tested"), causes, violations, fixes).drop("_tested", "_broken", "_open")
 
 
 def compliance_report(decisions: DataFrame) -> DataFrame:

@@ -493,6 +493,22 @@ def test_rules_are_the_side_that_is_broadcast(spark, tables):
         assert "BuildRight" in shown and "BuildLeft" not in shown and "hashpartitioning" not in shown
 
 
+def test_decide_joined_deals_out_by_request_alone(tables):
+    """No exchange by the few laws, no broadcast of requests; rules that pass are counted, not gathered."""
+    requests = tables("transfer_requests").limit(400)
+    twice = requests.unionByName(requests.filter("seq % 7 = 0")).withColumn("request_id", F.when(F.col("seq") % 50 != 0, F.col("request_id")))
+    decided = C.decide_joined(twice, R.rule_catalogue(tables.spark))
+    shown = decided._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in shown and "BuildLeft" not in shown and "hashpartitioning(law" not in shown
+    inline = {r.seq: r for r in C.decide(twice).collect()}
+    for row in decided.collect():
+        want, n = inline[row.seq], 2 if row.seq % 7 == 0 else 1
+        if row.request_id is None:  # nothing is known of it, as before
+            n = 0
+        assert (row.rules_evaluated, row.rules_passed) == (n * want.rules_evaluated, n * want.rules_passed)
+        assert sorted(v.rule_id for v in row.violations) == sorted(n * [v.rule_id for v in want.violations])
+
+
 def test_sales_templates_scan_only_what_they_need(tables):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     from ledgerloom.plans import templates
