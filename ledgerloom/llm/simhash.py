@@ -135,6 +135,12 @@ def clusters(points: DataFrame, **how) -> DataFrame:
     return points.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def print_groups(prints: DataFrame, distance: int) -> DataFrame:
+    """``(fp, root)`` for every fingerprint ``fp`` of ``prints``; equal roots: reachable over close links."""
+    points = prints.select(F.col("fp").alias("node"), "fp").distinct()
+    return cut_lineage(clusters(points, distance=distance, blocks=2 * distance, kept=distance)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3
 ) -> DataFrame:
@@ -146,8 +152,7 @@ def near_duplicates(
     null. Repeated rows stay. Other columns are not looked at; an empty table gives no rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, size))
-    points = prints.select(F.col("fp").alias("node"), "fp").distinct()
-    roots = cut_lineage(clusters(points, distance=distance, blocks=2 * distance, kept=distance)).withColumnRenamed("node", "fp")
+    roots = print_groups(prints, distance)
     firsts = prints.groupBy("fp").agg(F.min("id").alias("id")).join(roots, "fp")
     smallest = firsts.groupBy("root").agg(F.min("id").alias("component_id"))
     by_print = roots.join(smallest, "root").select("fp", "component_id")
@@ -185,7 +190,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, digest, node, n, keys, s0 ... )``: a hash and the size of the shingle set, its bands, a byte of every least hash."""
+    """``(id, digest, fp, node, n, keys, s0 ... )``: fingerprint, a hash and the size of the shingle set, its bands, a byte of every least hash."""
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     names = [f"s{i}" for i in range(BANDS * ROWS // 8)]
@@ -193,19 +198,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = batch.num_rows
-            node, n = np.zeros(count, np.uint64), np.zeros(count, np.int64)
+            fp, node, n = np.zeros(count, np.uint64), np.zeros(count, np.uint64), np.zeros(count, np.int64)
             keys, low = np.zeros((count, BANDS), np.uint64), np.zeros((count, BANDS * ROWS), np.uint8)
             for i, x in enumerate(batch.column("text").cast(pa.binary())):
-                hashes = shingles(x.as_py() or b"", size)
+                text = x.as_py() or b""
+                hashes = shingles(text, size)
                 least = least_hashes(hashes)
+                fp[i] = fingerprint(text)
                 node[i], n[i], keys[i], low[i] = xxhash.xxh64_intdigest(hashes.tobytes(), 42), len(hashes), band_keys(least), least.astype(np.uint8)
             words = low.view(np.int64)
             listed = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * BANDS, pa.array(keys.view(np.int64).ravel()))
-            columns = [pa.array(node.view(np.int64)), pa.array(n), listed, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names)))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], ["id", "digest", "node", "n", "keys", *names])
+            columns = [pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n), listed, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], ["id", "digest", "fp", "node", "n", "keys", *names])
 
     rows = rows.select("id", F.xxhash64("text").alias("digest"), "text")
-    return rows.mapInArrow(run, f"id {kind}, digest bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(run, f"id {kind}, digest bigint, fp bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def least_agreement(similarity: float, deviations: float = 5.5) -> int:
@@ -301,6 +308,13 @@ def exact_links(texts: DataFrame, least: int, similarity: float, size: int, cell
     return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def print_links(prints: DataFrame, distance: int) -> DataFrame:
+    """``(a, b)``: a star over the nodes whose fingerprints close links join; a node may have several fingerprints."""
+    placed = prints.select("node", "fp").distinct().join(print_groups(prints, distance), "fp").select("node", "root").distinct()
+    least = placed.groupBy("root").agg(F.min("node").alias("b"))
+    return placed.join(least, "root").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """The rows of each cell; cells come in order, and one may go on in the next batch."""
     rest, rest_key = [], None
@@ -322,19 +336,22 @@ def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tabl
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8,
+    distance: int | None = None,
 ) -> DataFrame:
     """Rows of ``docs``, all columns, with one row left of each group of near duplicates.
 
     Texts are near duplicates where the sets of their lower-cased ``size``-word shingles have a Jaccard
     similarity of ``similarity`` or more, counted on the sets themselves; groups are chains of such pairs.
+    With a ``distance`` texts whose fingerprints differ in that many bits or fewer are near duplicates too,
+    as in ``near_duplicates``, and chains run over both kinds of pairs.
     Pairs are looked for among sets that share one of ``BANDS`` bands of ``ROWS`` least hashes and have
     ``least_agreement`` of all; a pair at similarity 0.8 fails that with a chance below one in a million.
     The row with the smallest id stays, nulls last, ties by a hash of the text; of wholly equal rows
     any one. Null and empty texts form one group. An empty table stays empty.
     """
     prints = cut_lineage(signatures(docs, id_col, text_col, size))
-    points = prints.drop("id", "digest").dropDuplicates(["node"])
+    points = prints.drop("id", "digest", "fp").dropDuplicates(["node"])
     least = least_agreement(similarity)
     loose = cut_lineage(components(band_links(points, least), "a", "b"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
@@ -347,7 +364,10 @@ def keep_first(
     shown = shown.select("node", "root", "n", *lanes, F.col("o.w").alias("_who"), F.col("o.d").alias("_digest"))
     texts = named.select("_who", "_digest", F.col(text_col).cast("string").alias("text")).join(shown, ["_who", "_digest"])
     texts = cut_lineage(texts.drop("_who", "_digest").dropDuplicates(["node"]))
-    roots = components(exact_links(texts, least, similarity, size), "a", "b")
+    links = exact_links(texts, least, similarity, size)
+    if distance is not None:
+        links = links.unionByName(print_links(prints, distance))
+    roots = components(links, "a", "b")
     nodes = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node", "left")
     first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
     keep = cut_lineage(first.select(F.xxhash64("o.id").alias("_who"), F.col("o.digest").alias("_digest")))

@@ -216,6 +216,45 @@ def test_documents_below_the_similarity_stay(documents):
     assert kept == set(range(2 * len(pairs)))
 
 
+def test_pipeline_leaves_one_of_close_fingerprints_and_of_similar_texts(spark, documents):
+    """Brute force over both kinds of pairs; chains run over both, and nulls and repeated ids stay single."""
+    import corpus_pipeline
+
+    texts = [t for bounds in ((0.6, 0.8), (0.8, 1.0)) for _, a, b in edit_pairs(bounds) for t in (a, b)]
+    near = [i for i in range(0, 480, 2) if bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[i + 1])).count("1") <= 3]
+    assert near and all(shingle_similarity(texts[i], texts[i + 1]) < 0.8 for i in near)
+    # a third text similar to the second of a pair that only fingerprints join: it goes through the chain
+    tails = [" ".join(texts[i + 1].split() + ["more"] * 2) for i in near]
+    rows = list(enumerate(texts)) + [(2000 + k, t) for k, t in enumerate(tails)] + [(3000, None), (3001, ""), (3002, " \t"), (None, texts[0]), (0, texts[0])]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    split = [(t or "").translate(LOWER).split() for _, t in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {""} for w in split]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def link(x, y):
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 3:
+                link(i, j)
+            elif sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                link(i, j)
+    assert all(shingle_similarity(texts[i], t) < 0.8 <= shingle_similarity(texts[i + 1], t) for i, t in zip(near, tails))
+    groups = collections.defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        groups[find(i)].append(doc)
+    want = sorted(min(d for d in docs if d is not None) for docs in groups.values())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()) == want
+    assert corpus_pipeline.near_dedup(spark, documents([]), "").count() == 0
+
+
 def test_parts_of_a_large_group_lose_no_exact_link(spark):
     base = prose(5, 60, 10**6).split()
     texts = [" ".join(base[: 60 - i] + [f"n{i}x{k}" for k in range(i)]) for i in range(30)]
