@@ -69,7 +69,7 @@ def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int
     close pair is missed. A key with more than ``cell`` nodes is cut into parts of about that size
     by hash, and every pair of parts is compared in a task of its own. Within such a cell the
     links form a spanning forest: a node is linked when it is first reached, so links never exceed
-    the rows.
+    the rows. Cells may give the same link.
     """
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     keys = [_key(i, chosen, cuts) for i, chosen in enumerate(combinations(range(blocks), kept))]
@@ -85,7 +85,7 @@ def close_links(points: DataFrame, distance: int = 3, blocks: int = 6, kept: int
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint")
 
 
 def _key(number: int, chosen: tuple[int, ...], cuts: list[int]) -> Column:
@@ -135,10 +135,15 @@ def clusters(points: DataFrame, **how) -> DataFrame:
     return points.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def print_points(prints: DataFrame) -> DataFrame:
+    """Every fingerprint as a node of its own."""
+    return prints.select(F.col("fp").alias("node"), "fp").distinct()
+
+
 def print_groups(prints: DataFrame, distance: int) -> DataFrame:
     """``(fp, root)`` for every fingerprint ``fp`` of ``prints``; equal roots: reachable over close links."""
-    points = prints.select(F.col("fp").alias("node"), "fp").distinct()
-    return cut_lineage(clusters(points, distance=distance, blocks=2 * distance, kept=distance)).withColumnRenamed("node", "fp")
+    found = clusters(print_points(prints), distance=distance, blocks=2 * distance, kept=distance)
+    return cut_lineage(found).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(
@@ -274,7 +279,7 @@ def band_links(points: DataFrame, least: int, cell: int = 2048) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint")
 
 
 def _paired(placed: DataFrame) -> DataFrame:
@@ -305,14 +310,18 @@ def exact_links(texts: DataFrame, least: int, similarity: float, size: int, cell
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint")
+
 
+def print_links(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(a, b)``: a star over the nodes whose fingerprints have one root; a node may have several fingerprints.
 
-def print_links(prints: DataFrame, distance: int) -> DataFrame:
-    """``(a, b)``: a star over the nodes whose fingerprints close links join; a node may have several fingerprints."""
-    placed = prints.select("node", "fp").distinct().join(print_groups(prints, distance), "fp").select("node", "root").distinct()
+    ``roots`` has ``(node, root)`` of the fingerprints that are close to others.
+    """
+    found = roots.select(F.col("node").alias("fp"), "root")
+    placed = prints.select("node", "fp").distinct().join(found, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("node").alias("b"))
-    return placed.join(least, "root").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    return placed.join(least, "root").where("node != b").select(F.col("node").alias("a"), "b")
 
 
 def _cells(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -353,7 +362,13 @@ def keep_first(
     prints = cut_lineage(signatures(docs, id_col, text_col, size))
     points = prints.drop("id", "digest", "fp").dropDuplicates(["node"])
     least = least_agreement(similarity)
-    loose = cut_lineage(components(band_links(points, least), "a", "b"))
+    # both kinds of links are kept before they meet, so that the shuffles of one can go while the other runs
+    found = cut_lineage(band_links(points, least)).withColumn("of", F.lit("sets"))
+    if distance is not None:
+        close = cut_lineage(close_links(print_points(prints), distance=distance, blocks=2 * distance, kept=distance))
+        found = found.unionByName(close.withColumn("of", F.lit("prints")))
+    roots = cut_lineage(components(found, "a", "b", "of"))
+    loose = roots.where("of = 'sets'").drop("of")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     # keys without nulls, so that the rows of one key lie together for what follows the join
     named = docs.withColumns({"_who": F.xxhash64(docs[id_col]), "_digest": F.xxhash64(docs[text_col].cast("string"))})
@@ -366,9 +381,9 @@ def keep_first(
     texts = cut_lineage(texts.drop("_who", "_digest").dropDuplicates(["node"]))
     links = exact_links(texts, least, similarity, size)
     if distance is not None:
-        links = links.unionByName(print_links(prints, distance))
-    roots = components(links, "a", "b")
-    nodes = prints.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node", "left")
+        links = links.unionByName(print_links(prints, roots.where("of = 'prints'")))
+    joined = components(links, "a", "b")
+    nodes = prints.groupBy("node").agg(F.min(order).alias("o")).join(joined, "node", "left")
     first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o"))
     keep = cut_lineage(first.select(F.xxhash64("o.id").alias("_who"), F.col("o.digest").alias("_digest")))
     return named.join(keep, ["_who", "_digest"]).dropDuplicates(["_who", "_digest"]).select(*docs.columns)

@@ -17,7 +17,7 @@ from ledgerloom.llm import (
     chat, decontaminate, langid, licenses, packing, pii, secrets, simhash, substrings, weighted_sampling,
 )
 from ledgerloom.llm.common import Words, gram_hashes, last_minimum, shingle_bytes, tokenizer_path
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import _large_star, _small_star, components
 from llm_fixtures import documents, workers_find_the_package  # noqa: F401
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -81,6 +81,43 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
 
 
+def tasks_of(spark, job):
+    """Tasks of all stages that ran for ``job``, and what it returned."""
+    context, group = spark.sparkContext, f"tasks-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        out = job()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i), out
+
+
+def test_components_of_graphs_side_by_side(spark):
+    """The same numbers in two graphs are different nodes; links may repeat, in either direction."""
+    links = [("x", 1, 2), ("x", 2, 3), ("x", 3, 2), ("x", 1, 2), ("y", 3, 4), ("y", 9, 1), ("y", 7, 7)]
+    found = components(spark.createDataFrame(links, "of string, a bigint, b bigint"), "a", "b", "of").collect()
+    assert sorted(map(tuple, found)) == [("x", 1, 1), ("x", 2, 1), ("x", 3, 1), ("y", 1, 1), ("y", 3, 3), ("y", 4, 3), ("y", 9, 1)]
+
+
+def test_a_round_over_few_links_is_a_few_tasks_a_partition(spark, documents, corpus):
+    """Every task leaves files and log lines, so small tables are paid by their shuffles (10 tasks a partition in a round, 119 in all, before)."""
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1) for i in range(20)], "v bigint, u bigint").repartition(20).localCheckpoint()
+        tasks, rows = tasks_of(spark, lambda: _small_star(_large_star(links)).collect())
+        assert tasks <= 6 * 20 and len(rows) <= 20
+        tasks, kept = tasks_of(spark, lambda: simhash.keep_first(documents(corpus), distance=3).count())
+        assert tasks <= 85 * 20 and kept == 30
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ---- 1 SimHash --------------------------------------------------------------------------
 
 
